@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestream.llm.factorisation import op7_quality_classifier
 from lodestream.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
