@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lodestream.llm.byte_bpe import op8_byte_bpe
 from lodestream.llm.factorisation import op7_quality_classifier
 from lodestream.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
