@@ -6,9 +6,11 @@ from lodestream.llm.byte_bpe import op8_byte_bpe
 from lodestream.llm.factorisation import op7_quality_classifier
 from lodestream.llm.html_text import op3_html_extraction
 from lodestream.llm.quality_rules import op1_quality_rules
+from lodestream.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
