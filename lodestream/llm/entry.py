@@ -7,13 +7,18 @@ from lodestream.llm.factorisation import op7_quality_classifier
 from lodestream.llm.html_text import op3_html_extraction
 from lodestream.llm.quality_rules import op1_quality_rules
 from lodestream.llm.simhash import op2_simhash_near_dedup
+from lodestream.llm.top_k import ORACLE as TOP_K_SQL
+from lodestream.llm.top_k import op5_exact_top_k
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op5_exact_top_k": op5_exact_top_k,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_top_k": TOP_K_SQL,
+}
