@@ -5,6 +5,8 @@ from __future__ import annotations
 from lodestream.llm.byte_bpe import op8_byte_bpe
 from lodestream.llm.factorisation import op7_quality_classifier
 from lodestream.llm.html_text import op3_html_extraction
+from lodestream.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
+from lodestream.llm.line_dedup import op10_line_dedup
 from lodestream.llm.quality_rules import op1_quality_rules
 from lodestream.llm.simhash import op2_simhash_near_dedup
 from lodestream.llm.top_k import ORACLE as TOP_K_SQL
@@ -17,8 +19,10 @@ QUERIES = {
     "op5_exact_top_k": op5_exact_top_k,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": TOP_K_SQL,
+    "op10_line_dedup": LINE_DEDUP_SQL,
 }
