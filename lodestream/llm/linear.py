@@ -103,9 +103,11 @@ def adam(gradient, params: list[np.ndarray], steps: int, rate: float) -> None:
 
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, steps: int = 120, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sparse rows, by full gradients."""
-    of = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b, _ in rows])
     buckets, values = np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows])
-    used, column = np.unique(buckets, return_inverse=True)
+    used = np.unique(buckets)
+    column = np.searchsorted(used, buckets).astype(np.int32)
+    del buckets
     weights, bias = np.zeros(len(used)), np.zeros(1)
 
     def gradient():

@@ -15,7 +15,7 @@ from lodestream.llm.samples import labelled
 from lodestream.llm.textstats import base_counts
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1500
 #: A document is kept if its calibrated probability of label 1 is at least this.
 KEEP_AT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -53,7 +53,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     got = sample.select("text", "_label", "_fold").mapInArrow(_features, "label int, fold int, buckets array<int>, weights array<float>").toArrow()
     label, aside = got.column("label").to_numpy(), got.column("fold").to_numpy() == 1
     flat = [got.column(c).combine_chunks() for c in ("buckets", "weights")]
-    x = [(np.asarray(b.values), np.asarray(w.values).astype(float)) for b, w in zip(flat[0], flat[1], strict=True)]
+    x = [(np.asarray(b.values), np.asarray(w.values)) for b, w in zip(flat[0], flat[1], strict=True)]
     if len(set(label[~aside].tolist())) < 2:
         return None
     weights, bias = fit_logistic([r for r, a in zip(x, aside, strict=True) if not a], label[~aside])
