@@ -7,6 +7,7 @@ from lodestream.llm.factorisation import op7_quality_classifier
 from lodestream.llm.html_text import op3_html_extraction
 from lodestream.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from lodestream.llm.line_dedup import op10_line_dedup
+from lodestream.llm.packing import op4_best_fit_packing
 from lodestream.llm.quality_rules import op1_quality_rules
 from lodestream.llm.simhash import op2_simhash_near_dedup
 from lodestream.llm.top_k import ORACLE as TOP_K_SQL
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
