@@ -8,6 +8,7 @@ from lodestream.llm.html_text import op3_html_extraction
 from lodestream.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from lodestream.llm.line_dedup import op10_line_dedup
 from lodestream.llm.packing import op4_best_fit_packing
+from lodestream.llm.pii import op6_pii_surrogates
 from lodestream.llm.quality_rules import op1_quality_rules
 from lodestream.llm.simhash import op2_simhash_near_dedup
 from lodestream.llm.top_k import ORACLE as TOP_K_SQL
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
