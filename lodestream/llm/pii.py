@@ -153,5 +153,7 @@ def pseudonymised(documents: DataFrame, key: bytes = KEY, check: bool = True) ->
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("entities", lambda e, k=k: e["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return done.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), *counts)
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return done.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), *map(count, KINDS))
