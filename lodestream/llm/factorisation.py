@@ -112,7 +112,7 @@ def train(stats: np.ndarray, doc: np.ndarray, bucket: np.ndarray, value: np.ndar
 
 
 def _length(part: pa.RecordBatch) -> np.ndarray:
-    return np.maximum(0, pc.fill_null(part.column("_length"), 0).to_numpy(zero_copy_only=False).astype(float))
+    return np.maximum(0, pc.fill_null(part.column("__length"), 0).to_numpy(zero_copy_only=False).astype(float))
 
 
 def _features(batches):
@@ -125,19 +125,19 @@ def _features(batches):
             ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(words.n)))).astype(np.int32)
             nested = [pa.ListArray.from_arrays(ends, pa.array(a)) for a in (bucket[order].astype(np.int32), value[order].astype(np.float32))]
             rows = pa.array(list(stats), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column("_label"), rows, *nested], names=["label", "stats", "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([part.column("__label"), rows, *nested], names=["label", "stats", "buckets", "weights"])
 
 
 def _with_length(documents: DataFrame) -> DataFrame:
     """The metadata that may enter a score: n_chars, 0 where it is null or missing."""
-    return documents.withColumn("_length", F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in documents.columns else F.lit(0.0))
+    return documents.withColumn("__length", F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in documents.columns else F.lit(0.0))
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine | None:
     """The machine, from at most ``rows`` labelled documents outside fold 0 of crc32(doc_id) mod 5; None if they don't show both labels."""
     bound_batches(documents.sparkSession)
-    sample = labelled(_with_length(documents).select("doc_id", "text", "_length"), labels, "quality", rows, held_out=0)
-    got = sample.select("text", "_length", "_label").mapInArrow(_features, "label int, stats array<double>, buckets array<int>, weights array<float>").toArrow().combine_chunks()
+    sample = labelled(_with_length(documents).select("doc_id", "text", "__length"), labels, "quality", rows, held_out=0)
+    got = sample.select("text", "__length", "__label").mapInArrow(_features, "label int, stats array<double>, buckets array<int>, weights array<float>").toArrow().combine_chunks()
     label = got.column("label").to_numpy()
     if len(set(label.tolist())) < 2:
         return None
@@ -168,7 +168,7 @@ def score_quality(documents: DataFrame, machine: Machine | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
 
     before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    scored = documents.mapInArrow(judge, f"{before}, score double").drop("_length")
+    scored = documents.mapInArrow(judge, f"{before}, score double").drop("__length")
     return scored.withColumn("held_out", fold(F.col("doc_id")) == 0).withColumn("predicted", (F.col("score") >= POSITIVE_AT).cast("int"))
 
 

@@ -101,16 +101,16 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     one document, cut alike. Own columns named n_lines and n_removed are replaced.
     """
     documents = documents.drop("n_lines", "n_removed").withColumn("text", F.coalesce("text", F.lit("")))
-    marked = documents.withColumn("_row", F.xxhash64("text"))
-    runs = repeats(marked.select("doc_id", F.col("_row").alias("row"), "text")).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_at"), "runs")
-    joined = marked.join(runs, marked["doc_id"].eqNullSafe(runs["_doc"]) & (marked["_row"] == runs["_at"]), "left").select(*documents.columns, F.col("runs").alias("_runs"))
+    marked = documents.withColumn("__row", F.xxhash64("text"))
+    runs = repeats(marked.select("doc_id", F.col("__row").alias("row"), "text")).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__at"), F.col("runs").alias("__runs"))
+    joined = marked.join(runs, marked["doc_id"].eqNullSafe(runs["__doc"]) & (marked["__row"] == runs["__at"]), "left").select(*documents.columns, F.col("__runs"))
     at = documents.columns.index("text")
     plain = documents.columns
 
     def rewrite(batches):
         for batch in batches:
             for part in blocks(batch, "text"):
-                runs = part.column("_runs").to_pylist()
+                runs = part.column("__runs").to_pylist()
                 done = [_cut(t, [(r["first"], r["last"]) for r in own or ()]) for t, own in zip(part.column("text").to_pylist(), runs, strict=True)]
                 columns = [part.column(c) for c in plain]
                 columns[at] = pa.array([d[0] for d in done], pa.string())

@@ -336,31 +336,31 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, settings: tuple[tuple[int, i
     rows = rows.drop("sequence_id", "offset")
     # the ranks of a length are counted in shards, so that a length that many pieces have is no task of its own
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    counted = written(rows.groupBy("length", "_shard").agg(F.count("*").alias("_n")), spark)
-    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    rows = rows.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    counted = written(rows.groupBy("length", "__shard").agg(F.count("*").alias("__n")), spark)
+    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # capacity rows at most
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
         raise ValueError(f"lengths must be 1 to {capacity}")
     shared = spark.sparkContext.broadcast(places(plan_bins(counts, capacity, settings)))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_shard")) - F.col("_n")
-    base = counted.select("length", "_shard", before.alias("_base"))
+    before = F.sum("__n").over(Window.partitionBy("length").orderBy("__shard")) - F.col("__n")
+    base = counted.select("length", "__shard", before.alias("__base"))
     order = [F.col(c) for c in rows.columns if c in ("doc_id", "piece", "start", "ids_crc32")]
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_shard").orderBy(*order)))
-    ranked = ranked.join(base, ["length", "_shard"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base")).select(*[c for c in rows.columns if c != "_shard"], "_rank")
-    plain = [c for c in ranked.columns if c != "_rank"]
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__shard").orderBy(*order)))
+    ranked = ranked.join(base, ["length", "__shard"]).withColumn("__rank", F.col("__rank") - 1 + F.col("__base")).select(*[c for c in rows.columns if c != "__shard"], "__rank")
+    plain = [c for c in ranked.columns if c != "__rank"]
 
     def place(batches):
         at = shared.value
         wide = 1 << 44
         keys = at["length"] * wide + at["rank"]
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
             e = np.searchsorted(keys, length * wide + rank, "right") - 1
             turn, slot = np.divmod(rank - at["rank"][e], at["many"][e])
             found = [pa.array(at["bin"][e] + turn), pa.array(at["offset"][e] + slot * length)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], *found], names=[*plain, "sequence_id", "offset"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank"), "sequence_id bigint", "offset bigint"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__rank"), "sequence_id bigint", "offset bigint"])
     return ranked.mapInArrow(place, schema)
 
 

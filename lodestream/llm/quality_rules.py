@@ -40,7 +40,7 @@ def _features(batches):
         for part in blocks(batch, "text"):
             rows = Grams(Words(texts_of(part.column("text")))).rows()
             columns = [pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([part.column("_label"), part.column("_fold"), *columns], names=["label", "fold", "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([part.column("__label"), part.column("__fold"), *columns], names=["label", "fold", "buckets", "weights"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
@@ -50,7 +50,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     """
     bound_batches(documents.sparkSession)
     sample = labelled(documents.select("doc_id", "text"), labels, "quality", rows, held_out=0)
-    got = sample.select("text", "_label", "_fold").mapInArrow(_features, "label int, fold int, buckets array<int>, weights array<float>").toArrow()
+    got = sample.select("text", "__label", "__fold").mapInArrow(_features, "label int, fold int, buckets array<int>, weights array<float>").toArrow()
     label, aside = got.column("label").to_numpy(), got.column("fold").to_numpy() == 1
     flat = [got.column(c).combine_chunks() for c in ("buckets", "weights")]
     x = [(np.asarray(b.values), np.asarray(w.values)) for b, w in zip(flat[0], flat[1], strict=True)]

@@ -18,9 +18,9 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, most: int, hel
     scan of the documents. Of ids labelled more than once the largest label counts; null ids and labels are left out,
     and so is the fold ``held_out``.
     """
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    ids = ids.withColumn("_fold", fold(F.col("doc_id")))
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
+    ids = ids.withColumn("__fold", fold(F.col("doc_id")))
     if held_out is not None:
-        ids = ids.where(F.col("_fold") != held_out)
+        ids = ids.where(F.col("__fold") != held_out)
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return documents.join(F.broadcast(ids), "doc_id")
