@@ -1,0 +1,105 @@
+"""Operator 6."""
+
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestream.llm import pii
+from lodestream.llm.surrogates import Permutation, Surrogates, _check_digit
+from tests.llm import helpers
+
+OWN = Surrogates(b"test")
+
+CASES = {
+    "mail john.smith34@mail7.example.com now": [("email", "john.smith34@mail7.example.com")],
+    "MAIL JOHN.SMITH34@MAIL7.EXAMPLE.COM!!": [("email", "JOHN.SMITH34@MAIL7.EXAMPLE.COM")],
+    "éa.90@mail2.test.org.": [("email", "éa.90@mail2.test.org")],
+    "call +1 (974) 555-3436%%% or 974-555-3436": [("phone", "+1 (974) 555-3436"), ("phone", "974-555-3436")],
+    "from 83.229.25.121, not 1.2.3.4.5 or 300.1.1.1": [("ip", "83.229.25.121")],
+    "card 4111 1111 1111 1111 or 2852466340876421.": [("card", "4111 1111 1111 1111"), ("card", "2852466340876421")],
+    'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"###': [("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B")],
+    "ssn 123-45-6789, iban DE89 3704 0044 0532 0130 00": [("ssn", "123-45-6789"), ("iban", "DE89 3704 0044 0532 0130 00")],
+    "John Smith and Mrs. Smith": [("person", "John"), ("person", "Smith"), ("person", "Smith")],
+    "Иван Петров": [("person", "Иван"), ("person", "Петров")],
+    "Version 2.0 of 2024-01-05 12:30, 1234567 items. Anna. The end": [],
+    "a token of 1234 and the secret": [],
+}
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_found(text):
+    got = pii.entities(text, OWN)
+    assert [(kind, text[a:b]) for a, b, kind, _ in got] == CASES[text]
+    new = pii.replaced(text, got)
+    assert all(original not in new for _, original in CASES[text])
+
+
+def test_surrogates_keep_type_format_and_coreference():
+    one = OWN.email("John.Smith34@mail7.example.com")
+    assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{4}\d\d@[a-z]{4}\d\.example\.com", one)
+    assert OWN.email("JOHN.SMITH34@MAIL7.EXAMPLE.COM") == one.upper()
+    assert OWN.email("x@mail7.example.com").rpartition("@")[2] == one.rpartition("@")[2]
+    assert OWN.phone("+1 (974) 555-3436")[3:] == re.sub(r"^(...)-(...)-", r"(\1) \2-", OWN.phone("974-555-3436"))
+    assert OWN.card("4111 1111 1111 1111").replace(" ", "") == OWN.card("4111111111111111")
+    for number in ("4111111111111111", "2852466340876421"):
+        new = [int(c) for c in OWN.card(number)]
+        old = [int(c) for c in number]
+        assert (new[-1] == _check_digit(new[:-1])) == (old[-1] == _check_digit(old[:-1]))
+    iban = OWN.iban("DE89370400440532013000")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    names = pii._LIST["maria"]
+    assert OWN.given("Maria", names).lower() in names and OWN.given("Maria", names) != "Maria"
+    assert re.fullmatch("[А-ЯЁ][а-яё]+", OWN.family("Петров"))
+    assert Surrogates(b"other").email("john@example.com") != OWN.email("john@example.com")
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 300), st.binary(min_size=1, max_size=8))
+def test_permutations_are_one_cycle(size, key):
+    own = Permutation(key)
+    seen, x = set(), 0
+    while x not in seen:
+        seen.add(x)
+        x = own(x, size, b"t")
+    assert x == 0 and len(seen) == size
+
+
+def test_distinct_originals_stay_distinct():
+    for make, originals in ((OWN.ip, [f"10.0.{a}.{b}" for a in range(8) for b in range(100)]), (OWN.card, [f"411111111111{n:04d}" for n in range(800)]), (OWN.email, [f"a{n}@b{n % 7}.org" for n in range(800)]), (OWN.secret, [f"{n:020x}" for n in range(800)]), (OWN.phone, [f"+1 (974) 555-{n:04d}" for n in range(800)]), (OWN.family, ["Ab", "Ac", "Ad", "Eb", "Ec", "Ob"])):
+        assert len({make(x).lower() for x in originals}) == len(originals)
+        assert not any(make(x).lower() == x.lower() for x in originals)
+
+
+def test_collisions_are_found(spark):
+    pairs = spark.createDataFrame([("ip", "a", "x"), ("ip", "b", "x"), ("ip", "c", "y"), ("card", "a", "x"), ("card", "z", "z")], "kind string, original string, surrogate string")
+    assert {(r["kind"], r["originals"], r["same"]) for r in pii.collisions(pairs).collect()} == {("ip", 2, False), ("card", 1, True)}
+
+
+def test_op6_on_all_documents(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = pii.op6_pii_surrogates(spark, data).collect()
+    assert len(rows) == len(texts)
+    own = Surrogates(pii.KEY)
+    plain = re.compile(r"[\w.]+@[\w.]+\.com|(?<!\d)\d{16}(?!\d)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\+1 \(\d{3}\) \d{3}-\d{4}|[0-9a-fA-F]{40}")
+    originals = {m for t in texts.values() for m in plain.findall(t)}
+    assert originals
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["text"] == pii.replaced(text, pii.entities(text, own))
+        assert not originals & set(plain.findall(r["text"]))
+        if not plain.search(text):
+            assert r["text"] == text and r["n_entities"] == 0
+        assert len(r["text"]) == len(text) or r["n_ip"]
+
+
+def test_odd_rows(spark):
+    docs = helpers.documents(spark)
+    out = pii.pseudonymised(docs)
+    assert out.count() == docs.count() and out.where("text IS NULL").count() == docs.where("text IS NULL").count()
+    mails = out.where(F.lower("text").contains("@")).first()["text"].split()
+    assert mails[1].lower() == mails[3].lower()
+    assert pii.pseudonymised(helpers.empty(spark)).count() == 0
+    assert pii.mapping(helpers.empty(spark)).count() == 0
