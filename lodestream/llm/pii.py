@@ -33,12 +33,15 @@ _NAME = rf"{_CAPITAL}[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key)\b[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?P<secret>[A-Za-z0-9+/_-]{16,})", re.I)
+#: Prefixes of keys that services give out; they stay.
+_ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "sk-", "xoxb-", "xoxp-")
+_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(_ISSUED)})(?P<secret>[A-Za-z0-9]{{16,}})(?![A-Za-z0-9])")
 _NUMBER = re.compile(
     rf"(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
     rf"|(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{2,4}\) ?|\d{3}[.-])\d{3,4}[ .-]\d{3,4})(?!\w))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4})(?!\w|\.\d))"
+    r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
 )
 _DIGITS = re.compile(r"\d+")
 _PAIR = re.compile(rf"(?<![^\W_]){_CAPITAL}[^\W\d_]+(?=(?: {_CAPITAL}\.)? {_CAPITAL}[^\W\d_])")
@@ -65,6 +68,8 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
         found += [(*m.span(), "email", surrogates.email(m[0])) for m in _EMAIL.finditer(text)]
     if "=" in text or ":" in text:
         found += [(*m.span("secret"), "secret", surrogates.secret(m["secret"])) for m in _SECRET.finditer(text)]
+    if any(map(text.__contains__, _ISSUED)):
+        found += [(*m.span("secret"), "secret", surrogates.secret(m["secret"])) for m in _KEY.finditer(text)]
     for m in _numbers(text):
         found.append((*m.span(), m.lastgroup, getattr(surrogates, m.lastgroup)(m[0])))
     for m in _PAIR.finditer(text):
