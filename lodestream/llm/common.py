@@ -47,7 +47,16 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._written_at = path
+    return again
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that written() returned and nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:

@@ -116,9 +116,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     marked = written(simhash(documents.select("doc_id", "text")).select("doc_id", "fp"), spark)
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), spark)
     found = components(links(nodes.select("fp")))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # only linked nodes have a component of more than themselves
+    linked = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "least", "root")
+    least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), spark)
+    wide = linked.join(least, "root").select(F.col("fp").alias("node"), "component_id")
+    by_fp = nodes.join(wide, nodes["fp"] == wide["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _tile(k: int):
-    def run(key, tile: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         """The k best rows of the tile for each of its queries; whole numbers below 2^53 are exact in doubles."""
         queries, rows = tile[tile["asks"]], tile[~tile["asks"]]
         out = {"query_id": [], "vec_id": [], "score": []}
