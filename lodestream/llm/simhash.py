@@ -1,14 +1,18 @@
-"""SimHash near duplicates, with candidates from the pigeonring principle.
+"""SimHash near duplicates, with candidates pruned by the pigeonring principle.
 
-The 64 bits are a ring of five segments. Of two fingerprints that differ in 4 bits at most, some chain of segments in a
-row stays within its share of the budget at every length (Qin and Xiao 2018): no difference in the first segment, 1 in
-the first two, 2 in three, 3 in four. The first two conditions are the key of an equality join: one side sends each pair
-of neighbouring segments, the other the same pair and each pair one bit away in the second segment. The longer chains
-prune what meets there, and only then the whole distance is counted.
+The 64 bits are a ring of eight segments. Of two fingerprints that differ in 4 bits at most, at least four segments are
+equal, so they meet in an equality join on one of the 70 choices of four segments, on keys of 32 bits. What meets there
+must have a chain of segments in a row that stays within its share of the budget at every length (Qin and Xiao 2018): no
+difference in its first segment, 1 in the first two and three, 2 in four and five, 3 in six and seven. Only of the pairs
+with such a chain, which every pair within the distance has, the whole distance is counted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_, or_
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,9 +23,8 @@ from lodestream.llm.common import Words, blocks, bound_batches, table, texts_of,
 from lodestream.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Width of each segment, from the lowest bit on.
-WIDTHS = (13, 13, 13, 13, 12)
-_SHIFTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
+#: Segments of the ring, of 8 bits each.
+SEGMENTS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,35 +76,32 @@ def simhash(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return documents.mapInArrow(run, ", ".join([*before, "fp bigint"]))
 
 
-def _mask(start: int, length: int) -> int:
-    """The bits of so many segments in a row, as a signed integer."""
-    bits = sum(((1 << WIDTHS[k % 5]) - 1) << _SHIFTS[k % 5] for k in range(start, start + length))
+def _mask(segments) -> int:
+    """The bits of these segments, as a signed integer."""
+    bits = sum(0xFF << 8 * (k % SEGMENTS) for k in segments)
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _keys(fp, near: bool) -> F.Column:
-    """The keys of a fingerprint: start of the chain, its first and its second segment (near: also one bit away)."""
-    segment = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for s, w in zip(_SHIFTS, WIDTHS, strict=True)]
-    keys = []
-    for i in range(5):
-        after = (i + 1) % 5
-        key = F.lit(i << 26).cast("long") + F.shiftleft(segment[i], 13) + segment[after]
-        keys.append(key)
-        if near:
-            keys += [key.bitwiseXOR(F.lit(1 << j).cast("long")) for j in range(WIDTHS[after])]
-    return F.explode(F.array(*keys))
+def _chained(diff: F.Column) -> F.Column:
+    """Whether from some segment on every chain of differences stays within its share of DISTANCE.
+
+    An even length has the budget of the odd one that follows, whose chain holds its own: the odd ones decide.
+    """
+    within = lambda i, n: F.bit_count(diff.bitwiseAND(F.lit(_mask(range(i, i + n))).cast("long"))) <= n * DISTANCE // SEGMENTS
+    return reduce(or_, (reduce(and_, (within(i, n) for n in range(1, SEGMENTS, 2))) for i in range(SEGMENTS)))
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
-    """a, b: each pair of different fingerprints (distinct rows of fp) that differ in DISTANCE bits at most, a < b."""
-    fp = F.col("fp")
-    data = fingerprints.select(fp.alias("a"), _keys(fp, near=False).alias("key"))
-    probe = fingerprints.select(fp.alias("b"), _keys(fp, near=True).alias("key"))
-    diff, start = F.col("a").bitwiseXOR(F.col("b")), F.shiftright(data["key"], 26)
-    mask = lambda n: F.element_at(F.array(*[F.lit(_mask(i, n)).cast("long") for i in range(5)]), (start + 1).cast("int"))
-    chains = [F.bit_count(diff.bitwiseAND(mask(n))) <= n * DISTANCE // 5 for n in (3, 4)]
-    close = (F.col("a") < F.col("b")) & chains[0] & chains[1] & (F.bit_count(diff) <= DISTANCE)
-    return data.join(probe, (data["key"] == probe["key"]) & close).select("a", "b").distinct()
+    """a, b: each pair of different fingerprints (distinct rows of fp) that differ in DISTANCE bits at most, a < b.
+
+    Both sides of the join are one table of 70 keys for each fingerprint, which is shuffled once.
+    """
+    choices = F.array(*[F.lit(_mask(c)).cast("long") for c in combinations(range(SEGMENTS), SEGMENTS - DISTANCE)])
+    keyed = fingerprints.select("fp", F.posexplode(choices).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+    left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
+    diff = F.col("a").bitwiseXOR(F.col("b"))
+    same = (left["choice"] == right["choice"]) & (left["bits"] == right["bits"]) & (F.col("a") < F.col("b"))
+    return left.join(right, same & _chained(diff) & (F.bit_count(diff) <= DISTANCE)).select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
