@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +30,7 @@ CAPACITY = 2048
 #: cardinality. Rounding costs room that only small pieces can fill, so what is best depends on how many there are: each
 #: pair makes a plan, and the plan with the fewest bins is taken.
 SETTINGS = ((2, 20), (3, 10), (8, 40))
-#: Distinct words that a worker remembers; beyond that it starts anew.
+#: Distinct words, and pre-tokens, that a worker remembers; beyond that it starts anew.
 CACHE = 600_000
 
 # ---------------------------------------------------------------- tokens
@@ -37,10 +39,15 @@ CACHE = 600_000
 class WordTokens:
     """Ids of texts, by words between ASCII white space, which no pre-token of the vocabulary crosses.
 
-    New words are encoded many at a time, with a mark between them that is a token of its own.
+    A new word of plain characters is put in lower case and cut into pre-tokens as the vocabulary's own pattern does,
+    and only new pre-tokens are encoded, many at a time, with a mark between them that is a token of its own. Words of
+    other characters, whose normal form or class may depend on the library's tables, are encoded whole.
     """
 
     MARK = "\x01"
+    #: ASCII and the common letters of western European languages: composed already, and one character in either case.
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿŒœ]+").fullmatch
+    PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+").findall
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,33 +56,46 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.mark,) = self._ids([self.MARK])[0]
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}  # ids as 32-bit integers
+        self.pre_tokens: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        words = [text.split() for text in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        odd = [w for w in new if b"\x01" in w]
-        self._learn([w for w in new if b"\x01" not in w] if odd else new)
-        for word, ids in zip(odd, self._ids([w.decode() for w in odd]), strict=True):
-            self.known[word] = np.array(ids, "<i4").tobytes()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, own)) for own in words]
-
-    def _learn(self, words: list[bytes], at_once: int = 2000) -> None:
-        parts = [words[i : i + at_once] for i in range(0, len(words), at_once)]
-        between = f" {self.MARK} ".encode()
-        for part, ids in zip(parts, self._ids([between.join(p).decode() for p in parts]), strict=True):
-            ids = np.array(ids, "<i4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                self.known[word] = data[4 * begin : 4 * end]
+        cut = [text.split() for text in texts]
+        if len(self.words) > CACHE:
+            self.words = {}
+        if len(self.pre_tokens) > CACHE:
+            self.pre_tokens = {}
+        self._learn(set(chain.from_iterable(cut)).difference(self.words))
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, own)) for own in cut]
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain, other = {}, []
+        for word in new:
+            text = word.decode()
+            if self.PLAIN(text):
+                plain[word] = self.PRE_TOKENS(text.lower())
+            else:
+                other.append((word, text))
+        fresh = list(set(chain.from_iterable(plain.values())).difference(self.pre_tokens))
+        self.pre_tokens.update(zip(fresh, self._encode(fresh), strict=True))
+        ids = self.pre_tokens.__getitem__
+        self.words.update((word, b"".join(map(ids, own))) for word, own in plain.items())
+        for (word, _), own in zip(other, self._ids([text for _, text in other]), strict=True):
+            self.words[word] = np.array(own, "<i4").tobytes()
+
+    def _encode(self, pieces: list[str], at_once: int = 2000) -> Iterator[bytes]:
+        parts = [pieces[i : i + at_once] for i in range(0, len(pieces), at_once)]
+        for part, ids in zip(parts, self._ids([f" {self.MARK} ".join(p) for p in parts]), strict=True):
+            own = np.array(ids, "<i4")
+            ends = np.append(np.flatnonzero(own == self.mark), len(own)).tolist()
+            data, begin = own.tobytes(), 0
+            for end in ends:
+                yield data[4 * begin : 4 * end]
                 begin = end + 1
 
 
