@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from lodestream.llm import factorisation, quality_rules
 from lodestream.llm.common import Words
 from lodestream.llm.linear import Grams
+from lodestream.llm.samples import labelled
 from lodestream.llm.textstats import base_counts
 from tests.llm import helpers
 
@@ -57,6 +58,15 @@ def test_no_model_without_labels_of_both_kinds(spark, module):
     assert module.fit(docs, one) is None
 
 
+def test_repeated_ids_bring_one_row_each(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    once = labelled(docs, labels, "quality", 30, 0)
+    many = labelled(docs.union(docs).union(docs), labels.union(labels), "quality", 30, 0)
+    assert once.count() == many.count() == 30
+    assert {r["doc_id"] for r in once.collect()} == {r["doc_id"] for r in many.collect()}
+    assert once.where("__fold = 0").count() == 0
+
+
 def test_empty_tables(spark):
     none = helpers.empty(spark)
     assert quality_rules.quality_rules(none, None).count() == 0
