@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a task holds in numpy arrays at a time (one longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Rows and bytes of an Arrow batch that Spark hands to Python.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
