@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import blocks, bound_batches, table, texts_of, written
+from lodestream.llm.common import Words, blocks, bound_batches, table, texts_of, written
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -62,16 +62,22 @@ class WordTokens:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        cut = [text.split() for text in texts]
+    def encode(self, texts: pa.LargeStringArray) -> list[np.ndarray]:
+        """The ids of each text. The words of all texts are numbered first, so that each different one is looked up once."""
+        words = Words(texts)
+        kinds = words.vocab.to_pylist()
         if len(self.words) > CACHE:
             self.words = {}
         if len(self.pre_tokens) > CACHE:
             self.pre_tokens = {}
-        self._learn(set(chain.from_iterable(cut)).difference(self.words))
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, own)) for own in cut]
+        self._learn(set(kinds).difference(self.words))
+        found = list(map(self.words.__getitem__, kinds))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, begin = np.frombuffer(b"".join(found), "<i4"), np.cumsum(size) - size
+        many = size[words.id]
+        end = np.append(0, np.cumsum(many))
+        flat = ids[np.arange(end[-1]) + np.repeat(begin[words.id] - end[:-1], many)]
+        return [flat[a:b] for a, b in zip(end[words.lead].tolist(), end[words.last].tolist(), strict=True)]
 
     def _learn(self, new: set[bytes]) -> None:
         plain, other = {}, []
@@ -118,8 +124,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
         for batch in batches:
             for part in blocks(batch, "text"):
                 row, number, start, length, crc, kept = [], [], [], [], [], []
-                for i, data in enumerate(own.encode(texts_of(part.column("text")).cast(pa.large_binary()).to_pylist())):
-                    data += b"\0\0\0\0"
+                for i, found in enumerate(own.encode(texts_of(part.column("text")))):
+                    data = found.tobytes() + b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         piece = data[at : at + 4 * capacity]
                         row.append(i)
