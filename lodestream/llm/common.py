@@ -131,9 +131,8 @@ class Words:
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many of the flagged bytes each text has."""
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        edges = self.offsets.tolist()
+        return np.fromiter((np.count_nonzero(flags[a:b]) for a, b in zip(edges, edges[1:], strict=False)), np.int64, len(edges) - 1)
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Of each run of ``size`` words within one text: its first word, a number (equal for equal runs), and how many numbers there are."""

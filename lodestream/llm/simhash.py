@@ -26,6 +26,9 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Segments of the ring, of 8 bits each.
 SEGMENTS = 8
 
+#: Shingles of one text whose bits are in memory at a time.
+_AT_ONCE = 1 << 16
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -34,22 +37,30 @@ def fingerprints_of(texts: pa.LargeStringArray, shingle: int = SHINGLE, seed: in
     """The 64-bit SimHash of each text: a bit is 1 if it is in over half the hashes of its word shingles."""
     words = Words(texts)
     n, size = len(words.n), words.end - words.start
-    count = len(size)
-    # all words, with a space behind each
-    joined = np.full(int(size.sum()) + count, 32, np.uint8)
-    joined[np.arange(int(size.sum())) + np.repeat(np.arange(count), size)] = _LOWER[words.data[words.inside]]
-    end = np.cumsum(size + 1) - 1
-    first = np.arange(count)
+    # all words in lower case, with one space behind each that has white space behind it
+    gap = ~words.inside
+    space = np.zeros(len(size), bool)
+    within = words.end < len(gap)
+    space[within] = gap[words.end[within]]
+    kept = words.inside.copy()
+    kept[words.end[space]] = True
+    lower = _LOWER[words.data]
+    lower[gap] = 32
+    text = lower[kept].tobytes()
+    end = np.cumsum(size + space) - space
+    first = np.arange(len(size))
     last = np.minimum(first + shingle, words.last[words.doc]) - 1
     whole = (first + shingle <= words.last[words.doc]) | (first == words.lead[words.doc])
-    begins, ends = (end - size)[whole].tolist(), end[last[whole]].tolist()
-    text, digest = joined.tobytes(), xxhash.xxh64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join([digest(text[a:b], seed) for a, b in zip(begins, ends, strict=True)]), np.uint8)).reshape(-1, 64)
-    edge = np.append(0, np.cumsum(np.bincount(words.doc[whole], minlength=n)))
+    begins, ends = (end - size)[whole], end[last[whole]]
+    edge = np.append(0, np.cumsum(np.bincount(words.doc[whole], minlength=n))).tolist()
     out = np.zeros((n, 64), bool)
-    for i in range(n):
-        if edge[i + 1] > edge[i]:
-            out[i] = 2 * _column_sums(bits[edge[i] : edge[i + 1]]) > edge[i + 1] - edge[i]
+    for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+        total = np.zeros(64, np.int64)
+        for at in range(a, b, _AT_ONCE):
+            part = slice(at, min(b, at + _AT_ONCE))
+            digests = [xxhash.xxh64_digest(text[x:y], seed) for x, y in zip(begins[part].tolist(), ends[part].tolist(), strict=True)]
+            total += _column_sums(np.unpackbits(np.frombuffer(b"".join(digests), np.uint8)).reshape(-1, 64))
+        out[i] = 2 * total > b - a
     return np.packbits(out, axis=1).view(">u8").ravel().astype(np.uint64)
 
 

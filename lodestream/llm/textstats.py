@@ -34,9 +34,7 @@ def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _dup_lines(words: Words, n: int) -> np.ndarray:
     doc, starts, ends = lines(words)
-    seen = np.zeros(len(words.inside) + 1, np.int64)
-    np.cumsum(words.inside, out=seen[1:])
-    full = seen[ends] > seen[starts]
+    full = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
     line, kinds = numbered(strings(words.data[words.data != 10], ends - starts))
     doc, line = doc[full], line[full]
     _, distinct = numbered(doc * max(1, len(kinds)) + line)
