@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import blocks, bound_batches, table, texts_of
-from lodestream.llm.surrogates import Surrogates
+from lodestream.llm.surrogates import Surrogates, folded
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret", "person")
 #: The key of the queries; a user passes their own.
@@ -26,6 +26,7 @@ GIVEN = {
     ("greek", "m"): "αθανάσιος βασίλειος γεώργιος δημήτριος ευάγγελος ιωάννης κωνσταντίνος μιχαήλ νικόλαος παναγιώτης σπυρίδων χρήστος".split(),
 }
 _LIST = {name: tuple(names) for names in GIVEN.values() for name in names}
+_FOLDED = {folded(name): names for name, names in _LIST.items()}
 _TITLES = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Don|Doña|Dr|Prof"
 
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏЀ-Я]"
@@ -62,7 +63,10 @@ def _numbers(text: str):
 
 
 def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str]]:
-    """start, end, kind and surrogate of each entity, in order and without overlaps; the earlier kinds win."""
+    """start, end, kind and surrogate of each entity, in order and without overlaps; the earlier kinds win.
+
+    What has no character to replace, such as a line of dashes to fill in, is no entity.
+    """
     found = []
     if "@" in text:
         found += [(*m.span(), "email", surrogates.email(m[0])) for m in _EMAIL.finditer(text)]
@@ -76,10 +80,11 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
         names = _LIST.get(m[0].lower())
         if names and m[0] == m[0].title() and (f := _FAMILY.match(text, m.end())):
             found.append((*m.span(), "person", surrogates.given(m[0], names)))
-            found.append((*f.span("family"), "person", surrogates.family(f["family"])))
+            found.append((*f.span("family"), "person", surrogates.family(f["family"], _FOLDED)))
     for m in _TITLED.finditer(text):
         if m["family"].lower() not in _LIST:
-            found.append((*m.span("family"), "person", surrogates.family(m["family"])))
+            found.append((*m.span("family"), "person", surrogates.family(m["family"], _FOLDED)))
+    found = [e for e in found if folded(e[3]) != folded(text[e[0] : e[1]])]
     if len(found) < 2:
         return found
     out, last = [], 0
@@ -104,13 +109,13 @@ def _surrogates(key: bytes) -> Surrogates:
 
 
 def mapping(documents: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, original, surrogate: each pair once, letter case aside. It holds the personal data itself."""
+    """kind, original, surrogate: each pair once, as folded() has them. It holds the personal data itself."""
     bound_batches(documents.sparkSession)
 
     def run(batches):
         own = _surrogates(key)
         for batch in batches:
-            pairs = {(kind, text[a:b].lower(), new.lower()) for text in texts_of(batch.column("text")).to_pylist() for a, b, kind, new in entities(text, own)}
+            pairs = {(kind, folded(text[a:b]), folded(new)) for text in texts_of(batch.column("text")).to_pylist() for a, b, kind, new in entities(text, own)}
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*pairs, strict=True)] or [pa.array([], pa.string())] * 3, names=["kind", "original", "surrogate"])
 
     return documents.select("text").mapInArrow(run, "kind string, original string, surrogate string").distinct()
@@ -127,8 +132,8 @@ def pseudonymised(documents: DataFrame, key: bytes = KEY, check: bool = True) ->
 
     The same entity gets the same surrogate everywhere (letter case, spaces and dashes between digits, and a phone
     number's country code aside), different ones get different ones of the same format; a given name gets one of the
-    same gender and script. With ``check`` a job before looks through all pairs of original and surrogate for collisions
-    and stops at one. Null texts stay null and hold no entities. Rows are read one by one, so ties, repeated rows and
+    same gender and script. The surrogates of each kind are one-to-one by construction, whatever the texts hold;
+    ``check`` is a job before that looks through all pairs of original and surrogate to confirm it. Null texts stay null and hold no entities. Rows are read one by one, so ties, repeated rows and
     other columns change nothing; an own column named entities is replaced.
     """
     bound_batches(documents.sparkSession)

@@ -8,15 +8,53 @@ one, and as the permutation is a single cycle, none is its own.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from functools import lru_cache
 from math import isqrt
 
 #: Alphabets whose characters stand in for each other: digits, and by script vowels and consonants.
-ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåæéèêëíìîïóòôöõøœúùûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ")
+ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåæéèêëíìîïóòôöõøœúùûü", "çñ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ")
 _CLASS = {c: alphabet for alphabet in ALPHABETS for c in alphabet}
 HEX = "0123456789abcdef"
+#: Characters of the local part of an email that are no letters or digits.
+_MARKS = dict.fromkeys("._%+-", "._%+-")
+#: Domains that are kept for examples.
+_EXAMPLES = {("example", last) for last in ("com", "org", "net")}
 _PART = 32
 
 
+@lru_cache(maxsize=1 << 16)
+def _folded(c: str) -> str:
+    if c == "ς":
+        return "σ"
+    if c.isdecimal():
+        return str(unicodedata.decimal(c))
+    return c.lower() if len(c.lower()) == 1 else c
+
+
+def folded(text: str) -> str:
+    """The text as its surrogate depends on it: letter case, final sigmas and the script of digits aside."""
+    return text.lower() if text.isascii() else "".join(map(_folded, text))
+
+
+@lru_cache(maxsize=1 << 16)
+def _alphabet(c: str) -> str | None:
+    """The characters that stand in for a folded one; those of scripts without a class have their like of 256 code points."""
+    if c in _CLASS:
+        return _CLASS[c]
+    kind = unicodedata.category(c)
+    if not c.isalnum() or c == "ß":
+        return None
+    near = map(chr, range(ord(c) & ~255, (ord(c) | 255) + 1))
+    near = [x for x in near if x not in _CLASS and unicodedata.category(x) == kind and _folded(x) == x and len(x.upper()) == 1 and _folded(x.upper()) == x and (kind != "Ll" or x.upper() != x)]
+    return "".join(near) if len(near) > 1 and c in near else None
+
+
+def _like(digit: str, c: str) -> str:
+    """The digit in the script of the digit c."""
+    return digit if c.isascii() else chr(ord(c) - unicodedata.decimal(c) + int(digit))
+
+
 class Permutation:
     """A keyed permutation of the numbers below any size, made of one cycle."""
 
@@ -55,12 +93,12 @@ class Surrogates:
 
     def string(self, text: str, tweak: str, alphabets: dict[str, str] | None = None) -> str:
         """The text with each character replaced within its class; others stay, and letter case does."""
-        classes = _CLASS if alphabets is None else alphabets
+        classes = _alphabet if alphabets is None else alphabets.get
         out = []
         for at in range(0, len(text), _PART):
             part = text[at : at + _PART]
-            low = [c.lower() if len(c.lower()) == 1 else c for c in part]
-            sets = [classes.get(c) for c in low]
+            low = list(map(_folded, part))
+            sets = [classes(c) for c in low]
             size = number = 1
             number = 0
             for c, s in zip(low, sets, strict=True):
@@ -73,24 +111,34 @@ class Surrogates:
                 if s := sets[i]:
                     number, digit = divmod(number, len(s))
                     low[i] = s[digit]
-            out.append("".join(n.upper() if c != c.lower() else n for c, n in zip(part, low, strict=True)))
+            for i, (c, n) in enumerate(zip(part, low, strict=True)):
+                if c.isdecimal():
+                    low[i] = _like(n, c)
+                elif n == "σ" and c == c.lower() and not text[at + i + 1 : at + i + 2].isalpha() and text[: at + i][-1:].isalpha():
+                    low[i] = "ς"
+                elif c != c.lower():
+                    low[i] = n.upper()
+            out += low
         return "".join(out)
 
     def digits(self, text: str, tweak: str) -> str:
         """The text with its digits replaced, whatever stands between them."""
-        new = iter(self.string("".join(c for c in text if c.isdigit()), tweak))
-        return "".join(next(new) if c.isdigit() else c for c in text)
+        new = iter(self.string("".join(c for c in text if c.isdecimal()), tweak))
+        return "".join(next(new) if c.isdecimal() else c for c in text)
 
     def email(self, text: str) -> str:
         """Each domain has one surrogate; its last label stays, as do the domains kept for examples."""
         local, _, domain = text.rpartition("@")
         labels = domain.split(".")
-        keep = 2 if domain.lower().endswith(("example.com", "example.org", "example.net")) else 1
+        last = folded(labels[-1])
+        keep = 2 if len(labels) > 1 and (folded(labels[-2]), last) in _EXAMPLES else 1
         for i in range(len(labels) - keep):
             labels[i] = self.string(labels[i], "domain")
-        if not any(c.lower() in _CLASS for c in local):
-            return f"{self.string('a', domain.lower())}{local}@{'.'.join(labels)}"
-        return f"{self.string(local, 'local@' + domain.lower())}@{'.'.join(labels)}"
+            # no other domain becomes one of those for examples
+            while i == len(labels) - 2 and (folded(labels[i]), last) in _EXAMPLES:
+                labels[i] = self.string(labels[i], "domain")
+        alphabets = None if any(map(_alphabet, folded(local))) else _MARKS
+        return f"{self.string(local, 'local@' + folded(domain), alphabets)}@{'.'.join(labels)}"
 
     def phone(self, text: str) -> str:
         """The last ten digits are replaced together, so that a mention without the country's code gets the same."""
@@ -103,11 +151,11 @@ class Surrogates:
 
     def card(self, text: str) -> str:
         """All digits but the last; that is as far from the right check digit as before."""
-        old = [int(c) for c in text if c.isdigit()]
+        old = [int(c) for c in text if c.isdecimal()]
         new = [int(c) for c in self.string("".join(map(str, old[:-1])), "card")]
         shift = (old[-1] - _check_digit(old[:-1])) % 10
         digits = iter([*new, (_check_digit(new) + shift) % 10])
-        return "".join(str(next(digits)) if c.isdigit() else c for c in text)
+        return "".join(_like(str(next(digits)), c) if c.isdecimal() else c for c in text)
 
     def ip(self, text: str) -> str:
         a, b, c, d = map(int, text.split("."))
@@ -118,17 +166,20 @@ class Surrogates:
         return self.digits(text, "ssn")
 
     def iban(self, text: str) -> str:
-        """The country stays, the check digits are made anew."""
-        plain = text.replace(" ", "")
-        body = self.string(plain[4:], "iban" + plain[:2].upper())
-        number = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00"))
-        new = iter(f"{plain[:2]}{98 - number % 97:02d}{body}")
+        """The country stays; the check digits are as far from the right ones as before, so other ones stay other ones."""
+        plain = folded(text).upper().replace(" ", "")
+        body = self.string(plain[4:], "iban" + plain[:2])
+        shift = int(plain[2:4]) - _iban_check(plain[:2], plain[4:])
+        new = iter(f"{plain[:2]}{(_iban_check(plain[:2], body) + shift) % 100:02d}{body}")
         return "".join(c if c == " " else next(new) for c in text)
 
     def secret(self, text: str) -> str:
         hexadecimal = all(c in HEX for c in text.lower())
         if not hexadecimal:
-            return self.string(text, "secret")
+            new = self.string(text, "secret")
+            while all(c in HEX for c in new.lower()):  # these stand for hexadecimal ones
+                new = self.string(new, "secret")
+            return new
         new = self.string(text.lower(), "secret", dict.fromkeys(HEX, HEX))
         return new.upper() if text == text.upper() else new
 
@@ -138,8 +189,20 @@ class Surrogates:
         new = names[self.permutation(names.index(low), len(names), ("given" + names[0]).encode())]
         return new.upper() if name.isupper() and len(name) > 1 else new.title()
 
-    def family(self, name: str) -> str:
-        return self.string(name, "family")
+    def family(self, name: str, given: dict[str, tuple[str, ...]] | None = None) -> str:
+        """A name of the same format that is none of the given names (by their folded form); those have their own surrogates."""
+        given = given or {}
+        if names := given.get(folded(name)):
+            return self.given(name, names)
+        new = self.string(name, "family")
+        while folded(new) in given:
+            new = self.string(new, "family")
+        return new
+
+
+def _iban_check(country: str, body: str) -> int:
+    """The check digits of an IBAN."""
+    return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
 
 
 def _check_digit(digits: list[int]) -> int:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestream.llm import pii
-from lodestream.llm.surrogates import Permutation, Surrogates, _check_digit
+from lodestream.llm.surrogates import Permutation, Surrogates, _check_digit, folded
 from tests.llm import helpers
 
 OWN = Surrogates(b"test")
@@ -106,3 +106,33 @@ def test_odd_rows(spark):
     assert mails[1].lower() == mails[3].lower()
     assert pii.pseudonymised(helpers.empty(spark)).count() == 0
     assert pii.mapping(helpers.empty(spark)).count() == 0
+
+
+#: Texts whose entities had one surrogate together, or none of their own.
+COLLIDING = [
+    "Password: ____________________ and token = ----------------",
+    "DE89370400440532013000 DE88370400440532013000 XX00ABCD12345678 XX97ABCD12345678",
+    "._@example.com a._@example.com 中文@x.org 中国@x.org",
+    "ssn ١٢٣-٤٥-٦٧٨٩ or 123-45-6789, ١.2.3.4 or 1.2.3.4",
+    "Dr Ça and Dr Ña and Dr Ssa and Dr Βα and Dr Γα and Dr Σα and Dr Жї and Mrs Łódź",
+    "Anna Martin and Martin Walter",
+]
+
+
+def test_nothing_collides_or_stands_for_itself(spark):
+    for text in COLLIDING:
+        pairs = {(kind, folded(text[a:b]), folded(new)) for a, b, kind, new in pii.entities(text, OWN)}
+        assert len({(k, new) for k, _, new in pairs}) == len(pairs) and all(old != new for _, old, new in pairs)
+    docs = spark.createDataFrame(enumerate(COLLIDING), "doc_id long, text string")
+    texts = [r["text"] for r in pii.pseudonymised(docs).orderBy("doc_id").collect()]
+    assert texts[0] == COLLIDING[0] and "中" not in texts[2] and "٤" not in texts[3].split()[1][4:6] and len(texts) == len(COLLIDING)
+    assert len({OWN.iban(f"XX{n:02d}ABCD12345678") for n in range(100)}) == 100
+    assert len({folded(n) for names in pii.GIVEN.values() for n in names}) == sum(map(len, pii.GIVEN.values()))
+
+
+def test_family_names_are_no_given_names():
+    """Over a whole format: all family names of three letters, with the given names among them."""
+    names = [a + b + c for a in "aeiou" for b in "bcdfghjklmnpqrstvwxyz" for c in "aeiou"]
+    new = [OWN.family(n, pii._FOLDED) for n in names]
+    assert len(set(new)) == len(names) and {"eva"} & set(names)
+    assert all((n in pii._FOLDED) == (folded(x) in pii._FOLDED) for n, x in zip(names, new, strict=True))
