@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import blocks, bound_batches, table, texts_of
+from lodestream.llm.html_text import STOP_WORDS
 from lodestream.llm.surrogates import Surrogates, folded
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret", "person")
@@ -33,10 +35,20 @@ _CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏЀ-Я]"
 _NAME = rf"{_CAPITAL}[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
-_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key)\b[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?P<secret>[A-Za-z0-9+/_-]{16,})", re.I)
+#: A keyword and a value: in quotes, or up to white space, a quote, "<" or "&". Behind other words than those for passwords
+#: and a colon, a value without quotes is a secret only if it is long or has a digit, a sign or a capital within.
+_SECRET = re.compile(
+    r"(?<![^\W_])(?:(?P<pass>passwords?|passwd|pwd|passphrase|passcode)|(?:token|secret|api[_ -]?key|access[_ -]?key|secret[_ -]?key|secret[_ -]?access[_ -]?key|private[_ -]?key|auth[_ -]?token|access[_ -]?token))(?![^\W_])"
+    r"[\"']?\s{0,4}(?P<sign>[:=])\s{0,4}(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|[\"']?(?P<bare>[^\s\"'<>&]+))",
+    re.I,
+)
+_TELLING = re.compile(r".{15}|.*[\d+/_-]|.+[A-Z]")
+_BARE_END = re.compile(r"[^\w+/=-]+\Z")
 #: Prefixes of keys that services give out; they stay.
-_ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "sk-", "xoxb-", "xoxp-")
-_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(_ISSUED)})(?P<secret>[A-Za-z0-9]{{16,}})(?![A-Za-z0-9])")
+_ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")
+#: Behind the prefix 16 characters or more, letters and digits only or with dashes and a digit.
+_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(_ISSUED)})(?P<secret>[A-Za-z0-9]{{16,}}(?![A-Za-z0-9_-])|(?=[A-Za-z_-]*\d)[A-Za-z0-9][A-Za-z0-9_-]{{14,}}[A-Za-z0-9]|[A-Za-z0-9]{{16,}}(?![A-Za-z0-9]))")
+_IP6 = re.compile(rf"(?<![\w:.])(?=[0-9A-Fa-f]{{0,4}}:[0-9A-Fa-f]{{0,4}}:)[0-9A-Fa-f:]{{2,39}}(?:(?<=:){_OCTET}(?:\.{_OCTET}){{3}})?(?!\w|:\w|\.\d)")
 _NUMBER = re.compile(
     rf"(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))"
     rf"|(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d))"
@@ -47,7 +59,10 @@ _NUMBER = re.compile(
 _DIGITS = re.compile(r"\d+")
 _PAIR = re.compile(rf"(?<![^\W_]){_CAPITAL}[^\W\d_]+(?=(?: {_CAPITAL}\.)? {_CAPITAL}[^\W\d_])")
 _FAMILY = re.compile(rf"(?: {_CAPITAL}\.)? (?P<family>{_NAME})\b")
-_TITLED = re.compile(rf"\b(?:{_TITLES})\.? (?P<family>{_NAME})\b")
+#: Behind a title a family name, or a given name and a family name.
+_TITLED = re.compile(rf"\b(?:{_TITLES})\.? (?P<first>{_NAME})\b(?:(?: {_CAPITAL}\.)? (?P<second>{_NAME})\b)?")
+_BARE_NAME = re.compile(rf"(?<![^\W_]){_NAME}(?![^\W_])")
+_STOP = frozenset(word for words in STOP_WORDS.values() for word in words)
 
 
 def _numbers(text: str):
@@ -62,6 +77,36 @@ def _numbers(text: str):
                 break
 
 
+def _secrets(text: str):
+    """The spans of values behind keywords."""
+    for m in _SECRET.finditer(text):
+        group = m.lastgroup
+        start, end = m.span(group)
+        if group == "bare":
+            if over := _BARE_END.search(text, start, end):
+                end = over.start()
+            if not m["pass"] and m["sign"] == ":" and not _TELLING.match(text, start, end):
+                continue
+        if end > start:
+            yield start, end
+
+
+def _addresses(text: str):
+    """The spans of IPv6 addresses; a full stop or colon behind one isn't part of it."""
+    for m in _IP6.finditer(text):
+        address = m[0] if m[0].endswith("::") else m[0].rstrip(":")
+        try:
+            IPv6Address(address)
+        except AddressValueError:
+            continue
+        yield m.start(), m.start() + len(address)
+
+
+def _identity(kind: str, original: str) -> str:
+    """The original as its surrogate depends on it; an IPv6 address may be written in several ways."""
+    return IPv6Address(original).exploded if kind == "ip" and ":" in original else folded(original)
+
+
 def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str]]:
     """start, end, kind and surrogate of each entity, in order and without overlaps; the earlier kinds win.
 
@@ -71,9 +116,11 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
     if "@" in text:
         found += [(*m.span(), "email", surrogates.email(m[0])) for m in _EMAIL.finditer(text)]
     if "=" in text or ":" in text:
-        found += [(*m.span("secret"), "secret", surrogates.secret(m["secret"])) for m in _SECRET.finditer(text)]
+        found += [(a, b, "secret", surrogates.secret(text[a:b])) for a, b in _secrets(text)]
     if any(map(text.__contains__, _ISSUED)):
         found += [(*m.span("secret"), "secret", surrogates.secret(m["secret"])) for m in _KEY.finditer(text)]
+    if text.count(":") > 1:
+        found += [(a, b, "ip", surrogates.ip6(text[a:b])) for a, b in _addresses(text)]
     for m in _numbers(text):
         found.append((*m.span(), m.lastgroup, getattr(surrogates, m.lastgroup)(m[0])))
     for m in _PAIR.finditer(text):
@@ -82,8 +129,12 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
             found.append((*m.span(), "person", surrogates.given(m[0], names)))
             found.append((*f.span("family"), "person", surrogates.family(f["family"], _FOLDED)))
     for m in _TITLED.finditer(text):
-        if m["family"].lower() not in _LIST:
-            found.append((*m.span("family"), "person", surrogates.family(m["family"], _FOLDED)))
+        for part in ("first", "second"):
+            if m[part] and (part == "second" or m["second"] or folded(m["first"]) not in _FOLDED):
+                found.append((*m.span(part), "person", surrogates.family(m[part], _FOLDED)))
+    # names that were found stand for the same person wherever the document has them alone
+    if names := {folded(text[a:b]) for a, b, kind, _ in found if kind == "person"} - _STOP:
+        found += [(*m.span(), "person", surrogates.family(m[0], _FOLDED)) for m in _BARE_NAME.finditer(text) if folded(m[0]) in names]
     found = [e for e in found if folded(e[3]) != folded(text[e[0] : e[1]])]
     if len(found) < 2:
         return found
@@ -115,7 +166,7 @@ def mapping(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     def run(batches):
         own = _surrogates(key)
         for batch in batches:
-            pairs = {(kind, folded(text[a:b]), folded(new)) for text in texts_of(batch.column("text")).to_pylist() for a, b, kind, new in entities(text, own)}
+            pairs = {(kind, _identity(kind, text[a:b]), folded(new)) for text in texts_of(batch.column("text")).to_pylist() for a, b, kind, new in entities(text, own)}
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*pairs, strict=True)] or [pa.array([], pa.string())] * 3, names=["kind", "original", "surrogate"])
 
     return documents.select("text").mapInArrow(run, "kind string, original string, surrogate string").distinct()

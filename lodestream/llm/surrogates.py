@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from functools import lru_cache
+from ipaddress import IPv6Address
 from math import isqrt
 
 #: Alphabets whose characters stand in for each other: digits, and by script vowels and consonants.
@@ -162,6 +163,12 @@ class Surrogates:
         n = self.permutation(a << 24 | b << 16 | c << 8 | d, 1 << 32, b"ip")
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
 
+    def ip6(self, text: str) -> str:
+        """Of an address the same surrogate however it is written, in the shortest form."""
+        n = self.permutation(int(IPv6Address(text)), 1 << 128, b"ip6")
+        new = IPv6Address(n).compressed
+        return new.upper() if text != text.lower() else new
+
     def ssn(self, text: str) -> str:
         return self.digits(text, "ssn")
 
@@ -174,13 +181,12 @@ class Surrogates:
         return "".join(c if c == " " else next(new) for c in text)
 
     def secret(self, text: str) -> str:
-        hexadecimal = all(c in HEX for c in text.lower())
-        if not hexadecimal:
+        if not all(c in HEX for c in folded(text)):
             new = self.string(text, "secret")
-            while all(c in HEX for c in new.lower()):  # these stand for hexadecimal ones
+            while all(c in HEX for c in folded(new)):  # these stand for hexadecimal ones
                 new = self.string(new, "secret")
             return new
-        new = self.string(text.lower(), "secret", dict.fromkeys(HEX, HEX))
+        new = self.string(folded(text), "secret", dict.fromkeys(HEX, HEX))
         return new.upper() if text == text.upper() else new
 
     def given(self, name: str, names: tuple[str, ...]) -> str:

@@ -136,3 +136,28 @@ def test_family_names_are_no_given_names():
     new = [OWN.family(n, pii._FOLDED) for n in names]
     assert len(set(new)) == len(names) and {"eva"} & set(names)
     assert all((n in pii._FOLDED) == (folded(x) in pii._FOLDED) for n, x in zip(names, new, strict=True))
+
+
+WIDER = {
+    "password = 'hunter2-Secret' and Password: abc": [("secret", "hunter2-Secret"), ("secret", "abc")],
+    "DB_PASSWORD=s3.cr,et! then api_key: ab.cd.e1": [("secret", "s3.cr,et"), ("secret", "ab.cd.e1")],
+    "The secret: he was late. Its token: x9": [("secret", "x9")],
+    "xoxb-123456789012-abcdefABCDEF then sk-proj-abc123def456ghi789": [("secret", "123456789012-abcdefABCDEF"), ("secret", "proj-abc123def456ghi789")],
+    "at 2001:db8::8a2e:370:7334, FE80::1 and ::ffff:10.1.2.3; not 12:30:45": [("ip", "2001:db8::8a2e:370:7334"), ("ip", "FE80::1"), ("ip", "::ffff:10.1.2.3")],
+    "Dr Priya Raman said that Raman and PRIYA came": [("person", "Priya"), ("person", "Raman"), ("person", "Raman"), ("person", "PRIYA")],
+    "Smith? John Smith, then Smith and John's": [("person", "Smith"), ("person", "John"), ("person", "Smith"), ("person", "Smith"), ("person", "John")],
+}
+
+
+@pytest.mark.parametrize("text", WIDER)
+def test_wider_patterns(text):
+    got = pii.entities(text, OWN)
+    assert [(kind, text[a:b]) for a, b, kind, _ in got] == WIDER[text]
+    named = {}
+    for a, b, kind, new in got:
+        assert named.setdefault((kind, folded(text[a:b])), folded(new)) == folded(new) != folded(text[a:b])
+
+
+def test_addresses_written_in_several_ways_are_one():
+    assert OWN.ip6("2001:db8::1") == OWN.ip6("2001:0db8:0:0:0:0:0:1") == OWN.ip6("2001:DB8::1").lower()
+    assert len({OWN.ip6(f"2001:db8::{n:x}") for n in range(300)}) == 300
