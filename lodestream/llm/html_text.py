@@ -44,8 +44,10 @@ _IN_ARTICLE = {"header", "alert", "tags"}  # of the article itself
 _COMMENTS = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond"}
 _BUT = {"has", "no", "with", "without"}
 
-#: A comment, a declaration, or a tag; quotes that don't end soon are taken as ordinary characters.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+')*+>|[^>]*+>)""", re.S)
+#: A comment, a declaration, or the begin of a tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: Within a tag its end, or the quote that opens a value.
+_NEXT = re.compile(r""">|=\s*+["']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -152,9 +154,31 @@ class _Parser:
                 return  # a stray end doesn't close these
 
 
+def _tag_end(page: str, start: int, dead: set[int]) -> int:
+    """The position behind the tag that goes on at start; its quoted values may be of any length.
+
+    Where a quote isn't closed, or no tag ends outside of quotes, the next ">" ends it. dead holds the values from which
+    that was found; so a page is looked through once. The caller sees to it that a ">" follows.
+    """
+    at, seen = start, []
+    while found := _NEXT.search(page, at):
+        if found[0] == ">":
+            return found.end()
+        if found.start() in dead:
+            break
+        seen.append(found.start())
+        close = page.find(found[0][-1], found.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(seen)
+    return page.index(">", start) + 1
+
+
 def cut(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     parser, at, size = _Parser(), 0, len(page)
+    last, dead = page.rfind(">"), set()
     while at < size:
         found = _TOKEN.search(page, at)
         if not found:
@@ -164,7 +188,11 @@ def cut(page: str) -> list[Block]:
             parser.say(page[at : found.start()])
         at = found.end()
         if tag := found[2]:
-            tag = tag.lower()
+            if found.start() > last:  # no tag ends any more, and only a comment is left out
+                comment = page.find("<!--", found.start())
+                parser.say(page[found.start() : comment if comment >= 0 else size])
+                break
+            tag, begin, at = tag.lower(), at, _tag_end(page, at, dead)
             if found[1]:
                 parser.end(tag)
             elif tag in _RAW:
@@ -172,7 +200,7 @@ def cut(page: str) -> list[Block]:
                 at = end.start() if end else size
                 parser.flush() if tag != "title" else None
             else:
-                parser.start(tag, found[3][:-1])
+                parser.start(tag, page[begin : at - 1])
     parser.flush()
     return parser.blocks
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -67,3 +68,21 @@ def test_odd_rows(spark):
     got = html_text.html_text(spark.createDataFrame(rows, helpers.PAGES)).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 1, 1, 5 * 300_000 - 1]
     assert html_text.html_text(helpers.empty(spark, helpers.PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("size", [3000, 5000, 300_000])
+def test_quoted_values_of_any_length(size):
+    value = f"<p>{PROSE}</p>" * (size // 200)
+    for quote in "\"'":
+        source = page(f"<article><p>{PROSE}</p><div data-x={quote}{value}{quote} srcdoc = {quote}{value}{quote}>after</div><p>{PROSE}</p></article>")
+        assert html_text.extract(source) == f"{PROSE} after {PROSE}"
+    # quotes that don't open a value, or aren't closed
+    assert html_text.extract(page(f"<article><p title=it's>{PROSE}</p>{'<br>' * size}<p>it's {PROSE}</p></article>")) == f"{PROSE} it's {PROSE}"
+    assert html_text.extract(page(f"<article><p title=\">{PROSE}</p></article>")) == PROSE
+
+
+def test_hostile_quotes_end_soon():
+    for source in ("<p a='>' " * 30_000, "<p a='>\" " * 30_000, "<a" * 100_000, "<a <!--" * 30_000, "<p title='" * 30_000 + ">", "<p a=\"'>" * 30_000):
+        begin = time.monotonic()
+        html_text.extract(source)
+        assert time.monotonic() - begin < 20
