@@ -1,9 +1,9 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by digests of windows of lines.
 
-A window is a run of lines that reaches MIN_WORDS words with its last line, or with its first. Its fingerprint is the
-smallest line hash in it. Any run of that many words that stands twice holds the same windows in both places, so the
-same minima are selected there and meet in a join, on the minimum and the lines around it. Windows that start at each
-line and that end at each line together reach to both ends of a repeated run.
+A window is a run of lines that reaches MIN_WORDS words with its last line, or with its first. Any run of that many words
+that stands twice holds the same windows in both places, and they meet in a join on the digest of all their lines.
+Windows that start at each line and that end at each line together reach to both ends of a repeated run of whole lines.
+Nothing is winnowed: each window is a row, and its fingerprint, the smallest line hash in it, follows from the digest.
 """
 
 from __future__ import annotations
