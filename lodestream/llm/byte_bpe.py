@@ -17,14 +17,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import blocks, bound_batches, table, texts_of
+from lodestream.llm.common import Memory, blocks, bound_batches, extended, table, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Byte b is written as the character FIRST + b, which no normalisation or white-space rule touches.
 FIRST = 0x4E00
-#: Distinct pieces of text that a worker remembers; beyond that it starts anew.
-CACHE = 600_000
+#: Bytes of pre-tokens, and of pieces of text, that a worker remembers with their ids.
+CACHE_BYTES = 64 << 20
 #: Marks the piece at the start of a text.
 HEAD = "\0"
 
@@ -73,51 +73,60 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes as the ranks say; remembers pieces of text up to a bound.
+    """Encodes and decodes as the ranks say; remembers short pieces of text and pre-tokens in bounded memory.
 
-    A pre-token holds a space only as its first character, or within a run of white space. So a text may be cut
-    before each space, and the pieces matched and remembered one by one, unless a run of white space goes on over
-    such a cut; texts with such runs are matched whole.
+    A pre-token holds a space only as its first character, or within a run of white space. So a text may be cut at
+    each space that stands between two characters that are none, and the pieces be matched and remembered one by one.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.ranks, self.tokens = ranks, [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.find, self.runs = pre_token_pattern(pattern).findall, re.compile(r"\s (?:\s|\Z)").search
+        self.cuts = re.compile(r"(?<=\S) (?=\S)").split
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.table = {b: chr(FIRST + b) for b in range(256)}
-        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Memory(CACHE_BYTES), Memory(CACHE_BYTES)  # ids as 32-bit integers
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text: each pre-token is a token of the vocabulary, or what the merges make of it."""
         cut = [self._cut(text) for text in texts]
-        if len(self.pieces) > CACHE:
-            self.pieces, self.known = {}, {}
-        new = list(set(chain.from_iterable(cut)).difference(self.pieces))
-        found = [self.find(piece[1:] if piece[:1] == HEAD else " " + piece) for piece in new]
-        self._learn(set(chain.from_iterable(found)).difference(self.known))
-        known = self.known.__getitem__
-        self.pieces.update(zip(new, (b"".join(map(known, tokens)) for tokens in found), strict=True))
-        ids = self.pieces.__getitem__
+        kinds = list(set(chain.from_iterable(cut)))
+        ids = dict(zip(kinds, self.pieces.lookup(kinds, self._matched), strict=True)).__getitem__
         return [np.frombuffer(b"".join(map(ids, pieces)), np.int32) for pieces in cut]
 
     def _cut(self, text: str) -> list[str]:
         """Pieces that stand behind a space which they leave out; HEAD marks one that stands at the start of the text."""
         text = HEAD + text
         if self.runs(text) or HEAD in text[1:]:
-            return [text]
+            first, *rest = self.cuts(text)
+            # what begins with HEAD itself stays with the piece before it
+            out = [first]
+            for piece in rest:
+                if piece[0] == HEAD:
+                    out[-1] += " " + piece
+                else:
+                    out.append(piece)
+            return out
         return text.split(" ")
 
-    def _learn(self, tokens: set[str]) -> None:
+    def _matched(self, pieces: list[str]) -> list[bytes]:
+        found = [self.find(piece[1:] if piece[:1] == HEAD else " " + piece) for piece in pieces]
+        kinds = list(set(chain.from_iterable(found)))
+        ids = dict(zip(kinds, self.known.lookup(kinds, self._merged), strict=True)).__getitem__
+        return [b"".join(map(ids, tokens)) for tokens in found]
+
+    def _merged(self, tokens: list[str]) -> list[bytes]:
+        out = {}
         merge = []
         for token in tokens:
             rank = self.ranks.get(token.encode())
             if rank is None:
                 merge.append(token)
             else:
-                self.known[token] = struct.pack("=i", rank)
+                out[token] = struct.pack("=i", rank)
         for token, ids in zip(merge, self.model.encode([t.encode().decode("latin-1").translate(self.table) for t in merge], num_threads=1), strict=True):
-            self.known[token] = struct.pack(f"={len(ids)}i", *[i - 1 for i in ids])
+            out[token] = struct.pack(f"={len(ids)}i", *[i - 1 for i in ids])
+        return [out[token] for token in tokens]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -156,8 +165,7 @@ def encode(documents: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 columns = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] if ids else [])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
-    before = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema]
-    return documents.mapInArrow(run, ", ".join([*before, *(f"{k} {v}" for k, v in added.items())]))
+    return documents.mapInArrow(run, extended(documents, ", ".join(f"{k} {v}" for k, v in added.items())))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -170,8 +178,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             got = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, "bytes"])
 
-    before = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema]
-    return encoded.mapInArrow(run, ", ".join([*before, "bytes binary"]))
+    return encoded.mapInArrow(run, extended(encoded, "bytes binary"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

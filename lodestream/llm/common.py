@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a task holds in numpy arrays at a time (one longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
@@ -24,19 +27,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches by bytes, so that many long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bounds the Arrow batches by bytes, so that many long texts don't meet in one batch.
+
+    Spark reads these settings when a job runs. A user's own settings, told by not being Spark's defaults, are kept.
+    """
+    for name, default, most in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def column(name: str) -> Column:
+    """The column of this name, whatever characters the name has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def columns(names: Iterable[str]) -> list[Column]:
+    return [column(name) for name in names]
+
+
+def extended(df: DataFrame, added: str, names: Iterable[str] | None = None) -> T.StructType:
+    """The schema of df, or of its columns of these names, and the added columns (DDL) behind it."""
+    kept = df.schema.fields if names is None else [df.schema[name] for name in names]
+    return T.StructType([*kept, *T._parse_datatype_string(added).fields])
+
+
+#: Rows of a table that is broadcast by small(), at most.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is counted to have BROADCAST_ROWS at most.
+
+    Larger ones are left to a shuffled join, whose hot keys Spark splits.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that driver and executors share.
 
-    It is spark.checkpoint.dir; only where that is unset (local runs and tests) a temporary folder serves.
+    It is spark.checkpoint.dir. Where that is unset a temporary folder serves in local mode, in which there is one
+    machine; on a cluster it is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(sc, "_lodestream_dir", None)
         if not base:
             base = sc._lodestream_dir = tempfile.mkdtemp(prefix="spark-")
@@ -99,6 +136,43 @@ def numbered(values: pa.Array | np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+class Memory:
+    """What a worker remembers of short keys, in a bounded number of bytes.
+
+    It has two generations: when the younger has half the bytes it becomes the older, whose entries are forgotten unless
+    they were asked for since. Keys of more than LONGEST characters or bytes aren't kept.
+    """
+
+    LONGEST, ENTRY = 64, 200  # bytes that an entry takes besides its contents
+
+    def __init__(self, most: int = 64 << 20):
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
+
+    def lookup(self, keys: list, learn) -> list:
+        """The values of the keys, which are distinct; learn(keys) gives those of the keys that aren't known."""
+        found = list(map(self.young.get, keys))
+        at = [i for i, v in enumerate(found) if v is None]
+        if at and self.old:
+            for i in at:
+                found[i] = self.old.get(keys[i])
+            self.keep({keys[i]: found[i] for i in at if found[i] is not None})
+            at = [i for i in at if found[i] is None]
+        if at:
+            new = [keys[i] for i in at]
+            values = learn(new)
+            for i, v in zip(at, values, strict=True):
+                found[i] = v
+            self.keep(dict(zip(new, values, strict=True)))
+        return found
+
+    def keep(self, entries: dict) -> None:
+        short = {k: v for k, v in entries.items() if len(k) <= self.LONGEST}
+        self.young.update(short)
+        self.size += sum(map(len, short)) + sum(map(len, short.values())) + self.ENTRY * len(short)
+        if self.size > self.most // 2:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 #: The separators of words: space and \t \n \v \f \r.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -108,10 +182,10 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a block of texts, as arrays over all of them.
 
     doc: the text of each word; id: its number; vocab: the words (bytes) by number; per text: n (words), lead and
-    last (its first word and the one after its last).
+    last (its first word and the one after its last). Without ``number`` there are no id and vocab.
     """
 
-    def __init__(self, texts: pa.LargeStringArray):
+    def __init__(self, texts: pa.LargeStringArray, number: bool = True):
         self.data, self.offsets = raw(texts)
         n, size = len(texts), len(self.data)
         gap = SEPARATOR[self.data]
@@ -127,7 +201,8 @@ class Words:
         self.n = np.bincount(self.doc, minlength=n)
         self.last = np.cumsum(self.n)
         self.lead = self.last - self.n
-        self.id, self.vocab = numbered(strings(self.data[self.inside], self.end - self.start))
+        if number:
+            self.id, self.vocab = numbered(strings(self.data[self.inside], self.end - self.start))
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many of the flagged bytes each text has."""

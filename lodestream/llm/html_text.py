@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm.common import blocks, bound_batches, table, texts_of
+from lodestream.llm.common import blocks, bound_batches, extended, table, texts_of
 
 #: Fixed thresholds: characters of short and of long blocks, shares of stop words, share of linked characters.
 SHORT, LONG = 70, 200
@@ -287,8 +287,7 @@ def html_text(pages: DataFrame) -> DataFrame:
                 texts = [extract(page) for page in texts_of(part.column("html")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*part.schema.names, "text", "n_chars"])
 
-    before = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema]
-    return pages.mapInArrow(run, ", ".join([*before, "text string", "n_chars bigint"]))
+    return pages.mapInArrow(run, extended(pages, "text string, n_chars bigint"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

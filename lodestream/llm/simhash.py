@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Words, blocks, bound_batches, table, texts_of, written
+from lodestream.llm.common import Words, blocks, bound_batches, extended, table, texts_of, written
 from lodestream.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -83,8 +83,7 @@ def simhash(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                 fp = fingerprints_of(texts_of(part.column("text")), shingle, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*part.schema.names, "fp"])
 
-    before = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema]
-    return documents.mapInArrow(run, ", ".join([*before, "fp bigint"]))
+    return documents.mapInArrow(run, extended(documents, "fp bigint"))
 
 
 def _mask(segments) -> int:

@@ -24,7 +24,7 @@ with open(BPE, "rb") as lines:
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 TOKENIZER = Tokenizer.from_file(WORDS)
 TOKENIZER.encode_special_tokens = True
-PARTS = ["\x1c", "\x1f", "\x85", "\xa0", " ", "  ", "\n", "\t", "\0", "\x01", "a", "B", "é", "ß", "Σ", "İ", "中", "一", "\U0001f600", "​", "　", "0", "٣", "½", "́", "▁", "'s", "'ll", "<unk>", "<|endoftext|>", "ﬁ", "the", " of"]
+PARTS = ["\x1c", "\x1f", "\x85", "\xa0", " ", "  ", "\n", "\t", "\0", "\x01", "a", "B", "é", "ß", "Σ", "İ", "中", "一", "\U0001f600", "​", "　", "0", "٣", "½", "́", "▁", "'s", "'ll", "<unk>", "<|endoftext|>", "ﬁ", "the", " of", "×", "÷", "À", "ÿ", "don't", "Œ"]
 TEXTS = st.lists(st.sampled_from(PARTS), max_size=30).map("".join)
 
 
@@ -37,6 +37,28 @@ def test_byte_bpe_is_that_of_tiktoken(texts):
     assert [own.decode(x) for x in got] == [t.encode() for t in texts]
 
 
+def held(memory):
+    return sum(len(k) + len(v) + memory.ENTRY for part in (memory.young, memory.old) for k, v in part.items())
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    """Indented code, and text without spaces."""
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 1 << 20)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1 << 20)
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choices("abcdefghij", k=7))
+    code = ["\n".join(f"{'    ' * rng.randrange(4)}{name()} = {name()}({name()}, {rng.randrange(10**6)})" for _ in range(150)) for _ in range(150)]
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3000)) for _ in range(150)]
+    own, words = byte_bpe.Codec(RANKS), packing.WordTokens(WORDS)
+    for at in range(0, 150, 10):
+        for texts in (code[at : at + 10], chinese[at : at + 10]):
+            assert [x.tolist() for x in own.encode(texts)] == TIKTOKEN.encode_ordinary_batch(texts)
+            assert [x.tolist() for x in words.encode(pa.array(texts, pa.large_string()))] == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+            for memory in (own.pieces, own.known, words.known):
+                assert held(memory) <= 1.5 * (1 << 20) and all(len(k) <= memory.LONGEST for k in memory.young)
+    assert words.known.young or words.known.old
+
+
 def test_op8_on_all_documents(spark, data):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = byte_bpe.op8_byte_bpe(spark, data).collect()
