@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Words, blocks, bound_batches, table, texts_of, written
+from lodestream.llm.common import Memory, Words, blocks, bound_batches, columns, extended, numbered, strings, table, texts_of, written
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -30,8 +28,8 @@ CAPACITY = 2048
 #: cardinality. Rounding costs room that only small pieces can fill, so what is best depends on how many there are: each
 #: pair makes a plan, and the plan with the fewest bins is taken.
 SETTINGS = ((2, 20), (3, 10), (8, 40))
-#: Distinct words, and pre-tokens, that a worker remembers; beyond that it starts anew.
-CACHE = 600_000
+#: Bytes of pre-tokens and their ids that a worker remembers.
+CACHE_BYTES = 128 << 20
 
 # ---------------------------------------------------------------- tokens
 
@@ -39,15 +37,13 @@ CACHE = 600_000
 class WordTokens:
     """Ids of texts, by words between ASCII white space, which no pre-token of the vocabulary crosses.
 
-    A new word of plain characters is put in lower case and cut into pre-tokens as the vocabulary's own pattern does,
-    and only new pre-tokens are encoded, many at a time, with a mark between them that is a token of its own. Words of
-    other characters, whose normal form or class may depend on the library's tables, are encoded whole.
+    Words of plain characters are put in lower case and cut into pre-tokens (letters, a digit, other characters) for all
+    texts of a block at once, and only new pre-tokens are encoded, many at a time, with a mark between them that is a
+    token of its own. Words of other characters, whose normal form or class may depend on the library's tables, and
+    those with an apostrophe, which may begin a pre-token, are encoded whole.
     """
 
     MARK = "\x01"
-    #: ASCII and the common letters of western European languages: composed already, and one character in either case.
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿŒœ]+").fullmatch
-    PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+").findall
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,43 +52,35 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.mark,) = self._ids([self.MARK])[0]
-        self.words: dict[bytes, bytes] = {}  # ids as 32-bit integers
-        self.pre_tokens: dict[str, bytes] = {}
+        self.known = Memory(CACHE_BYTES)  # ids of pre-tokens and of whole words, as 32-bit integers
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.LargeStringArray) -> list[np.ndarray]:
-        """The ids of each text. The words of all texts are numbered first, so that each different one is looked up once."""
-        words = Words(texts)
-        kinds = words.vocab.to_pylist()
-        if len(self.words) > CACHE:
-            self.words = {}
-        if len(self.pre_tokens) > CACHE:
-            self.pre_tokens = {}
-        self._learn(set(kinds).difference(self.words))
-        found = list(map(self.words.__getitem__, kinds))
+        """The ids of each text. The pre-tokens of all texts are numbered first, so that each different one is looked up once."""
+        words = Words(texts, number=False)
+        data, plain, first = _pre_tokens(words)
+        start = np.flatnonzero(first)
+        code, vocab = numbered(strings(data[words.inside], np.diff(np.append(np.cumsum(words.inside)[start] - 1, np.count_nonzero(words.inside)))))
+        kinds = vocab.to_pylist()
+        easy = np.zeros(len(kinds), bool)
+        easy[code] = plain[start]
+        simple = lambda: dict(zip(kinds, easy.tolist(), strict=True))
+        found = self.known.lookup(kinds, lambda new: self._learn(new, simple()))
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, begin = np.frombuffer(b"".join(found), "<i4"), np.cumsum(size) - size
-        many = size[words.id]
+        many = size[code]
         end = np.append(0, np.cumsum(many))
-        flat = ids[np.arange(end[-1]) + np.repeat(begin[words.id] - end[:-1], many)]
-        return [flat[a:b] for a, b in zip(end[words.lead].tolist(), end[words.last].tolist(), strict=True)]
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain, other = {}, []
-        for word in new:
-            text = word.decode()
-            if self.PLAIN(text):
-                plain[word] = self.PRE_TOKENS(text.lower())
-            else:
-                other.append((word, text))
-        fresh = list(set(chain.from_iterable(plain.values())).difference(self.pre_tokens))
-        self.pre_tokens.update(zip(fresh, self._encode(fresh), strict=True))
-        ids = self.pre_tokens.__getitem__
-        self.words.update((word, b"".join(map(ids, own))) for word, own in plain.items())
-        for (word, _), own in zip(other, self._ids([text for _, text in other]), strict=True):
-            self.words[word] = np.array(own, "<i4").tobytes()
+        flat = ids[np.arange(end[-1]) + np.repeat(begin[code] - end[:-1], many)]
+        edges = end[np.searchsorted(start, words.offsets)].tolist()
+        return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _learn(self, new: list[bytes], simple: dict[bytes, bool]) -> list[bytes]:
+        fresh, other = [k for k in new if simple[k]], [k for k in new if not simple[k]]
+        out = dict(zip(fresh, self._encode([k.decode() for k in fresh]), strict=True))
+        out.update(zip(other, (np.array(own, "<i4").tobytes() for own in self._ids([k.decode() for k in other])), strict=True))
+        return [out[k] for k in new]
 
     def _encode(self, pieces: list[str], at_once: int = 2000) -> Iterator[bytes]:
         parts = [pieces[i : i + at_once] for i in range(0, len(pieces), at_once)]
@@ -105,6 +93,49 @@ class WordTokens:
                 begin = end + 1
 
 
+#: Classes of the bytes of plain words: 1 letters, 2 digits, 3 others, 0 for what isn't plain.
+_BYTES = np.zeros(256, np.uint8)
+_BYTES[0x21:0x7F] = 3
+_BYTES[list(b"0123456789")] = 2
+_BYTES[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+_BYTES[ord("'")] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _pre_tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a block with plain words in lower case; which bytes are of plain words; which begin a pre-token.
+
+    Plain are ASCII without the apostrophe and the letters from À to ÿ, in UTF-8 the byte C3 and another. A word that
+    isn't plain is one pre-token.
+    """
+    data = words.data
+    kind = _BYTES[data]
+    lead = data == 0xC3
+    if lead.any():
+        # in UTF-8 a byte follows each C3; × and ÷ are no letters
+        at = np.flatnonzero(lead)
+        letter = (data[at + 1] != 0x97) & (data[at + 1] != 0xB7)
+        kind[at[letter]] = kind[at[letter] + 1] = 1
+    odd = np.append(0, np.cumsum((kind == 0) & words.inside))
+    plain = odd[words.start] == odd[words.end]
+    of = np.zeros(len(data), np.int8)
+    of[words.start[plain]] = 1
+    within = words.end[plain]
+    of[within[within < len(data)]] -= 1  # a word may begin where another ends
+    own = np.cumsum(of, dtype=np.int8).view(bool) if len(data) else np.zeros(0, bool)
+    lower = data.copy()
+    lower[own] = _LOWER[data[own]]
+    if lead.any():
+        second = at[own[at]] + 1
+        up = second[(data[second] >= 0x80) & (data[second] <= 0x9E)]
+        lower[up] += 0x20
+    first = np.zeros(len(data), bool)
+    first[1:] = own[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    first[words.start] = True
+    return lower, own, first
+
+
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
@@ -117,7 +148,6 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
     Each row of documents makes its own pieces, repeated or not. The vocabulary must be at ``path`` on every machine.
     """
     bound_batches(documents.sparkSession)
-    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         own = word_tokens(path)
@@ -140,8 +170,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
 
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    added = "piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
+    return documents.select("doc_id", "text").mapInArrow(run, extended(documents, added, ["doc_id"]))
 
 
 # ---------------------------------------------------------------- plan
@@ -364,15 +394,15 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, settings: tuple[tuple[int, i
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
     counted = written(rows.groupBy("length", "__shard").agg(F.count("*").alias("__n")), spark)
-    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # capacity rows at most
-    if counts and not 1 <= min(counts) <= max(counts) <= capacity:
+    if counted.where(F.col("length").isNull() | ~F.col("length").between(1, capacity)).head():
         raise ValueError(f"lengths must be 1 to {capacity}")
+    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # capacity rows at most
     shared = spark.sparkContext.broadcast(places(plan_bins(counts, capacity, settings)))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__shard")) - F.col("__n")
     base = counted.select("length", "__shard", before.alias("__base"))
     order = [F.col(c) for c in rows.columns if c in ("doc_id", "piece", "start", "ids_crc32")]
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__shard").orderBy(*order)))
-    ranked = ranked.join(base, ["length", "__shard"]).withColumn("__rank", F.col("__rank") - 1 + F.col("__base")).select(*[c for c in rows.columns if c != "__shard"], "__rank")
+    ranked = ranked.join(base, ["length", "__shard"]).withColumn("__rank", F.col("__rank") - 1 + F.col("__base")).select(*columns(c for c in rows.columns if c != "__shard"), "__rank")
     plain = [c for c in ranked.columns if c != "__rank"]
 
     def place(batches):
@@ -386,8 +416,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, settings: tuple[tuple[int, i
             found = [pa.array(at["bin"][e] + turn), pa.array(at["offset"][e] + slot * length)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], *found], names=[*plain, "sequence_id", "offset"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__rank"), "sequence_id bigint", "offset bigint"])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, extended(ranked, "sequence_id bigint, offset bigint", plain))
 
 
 def pack_documents(documents: DataFrame) -> DataFrame:
