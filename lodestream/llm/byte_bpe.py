@@ -17,14 +17,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Memory, blocks, bound_batches, extended, table, texts_of
+from lodestream.llm.common import Memory, blocks, bound_batches, extended, mapped, table, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Byte b is written as the character FIRST + b, which no normalisation or white-space rule touches.
 FIRST = 0x4E00
 #: Bytes of pre-tokens, and of pieces of text, that a worker remembers with their ids.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 192 << 20
 #: Marks the piece at the start of a text.
 HEAD = "\0"
 
@@ -165,7 +165,7 @@ def encode(documents: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 columns = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] if ids else [])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
-    return documents.mapInArrow(run, extended(documents, ", ".join(f"{k} {v}" for k, v in added.items())))
+    return mapped(documents, run, extended(documents, ", ".join(f"{k} {v}" for k, v in added.items())))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -178,7 +178,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             got = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, "bytes"])
 
-    return encoded.mapInArrow(run, extended(encoded, "bytes binary"))
+    return mapped(encoded, run, extended(encoded, "bytes binary"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,22 @@ def extended(df: DataFrame, added: str, names: Iterable[str] | None = None) -> T
     return T.StructType([*kept, *T._parse_datatype_string(added).fields])
 
 
+def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any names; what run yields has the schema's columns in order.
+
+    Names with other characters than letters, digits and underscores have others while Python has the rows.
+    """
+    safe = lambda names: [name if re.fullmatch(r"\w+", name) else f"__odd{i}" for i, name in enumerate(names)]
+    after = safe(schema.names)
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=after)
+
+    fields = [T.StructField(name, f.dataType, f.nullable) for name, f in zip(after, schema.fields, strict=True)]
+    return df.toDF(*safe(df.columns)).mapInArrow(renamed, T.StructType(fields)).toDF(*schema.names)
+
+
 #: Rows of a table that is broadcast by small(), at most.
 BROADCAST_ROWS = 1 << 18
 

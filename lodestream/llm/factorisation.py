@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Words, blocks, bound_batches, extended, numbered, table, texts_of
+from lodestream.llm.common import Words, blocks, bound_batches, extended, mapped, numbered, table, texts_of
 from lodestream.llm.linear import adam, sigmoid, word_hashes
 from lodestream.llm.samples import fold, labelled
 from lodestream.llm.textstats import base_counts
@@ -167,7 +167,7 @@ def score_quality(documents: DataFrame, machine: Machine | None) -> DataFrame:
                 score = sigmoid(machine.logits(statistics(words, _length(part)), *word_counts(words))) if machine else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
 
-    scored = documents.mapInArrow(judge, extended(documents, "score double")).drop("__length")
+    scored = mapped(documents, judge, extended(documents, "score double")).drop("__length")
     return scored.withColumn("held_out", fold(F.col("doc_id")) == 0).withColumn("predicted", (F.col("score") >= POSITIVE_AT).cast("int"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Memory, Words, blocks, bound_batches, columns, extended, numbered, strings, table, texts_of, written
+from lodestream.llm.common import Memory, Words, blocks, bound_batches, columns, extended, mapped, numbered, strings, table, texts_of, written
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -414,9 +414,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, settings: tuple[tuple[int, i
             e = np.searchsorted(keys, length * wide + rank, "right") - 1
             turn, slot = np.divmod(rank - at["rank"][e], at["many"][e])
             found = [pa.array(at["bin"][e] + turn), pa.array(at["offset"][e] + slot * length)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], *found], names=[*plain, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(plain))], *found], names=[*plain, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, extended(ranked, "sequence_id bigint, offset bigint", plain))
+    return mapped(ranked, place, extended(ranked, "sequence_id bigint, offset bigint", plain))
 
 
 def pack_documents(documents: DataFrame) -> DataFrame:

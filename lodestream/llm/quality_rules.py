@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Words, blocks, bound_batches, extended, table, texts_of
+from lodestream.llm.common import Words, blocks, bound_batches, extended, mapped, table, texts_of
 from lodestream.llm.linear import Grams, fit_logistic, fit_platt, sigmoid
 from lodestream.llm.samples import labelled
 from lodestream.llm.textstats import base_counts
@@ -88,7 +88,7 @@ def quality_rules(documents: DataFrame, model: Model | None) -> DataFrame:
                 columns = [pa.array(counts[c], pa.int64()) for c in COUNTS] + [pa.array(failed), pa.array(score, pa.float64()) if model else pa.nulls(len(failed), pa.float64()), pa.array(verdict)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
-    return documents.mapInArrow(judge, extended(documents, ADDED))
+    return mapped(documents, judge, extended(documents, ADDED))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
