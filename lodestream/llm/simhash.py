@@ -1,14 +1,19 @@
-"""SimHash near duplicates, with candidates pruned by the pigeonring principle.
+"""SimHash near duplicates, with candidates found by the pigeonring principle.
 
-The 64 bits are a ring of eight segments. Of two fingerprints that differ in 4 bits at most, at least four segments are
-equal, so they meet in an equality join on one of the 70 choices of four segments, on keys of 32 bits. What meets there
-must have a chain of segments in a row that stays within its share of the budget at every length (Qin and Xiao 2018): no
-difference in its first segment, 1 in the first two and three, 2 in four and five, 3 in six and seven. Only of the pairs
-with such a chain, which every pair within the distance has, the whole distance is counted.
+The bits of a fingerprint are a ring of five segments. If two fingerprints differ in 4 bits at most, the ring has a
+segment from which every chain stays within its share of the differences (Qin and Xiao 2018): none in the first segment,
+1 in the first two, 2 in three, 3 in four. With each later segment cut in halves, such a chain has enough halves without
+a difference to make keys: so two fingerprints meet where they agree in a chain's first segment and in one of the few
+choices of halves that cover all cases. What meets is held against the chain's shares, and only then the whole distance
+is counted.
+
+Documents of a given similarity are further apart than that, and no short key of a SimHash finds them; there the ring is
+made of minima of shingle hashes, and SimHash prunes what meets before the shingles are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 from operator import and_, or_
@@ -16,15 +21,25 @@ from operator import and_, or_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Words, blocks, bound_batches, extended, table, texts_of, written
+from lodestream.llm.common import Words, blocks, bound_batches, columns, extended, mapped, small, table, texts_of, written
 from lodestream.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Segments of the ring, of 8 bits each.
-SEGMENTS = 8
+#: Segments of the ring: one more than the distance, so that a chain's first one has no difference.
+SEGMENTS = DISTANCE + 1
+#: Segments of the chains that make keys: 25 keys of 25 or 26 bits for each fingerprint; and, from so many fingerprints
+#: on, 70 keys of 31 or 32 bits.
+CHAIN, LONG_CHAIN, LONG_FROM = 3, 4, 1 << 27
+
+#: Near duplicates by similarity: words of a shingle, minima of the ring, and how many of them in a row make a key. Texts
+#: that differ in 5 of 16 minima at most have three equal ones in a row (3 * 5 / 16 < 1), and most others have too.
+SIMILARITY, SIMILAR_SHINGLE, MINIMA, RUN = 0.8, 5, 16, 3
+#: Bits that fingerprints of similar texts differ in at most. At a similarity of 0.8 they differ in 9.7 of 64 on average,
+#: with a standard deviation of 2.9.
+SIMILAR_DISTANCE, SIMILAR_SEGMENTS = 20, 8
 
 #: Shingles of one text whose bits are in memory at a time.
 _AT_ONCE = 1 << 16
@@ -33,9 +48,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def fingerprints_of(texts: pa.LargeStringArray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The 64-bit SimHash of each text: a bit is 1 if it is in over half the hashes of its word shingles."""
-    words = Words(texts)
+def shingle_hashes(texts: pa.LargeStringArray, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the word shingles of all texts, in order, and where those of each text begin and end."""
+    words = Words(texts, number=False)
     n, size = len(words.n), words.end - words.start
     # all words in lower case, with one space behind each that has white space behind it
     gap = ~words.inside
@@ -52,18 +67,26 @@ def fingerprints_of(texts: pa.LargeStringArray, shingle: int = SHINGLE, seed: in
     last = np.minimum(first + shingle, words.last[words.doc]) - 1
     whole = (first + shingle <= words.last[words.doc]) | (first == words.lead[words.doc])
     begins, ends = (end - size)[whole], end[last[whole]]
-    edge = np.append(0, np.cumsum(np.bincount(words.doc[whole], minlength=n))).tolist()
-    out = np.zeros((n, 64), bool)
-    for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+    edges = np.append(0, np.cumsum(np.bincount(words.doc[whole], minlength=n)))
+    hashes = (xxhash.xxh64_intdigest(text[x:y], seed) for x, y in zip(begins.tolist(), ends.tolist(), strict=True))
+    return np.fromiter(hashes, np.uint64, len(begins)), edges
+
+
+def fingerprints(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each text: a bit is 1 if it is in over half of its hashes."""
+    out = np.zeros((len(edges) - 1, 64), bool)
+    for i, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
         total = np.zeros(64, np.int64)
         for at in range(a, b, _AT_ONCE):
-            part = slice(at, min(b, at + _AT_ONCE))
-            digests = [xxhash.xxh64_digest(text[x:y], seed) for x, y in zip(begins[part].tolist(), ends[part].tolist(), strict=True)]
-            total += _column_sums(np.unpackbits(np.frombuffer(b"".join(digests), np.uint8)).reshape(-1, 64))
+            total += _column_sums(np.unpackbits(hashes[at : min(b, at + _AT_ONCE)].astype(">u8").view(np.uint8)).reshape(-1, 64))
         out[i] = 2 * total > b - a
     return np.packbits(out, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def fingerprints_of(texts: pa.LargeStringArray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    return fingerprints(*shingle_hashes(texts, shingle, seed))
+
+
 def _column_sums(bits: np.ndarray) -> np.ndarray:
     """Sums of 0 and 1 down each of 64 columns; eight columns are added at a time while they can't overflow a byte."""
     total = np.zeros(64, np.int64)
@@ -83,35 +106,113 @@ def simhash(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                 fp = fingerprints_of(texts_of(part.column("text")), shingle, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*part.schema.names, "fp"])
 
-    return documents.mapInArrow(run, extended(documents, "fp bigint"))
+    return mapped(documents, run, extended(documents, "fp bigint"))
+
+
+# ---------------------------------------------------------------- the ring
 
 
-def _mask(segments) -> int:
-    """The bits of these segments, as a signed integer."""
-    bits = sum(0xFF << 8 * (k % SEGMENTS) for k in segments)
+def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _chained(diff: F.Column) -> F.Column:
-    """Whether from some segment on every chain of differences stays within its share of DISTANCE.
+def _ring(segments: int) -> list[int]:
+    """The bits of each segment; 64 bits are shared out as evenly as whole bits allow."""
+    edges = [64 * k // segments for k in range(segments + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _halves(bits: int) -> tuple[int, int]:
+    low, high = (bits & -bits).bit_length() - 1, bits.bit_length()
+    middle = (1 << (low + high) // 2) - 1
+    return bits & middle, bits & ~middle
+
+
+def key_masks(chain: int) -> list[tuple[int, int]]:
+    """Start and mask of each key. Behind the first segment j segments have j differences at most, so of their 2 j halves
+    j at least have none: the choices of halves are those that take j of the first 2 j or more."""
+    ring, out = _ring(SEGMENTS), []
+    for start in range(SEGMENTS):
+        halves = [h for k in range(1, chain) for h in _halves(ring[(start + k) % SEGMENTS])]
+        for chosen in combinations(range(len(halves)), chain - 1):
+            if all(sum(c < 2 * j for c in chosen) >= j for j in range(1, chain)):
+                out.append((start, ring[start] | sum(halves[c] for c in chosen)))
+    return out
+
+
+def _shares(diff: Column, distance: int, segments: int, start: int) -> Column:
+    """Whether every chain from this segment on stays within its share of the distance."""
+    ring = _ring(segments)
+    reach = [sum(ring[(start + k) % segments] for k in range(n)) for n in range(1, segments)]
+    return reduce(and_, (F.bit_count(diff.bitwiseAND(F.lit(_signed(bits)).cast("long"))) <= n * distance // segments for n, bits in enumerate(reach, 1)))
+
+
+def within(a: Column, b: Column, distance: int, segments: int) -> Column:
+    """Whether fingerprints differ in so many bits at most: chains first, from any segment, then the whole distance."""
+    diff = a.bitwiseXOR(b)
+    return reduce(or_, (_shares(diff, distance, segments, start) for start in range(segments))) & (F.bit_count(diff) <= distance)
+
+
+def keyed(nodes: DataFrame, chain: int) -> DataFrame:
+    """node, fp, choice and bits for each key of each fingerprint (node: the fingerprint)."""
+    masks = F.array(*[F.lit(_signed(mask)).cast("long") for _, mask in key_masks(chain)])
+    return nodes.select("fp", F.posexplode(masks).alias("choice", "mask")).select(F.col("fp").alias("node"), "fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+
+
+def _near(chain: int) -> Callable[[Column, Column], Column]:
+    """The condition on two fingerprints that meet at ``choice``: the shares of the chain that made the key."""
+    starts = [start for start, _ in key_masks(chain)]
+
+    def near(a: Column, b: Column, choice: Column) -> Column:
+        diff = a.bitwiseXOR(b)
+        shares = reduce(lambda out, s: F.when(choice.isin([c for c, x in enumerate(starts) if x == s]), _shares(diff, DISTANCE, SEGMENTS, s)).otherwise(out), range(1, SEGMENTS), _shares(diff, DISTANCE, SEGMENTS, 0))
+        return shares & (F.bit_count(diff) <= DISTANCE)
+
+    return near
 
-    An even length has the budget of the odd one that follows, whose chain holds its own: the odd ones decide.
-    """
-    within = lambda i, n: F.bit_count(diff.bitwiseAND(F.lit(_mask(range(i, i + n))).cast("long"))) <= n * DISTANCE // SEGMENTS
-    return reduce(or_, (reduce(and_, (within(i, n) for n in range(1, SEGMENTS, 2))) for i in range(SEGMENTS)))
 
+# ---------------------------------------------------------------- groups
 
-def links(fingerprints: DataFrame) -> DataFrame:
-    """a, b: each pair of different fingerprints (distinct rows of fp) that differ in DISTANCE bits at most, a < b.
 
-    Both sides of the join are one table of 70 keys for each fingerprint, which is shuffled once.
+def groups(keys: DataFrame, key: list[str], near: Callable[..., Column], verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """node, root: for each node with a link the smallest node that it is connected with.
+
+    keys has a row (node, fp, and the key columns) for each key of each node. Nodes of one key are linked if near(fp, fp,
+    first key column) holds and verified(), on pairs (a, b), returns them. In each key first all nodes are held against
+    the smallest, the head. Most nodes of a dense group are then connected, and pairs among those needn't be looked at:
+    only nodes that are not connected with the head of a key are held against the others of the key. So a group of k near
+    copies costs about k pairs for each key, not k * k, and no link is lost that would connect anything.
     """
-    choices = F.array(*[F.lit(_mask(c)).cast("long") for c in combinations(range(SEGMENTS), SEGMENTS - DISTANCE)])
-    keyed = fingerprints.select("fp", F.posexplode(choices).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
-    left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    same = (left["choice"] == right["choice"]) & (left["bits"] == right["bits"]) & (F.col("a") < F.col("b"))
-    return left.join(right, same & _chained(diff) & (F.bit_count(diff) <= DISTANCE)).select("a", "b").distinct()
+    spark = keys.sparkSession
+    verified = verified or (lambda pairs: pairs)
+    heads = keys.groupBy(*key).agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.count("*").alias("n"))
+    heads = written(heads.where("n > 1").drop("n"), spark)
+    crowded = written(keys.join(small(heads), key), spark)
+    choice = F.col(key[0])
+    star = crowded.where((F.col("node") != F.col("head")) & near(F.col("head_fp"), F.col("fp"), choice)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    roots = written(components(verified(star)), spark)
+
+    def root_of(df: DataFrame, name: str, root: str) -> DataFrame:
+        own = small(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")))
+        return df.join(own, F.col(name) == F.col("__node"), "left").withColumn(root, F.coalesce("__root", name)).drop("__node", "__root")
+
+    rooted = written(root_of(root_of(crowded.select(*key, "node", "fp", "head"), "node", "root"), "head", "head_root"), spark)
+    foreign = rooted.where("root <> head_root")
+    if not foreign.head():
+        return roots
+    renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*key, "node", "fp", "head", "root", "head_root")])
+    left, right = renamed(foreign, "f"), renamed(rooted, "m")
+    same = reduce(and_, (F.col(f"f_{c}") == F.col(f"m_{c}") for c in key))
+    # two foreign nodes meet twice: in order once; heads were met before
+    once = (F.col("m_root") == F.col("m_head_root")) | (F.col("f_node") < F.col("m_node"))
+    meet = same & (F.col("f_root") != F.col("m_root")) & once & (F.col("m_node") != F.col("m_head")) & near(F.col("f_fp"), F.col("m_fp"), F.col(f"f_{key[0]}"))
+    pairs = left.join(right, meet).select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b")).distinct()
+    more = verified(written(pairs, spark))
+    above = root_of(root_of(more, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    above = written(components(above), spark).select(F.col("node").alias("__from"), F.col("root").alias("__to"))
+    lifted = roots.join(small(above), F.col("root") == F.col("__from"), "left").select("node", F.coalesce("__to", "root").alias("root"))
+    alone = above.join(roots, F.col("__from") == F.col("node"), "left_anti").select(F.col("__from").alias("node"), F.col("__to").alias("root"))
+    return written(lifted.union(alone), spark)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -125,15 +226,120 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     marked = written(simhash(documents.select("doc_id", "text")).select("doc_id", "fp"), spark)
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), spark)
-    found = components(links(nodes.select("fp")))
+    chain = CHAIN if nodes.count() < LONG_FROM else LONG_CHAIN
+    found = groups(keyed(nodes.select("fp"), chain), ["choice", "bits"], _near(chain))
     # only linked nodes have a component of more than themselves
-    linked = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "least", "root")
+    linked = nodes.join(small(found), nodes["fp"] == found["node"]).select("fp", "least", "root")
     least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), spark)
-    wide = linked.join(least, "root").select(F.col("fp").alias("node"), "component_id")
-    by_fp = nodes.join(wide, nodes["fp"] == wide["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    wide = written(linked.join(small(least), "root").select(F.col("fp").alias("node"), "component_id"), spark)
+    by_fp = nodes.join(small(wide), nodes["fp"] == wide["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---------------------------------------------------------------- by similarity
+
+
+def minima(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each text the smallest hash in each of MINIMA classes of its shingles.
+
+    A class without shingles takes that of the next class that has some, marked by how far it is. A text without
+    shingles has zeros.
+    """
+    n, shift = len(edges) - 1, np.uint64(64 - MINIMA.bit_length() + 1)
+    slot = np.repeat(np.arange(n), np.diff(edges)) * MINIMA + (hashes >> shift).astype(np.int64)
+    low = np.full(n * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    order = np.argsort(slot, kind="stable")
+    if len(order):
+        sorted_ = slot[order]
+        begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        low[sorted_[begin]] = np.minimum.reduceat(hashes[order], begin)
+    low = low.reshape(n, MINIMA)
+    out, empty = low.copy(), low == np.iinfo(np.uint64).max
+    for far in range(1, MINIMA):
+        fill = empty & ~np.roll(empty, -far, axis=1) & (out == np.iinfo(np.uint64).max)
+        out[fill] = (np.roll(low, -far, axis=1) + np.uint64(far * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[fill]
+    out[np.diff(edges) == 0] = 0
+    return out
+
+
+def ring_keys(low: np.ndarray) -> np.ndarray:
+    """For each text and class a hash of it and the classes next on the ring, RUN in all, with their minima."""
+    key = np.broadcast_to(np.arange(1, MINIMA + 1, dtype=np.uint64), low.shape).copy()
+    for k in range(RUN):
+        key = (key ^ np.roll(low, -k, axis=1)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _marked(batches):
+    for batch in batches:
+        for part in blocks(batch, "text"):
+            hashes, edges = shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE)
+            keys = ring_keys(minima(hashes, edges)).view(np.int64)
+            offsets = np.arange(0, MINIMA * (len(edges)), MINIMA, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fingerprints(hashes, edges).view(np.int64)), lists], names=["doc_id", "node", "fp", "keys"])
+
+
+def _sets(batches):
+    for batch in batches:
+        for part in blocks(batch, "text"):
+            hashes, edges = shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE)
+            sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def similar_enough(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) whose sets of shingles have the Jaccard similarity, exactly (two empty sets: 1)."""
+    side = lambda name, out: sets.select(F.col("node").alias(name), F.col("shingles").alias(out))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("bigint")
+    share = F.lit(round(least * 10**6)).cast("bigint")  # in whole numbers, as 0.8 is no double
+    return both.where(common * F.lit(10**6) >= share * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """documents, of each group of near duplicates one row: that of the smallest doc_id (null: largest).
+
+    Two texts are linked if their sets of SIMILAR_SHINGLE-word shingles, in lower case, have that Jaccard similarity; a
+    text of fewer words is one shingle, and texts without words (null texts too) are alike. Links reach over others.
+    Candidates have RUN minima in a row in common, and fingerprints within SIMILAR_DISTANCE; of them the shingles are
+    compared. Equal texts are one node, by a 64-bit hash. Of rows that repeat doc_id and text one stays. Only ids, hashes
+    and the shingles of candidates are shuffled, and rows of texts that stand more than once.
+    """
+    spark = documents.sparkSession
+    bound_batches(spark)
+    plain = documents.columns
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = documents.select("doc_id", node.alias("node"), "text")
+    marked = written(rows.mapInArrow(_marked, extended(rows, "fp bigint, keys array<bigint>", ["doc_id", "node"])), spark)
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    nodes = marked.groupBy("node").agg(F.min(id_).alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = written(nodes, spark)
+    near = lambda a, b, _: within(a, b, SIMILAR_DISTANCE, SIMILAR_SEGMENTS)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, spark)
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = written(asked.join(nodes.select("node", "least"), "node").select(F.col("node").alias("__asked"), F.col("least.id").alias("__id")), spark)
+        one = rows.join(small(asked), (F.col("node") == F.col("__asked")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+        sets = one.mapInArrow(_sets, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        return similar_enough(pairs, written(sets, spark), similarity)
+
+    found = groups(nodes.select("node", "fp", F.explode("keys").alias("key")), ["key"], near, verified)
+    linked = nodes.select("node", "least", "n").join(small(found), "node")
+    best = written(linked.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")), spark)
+    lost = linked.join(small(best), "root").where("node <> best.node").select("node", F.lit(True).alias("lost"))
+    lost = written(lost, spark)
+    more = nodes.where("n > 1").select("node", F.lit(False).alias("lost"), F.col("least.id").alias("__id"))
+    touched = lost.withColumn("__id", F.lit(None).cast(documents.schema["doc_id"].dataType)).union(more.join(small(lost.select("node")), "node", "left_anti"))
+    touched = written(touched.select(F.col("node").alias("__touched"), F.col("lost").alias("__lost"), "__id"), spark)
+    judged = documents.withColumn("__node", node).join(small(touched), F.col("__node") == F.col("__touched"), "left")
+    alone = judged.where(F.col("__touched").isNull())
+    first = judged.where(~F.col("__lost") & F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__node"])
+    return alone.select(*columns(plain)).union(first.select(*columns(plain)))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
