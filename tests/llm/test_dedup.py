@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,117 @@ def test_fingerprints_are_those_of_brute_force(texts):
     assert simhash.fingerprints_of(pa.array(texts, pa.large_string())).tolist() == [fingerprint(t) for t in texts]
 
 
-def test_links_lose_none(spark):
+def test_keys_lose_no_pair_and_are_few():
+    """Each way to put 4 differences into the halves of segments leaves a key without any."""
+    ring = [h for bits in simhash._ring(simhash.SEGMENTS) for h in simhash._halves(bits)]
+    assert sum(ring) == (1 << 64) - 1
+    for chain, count in ((2, 10), (3, 25), (4, 70)):
+        masks = [m for _, m in simhash.key_masks(chain)]
+        assert len(masks) == count
+        for wrong in combinations_with_replacement(ring, 4):
+            diff = 0
+            for bits in wrong:
+                diff |= bits
+            assert any(not m & diff for m in masks)
+    assert min(m.bit_count() for _, m in simhash.key_masks(3)) >= 24
+
+
+def near_values(count=40):
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    base = rng.integers(0, 1 << 63, count, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in range(1, 8)]
-    values = np.unique(np.array([*base.tolist(), *near, 0, 1, (1 << 64) - 1], np.uint64)).view(np.int64).tolist()
-    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
-    expected = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert got == expected and len(got) > 100
+    # a dense group: all within two bits of one, and chains of steps of four bits
+    dense = [int(base[0]) ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)]
+    chain = [int(base[1])]
+    for step in range(30):
+        chain.append(chain[-1] ^ sum(1 << (7 * step + 5 * k) % 64 for k in range(4)))
+    return np.unique(np.array([*base.tolist(), *near, *dense, *chain, 0, 1, (1 << 64) - 1], np.uint64)).view(np.int64).tolist()
+
+
+@pytest.mark.parametrize("chain", [2, 3, 4])
+def test_groups_lose_no_link(spark, chain):
+    values = near_values()
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    found = dict(simhash.groups(simhash.keyed(nodes, chain), ["choice", "bits"], simhash._near(chain)).collect())
+    expected = roots(values, [(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4])
+    assert {v: found.get(v, v) for v in values} == expected and len(found) > 800
+
+
+def test_dense_groups_make_few_pairs(spark):
+    base = 0x123456789ABCDEF
+    values = [base ^ (1 << a) ^ (1 << b) for a in range(60) for b in range(a)]
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    seen = []
+
+    def counting(pairs):
+        seen.append(pairs.count())
+        return pairs
+
+    found = dict(simhash.groups(simhash.keyed(nodes, 3), ["choice", "bits"], simhash._near(3), counting).collect())
+    assert set(found.values()) == {min(values)} and len(found) == len(values)
+    assert sum(seen) < 25 * len(values) < len(values) * (len(values) - 1) // 4
+
+
+def shingles(text, size=5):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or ({" ".join(words)} if words else set())
+
+
+def alike(a, b):
+    return not a | b or 10 * len(a & b) >= 8 * len(a | b)
+
+
+def distinct_by_brute_force(docs):
+    """The rows (doc_id, text) that stay: one of each group."""
+    texts = sorted({t or "" for _, t in docs})
+    sets = [shingles(t) for t in texts]
+    root = roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    group = {t: root[i] for i, t in enumerate(texts)}
+    best = {}
+    for i, t in docs:
+        place = (i is None, i or 0)
+        best[group[t or ""]] = min(best.get(group[t or ""], place), place)
+    return sorted((none, i) for none, i in best.values())
+
+
+def test_distinct_documents_are_those_of_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rng = np.random.default_rng(11)
+    edited = []
+    for n, (_, text) in enumerate(rows[:60]):
+        words = text.split()
+        for at in rng.integers(0, len(words), max(1, len(words) // 60)):
+            words[at] = "edited"
+        edited.append((100_000 + n, " ".join(words)))
+    rows += edited
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((False, r["doc_id"]) for r in got) == distinct_by_brute_force(rows)
+    assert len(got) < len(rows) - 30
+
+
+def test_distinct_documents_of_odd_rows(spark):
+    docs = helpers.documents(spark)
+    got = simhash.distinct_documents(docs)
+    assert got.columns == docs.columns
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == distinct_by_brute_force(rows)
+    assert simhash.distinct_documents(helpers.empty(spark)).count() == 0
+    many = spark.createDataFrame([(None, "a b c d e f")] * 3 + [(7, "g h i j k l")] * 3 + [(7, "m n o p q r")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.distinct_documents(many).collect()) == ["a b c d e f", "g h i j k l", "m n o p q r"]
+
+
+def test_similar_texts_meet():
+    """Recall of the keys at the least similarity, over many pairs of sets."""
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(400):
+        both, each = rng.integers(0, 1 << 64, 160, dtype=np.uint64), rng.integers(0, 1 << 64, (2, 20), dtype=np.uint64)
+        sets = [np.concatenate([both, own]) for own in each]
+        keys = simhash.ring_keys(simhash.minima(np.concatenate(sets), np.array([0, 180, 360])))
+        prints = simhash.fingerprints(np.concatenate(sets), np.array([0, 180, 360]))
+        met += bool((keys[0] == keys[1]).any()) and int(prints[0] ^ prints[1]).bit_count() <= simhash.SIMILAR_DISTANCE
+    assert met >= 0.98 * 400
 
 
 def test_components_of_chains_and_stars(spark):
@@ -138,19 +242,61 @@ def test_line_dedup_is_brute_force(spark):
     assert got[2][0] == "head\nother tail" and got[8][0] == "" and got[5][2] == 0 and got[1][2] == 0
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a b c", "d e", "f", "", "g h i j"]), max_size=9), min_size=1, max_size=4))
-def test_windows_cover_each_long_run(lines):
-    for text in ("\n".join(x) for x in lines):
-        found = line_dedup.windows(text.encode(), 5)
-        full = [(k, len(x.split())) for k, x in enumerate(text.split("\n")) if x.split()]
-        expected = set()
-        for a in range(len(full)):
-            for b in range(a, len(full)):
-                total = sum(n for _, n in full[a : b + 1])
-                if total >= 5 and (total - full[b][1] < 5 or total - full[a][1] < 5):
-                    expected.add((full[a][0], full[b][0]))
-        assert {(f, last) for _, _, f, last in found} == expected
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=12))
+def test_windows_are_the_shortest_runs_with_enough_words(words):
+    expected = set()
+    for a in range(len(words)):
+        for b in range(a + 1, len(words) + 1):
+            total = sum(words[a:b])
+            if total >= 5 and (total - words[b - 1] < 5 or total - words[a] < 5):
+                expected.add((a, b))
+    spans = line_dedup.windows(words, 5)
+    assert spans == sorted(expected)
+    hashes = [w * 7919 % 5 for w in words]  # with ties
+    picked = line_dedup.selected(hashes, spans)
+    assert picked == [max(i for i in range(a, b) if hashes[i] == min(hashes[a:b])) for a, b in spans]
+
+
+def random_documents(count=60, seed=2):
+    """Texts of few different lines of 5 to 60 words, so that runs stand in many places and lines in others without the rest."""
+    rng = np.random.default_rng(seed)
+    kinds = [" ".join(f"w{k}x{i}" for i in range(int(rng.choice([5, 12, 20, 30, 60])))) for k in range(14)] + ["", "  "]
+    docs = [(i, "\n".join(kinds[k] for k in rng.integers(0, len(kinds), rng.integers(1, 14)))) for i in range(count)]
+    for i in range(0, count, 7):  # passages of earlier texts
+        lines = docs[(i * 3) % (i + 1)][1].split("\n")
+        docs[i] = (i, docs[i][1] + "\n" + "\n".join(lines[1:6]))
+    return docs
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_random_runs_are_cut_as_by_brute_force(spark, seed):
+    docs = random_documents(seed=seed)
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == deduped(docs) and sum(n for _, _, n in got.values()) > 60
+
+
+def test_fewer_lines_are_selected_than_there_are_windows(data):
+    import duckdb
+
+    texts = [t.encode() for (t,) in duckdb.sql(f"SELECT DISTINCT text FROM '{data}/documents.parquet'").fetchall()]
+    found = [x for x in map(line_dedup.sketch, texts) if x]
+    spans, picked = sum(len(line_dedup.windows(x[2])) for x in found), sum(len(x[4]) for x in found)
+    assert picked < 0.7 * spans
+
+
+def test_first_place_of_a_line_is_not_that_of_the_run(spark):
+    """The selected line stands alone in the first text; the run around it in the second and the third."""
+    run = [f"{TEN} {TEN} {k}" for k in range(6)]
+    docs = [(k, f"{line}\nalone {k}") for k, line in enumerate(run)] + [(10, "\n".join(run)), (11, "\n".join(["x", *run, "y"]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: t for i, (t, _, _) in deduped(docs).items()} and got[11] == "x\ny" and got[10] == "\n".join(run)
+
+
+def test_line_dedup_of_columns_of_other_names(spark):
+    rows = [(1, SIXTY, ("s",), "z", 3), (2, SIXTY, ("s",), "z", 3)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, `we.ird` struct<`a b`:string>, `b``t` string, n_lines int")).collect()
+    assert sorted((r["doc_id"], r["text"], r["we.ird"]["a b"], r["b`t"], r["n_lines"], r["n_removed"]) for r in got) == [(1, SIXTY, "s", "z", 1, 0), (2, "", "s", "z", 1, 1)]
 
 
 def test_line_dedup_of_odd_rows(spark):
