@@ -1,28 +1,32 @@
 """WARC archives, written and read as a stream of lines and a table of chunks.
 
 An archive is one gzip file of WARC/1.1 records that Spark's own text writer puts into shared storage, so it may be in
-any store that Spark reaches. A record is written in pieces that end at a line feed, and read line by line: payloads
-come back as rows of record and chunk number that carry the digest so far, and no task joins a payload together.
+any store that Spark reaches. The block of a response is an HTTP message with chunked transfer coding, in which a line
+break follows each chunk: so no line is much longer than a chunk, whatever the payload holds, and Spark's text reader
+never has a whole payload in a row. Payloads come back as rows of record and chunk number that carry the digest so far,
+and no task joins a payload together.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import bound_batches, shared_dir, table, texts_of, written
+from lodestream.llm.common import bound_batches, shared_dir, small, table, texts_of, written
 
-#: Payload bytes of a chunk, about: a chunk ends at a line feed, or after so many bytes of a longer line.
+#: Payload bytes of a chunk at most, in an archive and in the table of chunks.
 CHUNK = 256 << 10
 #: Payloads from this size on are written once, and revisited by their copies.
 REVISIT_FROM = 1000
 
 _DATE = "1970-01-01T00:00:00Z"
-CHUNKS = "page_id bigint, url string, record_type string, refers_to bigint, declared_bytes bigint, declared_sha1 string, chunk int, payload binary, bytes_so_far bigint, sha1_so_far string, last boolean"
+CHUNKS = "record_id string, page_id bigint, url string, record_type string, refers_to bigint, declared_bytes bigint, declared_sha1 string, chunk int, payload binary, bytes_so_far bigint, sha1_so_far string, last boolean"
 
 
 def planned(pages: DataFrame) -> DataFrame:
@@ -38,12 +42,13 @@ def planned(pages: DataFrame) -> DataFrame:
     groups = pages.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_to"), F.count("*").alias("_n"))
     groups = written(groups.where("_n > 1").drop("_n"), pages.sparkSession)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_to")), F.col("_to"))
-    joined = pages.join(groups, ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", refers).drop("_to")
+    joined = pages.join(small(groups), ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", refers).drop("_to")
     return joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, digest: str) -> str:
+    """The id of a page's record; only rows that repeat both page and payload share one."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
 
 
 def _escaped(url: str) -> str:
@@ -51,33 +56,54 @@ def _escaped(url: str) -> str:
     return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r"
+
+
+def _cuts(data: memoryview) -> list[int]:
+    """Where chunks of a UTF-8 text end: each has CHUNK bytes at most and no part of a code point."""
+    ends, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + CHUNK)
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        ends.append(end)
+        at = end
+    return ends
+
+
+def _lines(row: dict, data: memoryview) -> Iterator[str]:
+    """What, with a line feed behind each piece, makes up the record of a page."""
+    response = row["record_type"] == "response"
+    ends = _cuts(data) if response else []
+    sizes = [f"{b - a:x}" for a, b in zip([0, *ends], ends, strict=False)]
+    length = len(_HTTP) + 1 + len(data) + sum(map(len, sizes)) + 4 * len(sizes) + 5 if response else 0
+    yield f"WARC/1.1\r\nWARC-Type: {row['record_type']}\r\nWARC-Record-ID: {_urn(row['page_id'], row['payload_digest'])}\r\nWARC-Date: {_DATE}\r"
+    if row["url"] is not None:
+        yield f"WARC-Target-URI: {_escaped(row['url'])}\r"
+    if not response:
+        yield "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r"
+        yield f"WARC-Refers-To: {_urn(row['refers_to'], row['payload_digest'])}\r"
+    yield f"WARC-Payload-Digest: sha1:{row['payload_digest']}\r\nX-Payload-Length: {row['payload_bytes']}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {length}\r\n\r"
+    if response:
+        yield _HTTP
+        for size, a, b in zip(sizes, [0, *ends], ends, strict=False):
+            yield f"{size}\r\n{bytes(data[a:b]).decode()}\r"
+        yield "0\r\n\r"
+    yield "\r\n\r"
+
+
 def _records(batches) -> Iterator[pa.RecordBatch]:
     """Text rows that, each with a line feed behind it, make up WARC records."""
     for batch in batches:
         rows = batch.select(["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]).to_pylist()
         out, size = [], 0
         for row, html in zip(rows, texts_of(batch.column("html")), strict=True):
-            response = row["record_type"] == "response"
-            head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_urn(row['page_id'])}", f"WARC-Date: {_DATE}"]
-            if row["url"] is not None:
-                head.append(f"WARC-Target-URI: {_escaped(row['url'])}")
-            if not response:
-                head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(row['refers_to'])}"]
-            head += [f"WARC-Payload-Digest: sha1:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {row['payload_bytes'] if response else 0}", ""]
-            out.append("\r\n".join(head) + "\r")
-            if response:
-                text, at = html.as_py(), 0
-                while (end := text.find("\n", at + CHUNK)) >= 0:
-                    out.append(text[at:end])
-                    at = end + 1
-                out.append(text[at:] + "\r")
-            else:
-                out.append("\r")
-            out.append("\r")
-            size += row["payload_bytes"]
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                out, size = [], 0
+            for line in _lines(row, memoryview(html.as_buffer())):
+                out.append(line)
+                size += len(line)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    out, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
@@ -88,57 +114,107 @@ def write_warc(planned_pages: DataFrame, path: str) -> None:
 
 
 class _Reader:
-    """Reads the lines of one archive in turn; what it has of a payload is a chunk at most, and a digest."""
+    """Reads the lines of one archive in turn; what it has of a payload is a chunk and a line at most, and a digest.
+
+    The payload of a record is its block; that of an HTTP message is its body, without a chunked transfer coding.
+    """
 
     def __init__(self):
-        self.head, self.left, self.rows, self.buffer = None, -1, [], []
+        self.head, self.left, self.rows = None, -1, []
 
     def feed(self, line: bytes) -> None:
         """line: without its line feed."""
         if self.left >= 0:
-            self.payload(line + b"\n")
+            self.block(line + b"\n")
         elif self.head is None:
-            if line.rstrip(b"\r") == b"WARC/1.1":
+            if line.startswith(b"WARC/1."):
                 self.head = {}
-            elif line.rstrip(b"\r"):
+            elif line.strip(b"\r"):
                 raise ValueError(f"no WARC record starts with {line[:80]!r}")
-        elif line == b"\r":
-            self.begin()
+        elif line.strip(b"\r"):
+            name, _, value = line.rstrip(b"\r").decode("utf-8", "replace").partition(":")
+            self.head[name.lower()] = value.strip()
         else:
-            name, _, value = line.rstrip(b"\r").decode().partition(": ")
-            self.head[name.lower()] = value
+            self.begin()
 
     def begin(self) -> None:
-        self.left, self.size, self.chunk, self.held, self.digest = int(self.head["content-length"]), 0, 0, 0, hashlib.sha1()
+        self.left = int(self.head["content-length"])
+        self.size, self.chunk, self.digest, self.buffer = 0, 0, hashlib.sha1(), bytearray()
+        self.mode = "http" if self.head.get("content-type", "").startswith("application/http") else "all"
+        self.coded, self.need = False, 0
         if not self.left:
-            self.emit(b"", True)
-
-    def payload(self, data: bytes) -> None:
-        own = memoryview(data)[: self.left]
-        self.left -= len(own)
-        for at in range(0, len(own), CHUNK):
-            piece = own[at : at + CHUNK]
-            self.buffer.append(piece)
-            self.held += len(piece)
-            if self.held >= CHUNK and (self.left or at + CHUNK < len(own)):
-                self.emit(b"".join(self.buffer), False)
+            self.emit(True)
+
+    def block(self, line: bytes) -> None:
+        """A line of the block, or as much of it as belongs to the block."""
+        data = memoryview(line)[: self.left]
+        self.left -= len(data)
+        while len(data):
+            if self.mode == "all":
+                self.take(data)
+                break
+            if self.mode == "data":
+                self.take(data[: self.need])
+                data, self.need = data[self.need :], self.need - min(self.need, len(data))
+                if not self.need:
+                    self.mode, self.need = "break", 2
+            elif self.mode == "break":  # the line break behind a chunk
+                data, self.need = data[self.need :], self.need - min(self.need, len(data))
+                if not self.need:
+                    self.mode = "size"
+            else:
+                self.line(bytes(data))
+                break
         if not self.left:
-            self.emit(b"".join(self.buffer), True)
-
-    def emit(self, data: bytes, last: bool) -> None:
+            self.emit(True)
+
+    def line(self, line: bytes) -> None:
+        """A line of the HTTP message that isn't of its body."""
+        if self.mode == "http":
+            if not line.strip(b"\r\n"):
+                self.mode = "size" if self.coded else "all"
+            elif line.lower().startswith(b"transfer-encoding:"):
+                self.coded = b"chunked" in line.lower()
+        elif self.mode == "size":
+            self.need = int(line.partition(b";")[0], 16)
+            self.mode = "data" if self.need else "trailer"
+
+    def take(self, data: memoryview) -> None:
+        """Some of the payload. A chunk is emitted once it is known that more follows."""
+        for at in range(0, len(data), CHUNK):
+            self.buffer += data[at : at + CHUNK]
+            if len(self.buffer) > CHUNK:
+                self.emit(False)
+
+    def emit(self, last: bool) -> None:
+        data, self.buffer = bytes(self.buffer[:CHUNK]), self.buffer[CHUNK:]
         self.digest.update(data)
         self.size += len(data)
-        number = lambda text: int(text[10:-1]) if text and text[10:-1] else None
         h = self.head
-        self.rows.append((number(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], number(h.get("warc-refers-to")), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), self.chunk, data, self.size, self.digest.hexdigest(), last))
-        self.chunk, self.buffer, self.held = self.chunk + 1, [], 0
+        known = h.get("x-payload-length")
+        self.rows.append((h.get("warc-record-id"), _page(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), _page(h.get("warc-refers-to")), known and int(known), _sha1(h.get("warc-payload-digest")), self.chunk, data, self.size, self.digest.hexdigest(), last))
+        self.chunk += 1
         if last:
             self.head, self.left = None, -1
 
 
+def _page(urn: str | None) -> int | None:
+    """The page of a record's id; null for ids of other makers."""
+    found = re.fullmatch(r"<urn:page:(-?\d+):.*>", urn or "")
+    return int(found[1]) if found else None
+
+
+def _sha1(digest: str | None) -> str | None:
+    """A SHA-1 in hexadecimal digits; archives also have it in base 32. Other digests are null."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32decode(value).hex() if re.fullmatch("[A-Z2-7]{32}", value) else value.lower()
+
+
 def _chunks(batches) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
     reader, file = _Reader(), None
     for batch in batches:
         for name, line in zip(batch.column("file").to_pylist(), batch.column("value").cast(pa.binary()), strict=True):
@@ -157,7 +233,8 @@ def _chunks(batches) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The chunk table of the archives in a folder: a row for each chunk of a record, with the bytes and the SHA-1 so far.
 
-    gzip files aren't split, so that each is read from its start by one task; their number and size are the writer's.
+    Records of any type have rows; page_id, refers_to and declared_bytes are null for records of other writers. gzip
+    files aren't split, so that each is read from its start by one task; their number and size are the writer's.
     """
     bound_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")

@@ -1,5 +1,6 @@
 """Operator 9."""
 
+import base64
 import gzip
 import hashlib
 from collections import Counter, defaultdict
@@ -42,14 +43,18 @@ def test_round_trip(spark):
     chunks = warc.read_warc(spark, path)
     assert Counter(tuple(r) for r in warc.records(chunks).collect()) == expected(PAGES)
     payloads, sizes = defaultdict(bytes), []
-    for r in sorted(chunks.collect(), key=lambda r: (str(r["page_id"]), r["chunk"])):
+    rows = chunks.collect()
+    assert {r["record_id"] is None for r in rows} == {False}
+    for r in sorted(rows, key=lambda r: (str(r["page_id"]), r["chunk"])):
         payloads[r["page_id"]] += r["payload"]
         sizes.append(len(r["payload"]))
         if r["page_id"] not in (None, 20):
             assert r["bytes_so_far"] == len(payloads[r["page_id"]])
             assert r["sha1_so_far"] == hashlib.sha1(payloads[r["page_id"]]).hexdigest()
     assert payloads[9] == ("é\n" * 300_000).encode() and payloads[2] == BIG.encode() and payloads[1] == b"" and payloads[14] == b"\r"
-    assert max(sizes) < 3 * warc.CHUNK
+    assert max(sizes) <= warc.CHUNK
+    ids = Counter(r["record_id"] for r in rows if r["last"])
+    assert [n for n in ids.values() if n > 1] == [2]  # the page that stands twice
     for file in Path(path).glob("*.gz"):
         data = gzip.decompress(file.read_bytes())
         assert not data or data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
@@ -67,6 +72,42 @@ def test_damage_is_noticed(spark):
         warc.records(warc.read_warc(spark, path)).collect()
 
 
+def test_no_row_has_a_payload_without_line_feeds(spark):
+    size = 20_000_003
+    path = shared_dir(spark)
+    pages = spark.range(1).selectExpr("1L AS page_id", "'u' AS url", f"repeat('é', {size}) AS html", "2L AS payload_bytes")
+    warc.write_warc(warc.planned(pages), path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    assert lines.selectExpr("max(octet_length(value))").first()[0] <= warc.CHUNK + 1
+    chunks = warc.read_warc(spark, path)
+    assert chunks.selectExpr("max(octet_length(payload))").first()[0] <= warc.CHUNK
+    (r,) = warc.records(chunks).collect()
+    assert tuple(r) == (1, 2 * size, hashlib.sha1(("é" * size).encode()).hexdigest(), "response", None)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = b"line\r\nand more\n" * 10
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    coded = b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n" + b"a;x=y\r\n" + body[:10] + b"\r\n%x\r\n" % len(body[10:]) + body[10:] + b"\r\n0\r\nT: z\r\n\r\n"
+    blocks = {"warcinfo": ("application/warc-fields", b"software: x\r\n"), "resource": ("text/plain", body), "response": ("application/http; msgtype=response", http + body), "request": ("application/http", coded), "metadata": ("text/plain", b"")}
+    data = b""
+    for kind, (mime, block) in blocks.items():
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        data += f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (data[:200], data[200:])))
+    rows = {r["record_type"]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert set(rows) == set(blocks) and all(r["page_id"] is None and r["last"] for r in rows.values())
+    assert all(bytes(rows[k]["payload"]) == body for k in ("resource", "response", "request"))
+    assert rows["response"]["declared_sha1"] == hashlib.sha1(body).hexdigest() == rows["response"]["sha1_so_far"]
+
+
+def test_columns_of_other_names(spark):
+    rows = [(1, "u", "a" * 2000, "x", "y"), (2, "u", "a" * 2000, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, `we.ird` string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.planned(pages).collect()}
+    assert got == {(2, "response", None), (1, "revisit", 2)}
+
+
 def test_empty(spark):
     path = shared_dir(spark)
     warc.write_warc(warc.planned(helpers.empty(spark, helpers.PAGES)), path)
