@@ -1,19 +1,22 @@
 """HTML extraction by block rules in two passes.
 
-The first pass judges each block by where it stands, its links, its length and its share of stop words; short and
-unsure blocks then take the label of the nearest decided neighbours.
+Elements that never hold main text, such as menus, footers, forms and scripts, are left out with all that is in them. Of
+the other blocks the first pass judges each by its links, its length and its share of stop words; short and unsure blocks
+then take the label of the nearest decided neighbours (the rules of Pomikalek 2011, with the page's language in mind).
+Whether a page has article or main elements plays no part.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm.common import blocks, bound_batches, extended, table, texts_of
+from lodestream.llm.common import blocks, bound_batches, extended, mapped, table, texts_of
 
 #: Fixed thresholds: characters of short and of long blocks, shares of stop words, share of linked characters.
 SHORT, LONG = 70, 200
@@ -33,6 +36,12 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = set(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript object ol optgroup option p pre search section select summary svg table tbody td template tfoot th thead tr ul".split()
 )
+_CLOSED_BY = _BLOCK | {""}
+#: Elements that their own like closes.
+_ITEMS = {"li", "dd", "dt", "td", "th", "tr", "option"}
+#: A stray end tag doesn't close elements outside of these.
+_SCOPES = {"article", "main", "body"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that hold no main text wherever they stand; "header" only outside an article.
 _APART = set("aside button canvas datalist dialog footer form head menu nav noscript object optgroup option search select svg template".split())
 _ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -50,44 +59,63 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re
 _NEXT = re.compile(r""">|=\s*+["']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters of scripts that write a word in one or two; each counts as three towards a block's length.
+_DENSE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: How notices of rights begin: with a sign or word and a year.
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright)\W{1,4}(?:(?:©|\(c\))\W)?(?:19|20)\d\d\b", re.I)
 
 
 @dataclass
 class Block:
     text: str
-    linked: int
-    apart: bool
-    article: int  # number of the article element it stands in, 0 for none
-    main: bool
+    linked: int  # characters of links
+    heading: bool
     label: str = ""
 
 
 @dataclass
 class _Open:
     tag: str
-    apart: bool
-    article: int
-    main: bool
+    apart: bool  # holds no main text
+    article: bool  # is an article or within one
 
 
 @dataclass
 class _Parser:
-    """Cuts a page into blocks; elements may be unclosed or closed wrongly."""
+    """Cuts a page into blocks; elements may be unclosed or closed wrongly. Blocks of elements apart are left out."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, 0, False)])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False)])
+    #: For each scope how many elements of each tag are open in it.
+    open: list[Counter] = field(default_factory=lambda: [Counter()])
+    scopes: list[str] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     link: bool = False
-    articles: int = 0
+
+    def push(self, element: _Open) -> None:
+        self.stack.append(element)
+        if element.tag in _SCOPES:
+            self.open.append(Counter())
+            self.scopes.append(element.tag)
+        else:
+            self.open[-1][element.tag] += 1
+
+    def pop(self) -> _Open:
+        element = self.stack.pop()
+        if element.tag in _SCOPES:
+            self.open.pop()
+            self.scopes.pop()
+        else:
+            self.open[-1][element.tag] -= 1
+        return element
 
     def flush(self) -> None:
         self.link = False
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                top = self.stack[-1]
-                self.blocks.append(Block(text, self.linked, top.apart, top.article, top.main))
+            top = self.stack[-1]
+            if not top.apart and (text := " ".join("".join(self.parts).split())):
+                self.blocks.append(Block(text, self.linked, top.tag in _HEADINGS))
             self.parts, self.linked = [], 0
 
     def say(self, text: str) -> None:
@@ -106,8 +134,8 @@ class _Parser:
         block = tag in _BLOCK
         if block:
             self.flush()
-            while self.stack[-1].tag not in _BLOCK | {""} or self.stack[-1].tag == "p" or tag == self.stack[-1].tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                self.stack.pop()
+            while (top := self.stack[-1].tag) not in _CLOSED_BY or top == "p" or tag == top and tag in _ITEMS:
+                self.pop()
         if tag in _VOID:
             return
         top = self.stack[-1]
@@ -115,11 +143,7 @@ class _Parser:
         if block or apart:
             if not block and not top.apart:
                 self.flush()
-            article = top.article
-            if tag == "article" and not apart:
-                self.articles += 1
-                article = article or self.articles
-            self.stack.append(_Open(tag, top.apart or apart, article, top.main or tag == "main"))
+            self.push(_Open(tag, top.apart or apart, top.article or tag == "article"))
 
     @staticmethod
     def apart(tag: str, rest: str, top: _Open) -> bool:
@@ -144,14 +168,16 @@ class _Parser:
             self.link = False
         if tag in _BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                if self.stack[i].apart and tag not in _BLOCK:
-                    self.flush()
-                del self.stack[i:]
+        if tag in _SCOPES:
+            if not self.scopes or self.scopes[-1] != tag:
+                return
+        elif not self.open[-1][tag]:
+            return
+        while True:
+            if self.stack[-1].tag == tag and self.stack[-1].apart and tag not in _BLOCK:
+                self.flush()
+            if self.pop().tag == tag:
                 return
-            if self.stack[i].tag in ("article", "main", "body"):
-                return  # a stray end doesn't close these
 
 
 def _tag_end(page: str, start: int, dead: set[int]) -> int:
@@ -205,71 +231,71 @@ def cut(page: str) -> list[Block]:
     return parser.blocks
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, near (good unless all around is bad) or short (as its neighbours)."""
-    if block.apart or block.linked > LINKED * len(block.text):
-        return "bad"
-    if len(block.text) < SHORT:
-        return "bad" if block.linked and not block.article else "short"
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    share = max(sum(map(stop.__contains__, words)) for stop in _STOP) / max(1, len(words))
-    if share >= STOP_HIGH:
-        return "good" if len(block.text) > LONG else "near"
-    return "near" if share >= STOP_LOW or block.article or block.main else "bad"
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
 
 
-def label(found: list[Block]) -> None:
-    """Gives each block its label, good or bad.
+def _stop_share(words: list[str]) -> float:
+    return max(sum(map(stop.__contains__, words)) for stop in _STOP) / max(1, len(words))
+
 
-    In an article element only the blocks of that element are neighbours. An unsure block takes the label of the
-    nearer side, of two as near the good one; where nothing is decided it is good.
+def first_pass(block: Block, known: bool) -> str:
+    """good, bad, near (good unless all around is bad) or short (as its neighbours).
+
+    In a language without stop words here (not known) length and links alone decide.
     """
-    scope = [(b.article, b.main) for b in found]
-    first = [first_pass(b) for b in found]
+    size = len(block.text)
+    if block.linked > LINKED * size:
+        return "bad"
+    size += 2 * len(_DENSE.findall(block.text))
+    if size < SHORT:
+        return "bad" if block.linked and not block.heading or _RIGHTS.match(block.text) else "short"
+    if size <= LONG and _RIGHTS.match(block.text):
+        return "bad"
+    if not known:
+        return "good"
+    share = _stop_share(_words(block.text))
+    if share < STOP_LOW:
+        return "short"
+    return "good" if share >= STOP_HIGH and size > LONG else "near"
+
 
-    def nearest(labels: list[str], decided: tuple[str, ...], step: int) -> list[tuple[str, int]]:
-        out, last, at = [("", 0)] * len(labels), ("", 0), 0
-        order = range(len(labels)) if step > 0 else range(len(labels) - 1, -1, -1)
-        before = None
+def _settled(labels: list[str], kind: str, decided: tuple[str, ...]) -> list[str]:
+    """Blocks of a kind take the label of the nearer decided side, of two as near the good one, of none good.
+
+    A near block is good if either side is.
+    """
+    sides: list[list[tuple[int, bool]]] = [[] for _ in labels]
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last = None
         for i in order:
-            if scope[i] != before and (any(scope[i]) or before and any(before)):
-                last = ("", 0)
-            before = scope[i]
-            out[i] = (last[0], abs(i - last[1])) if last[0] else ("", 0)
+            if last is not None:
+                sides[i].append((abs(i - last), labels[last] == "bad"))
             if labels[i] in decided:
-                last = (labels[i], i)
-        return out
-
-    def settle(labels: list[str], kind: str, decided: tuple[str, ...]) -> list[str]:
-        left, right = nearest(labels, decided, 1), nearest(labels, decided, -1)
-        out = list(labels)
-        for i, own in enumerate(labels):
-            if own != kind:
-                continue
-            sides = [(d, "bad" if lab == "bad" else "good") for lab, d in (left[i], right[i]) if lab]
-            if not sides:
-                out[i] = "good"
-            elif kind == "near" or found[i].article or found[i].main:
-                out[i] = "good" if any(lab == "good" for _, lab in sides) or (found[i].article and kind == "near") else "bad"
-            else:
-                out[i] = min(sides, key=lambda s: (s[0], s[1] == "bad"))[1]
-        return out
+                last = i
+    out = list(labels)
+    for i, own in enumerate(labels):
+        if own == kind:
+            bad = all(b for _, b in sides[i]) if kind == "near" else min(sides[i], default=(0, False))[1]
+            out[i] = "bad" if sides[i] and bad else "good"
+    return out
+
 
-    labels = settle(first, "short", ("good", "bad", "near"))
-    for block, own in zip(found, settle(labels, "near", ("good", "bad")), strict=True):
-        block.label = own
+def label(found: list[Block]) -> None:
+    """Gives each block its label, good or bad."""
+    # the language is known if blocks with stop words hold a third of the text of blocks that aren't short
+    long = [(len(b.text), _stop_share(_words(b.text))) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
+    known = 3 * sum(size for size, share in long if share >= STOP_LOW) >= sum(size for size, _ in long)
+    labels = _settled([first_pass(b, known) for b in found], "short", ("good", "bad", "near"))
+    for block, final in zip(found, _settled(labels, "near", ("good", "bad")), strict=True):
+        block.label = final
 
 
 def extract(page: str) -> str:
-    """The main text: the good blocks, of the articles if the page has any, else of its main elements, else of all."""
+    """The main text: the good blocks."""
     found = cut(page)
     label(found)
-    good = [b for b in found if b.label == "good"]
-    for inner in (lambda b: b.article, lambda b: b.main):
-        if any(map(inner, good)):
-            good = [b for b in good if inner(b)]
-            break
-    return " ".join(b.text for b in good)
+    return " ".join(b.text for b in found if b.label == "good")
 
 
 def html_text(pages: DataFrame) -> DataFrame:
@@ -287,7 +313,7 @@ def html_text(pages: DataFrame) -> DataFrame:
                 texts = [extract(page) for page in texts_of(part.column("html")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*part.schema.names, "text", "n_chars"])
 
-    return pages.mapInArrow(run, extended(pages, "text string, n_chars bigint"))
+    return mapped(pages, run, extended(pages, "text string, n_chars bigint"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,51 @@ def test_op3_on_all_pages(spark, data):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_pages_without_article_elements(data):
+    """The rules find the same text where nothing says which part is the article."""
+    import duckdb
+
+    for (source,) in duckdb.sql(f"SELECT html FROM '{data}/pages.parquet'").fetchall():
+        article = re.search(r"<article>(.*?)</article>", source, re.S)[1]
+        plain = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
+        assert html_text.extract(source.replace("<article>", "<div>").replace("</article>", "</div>")) == plain
+
+
+LINKS = "".join(f"<li><a href=/{k}>section number {k} of this site</a></li>" for k in range(8))
+CHINESE = ["本市昨天公布了新的公共交通计划，居民们对此表示欢迎，认为新的线路会让出行更加方便。" * 3, "专家指出，计划的实施还需要几年时间，期间会有一些道路施工，请大家注意安全。" * 3]
+POLISH = ["Wczoraj władze miasta ogłosiły nowy plan komunikacji miejskiej, który mieszkańcy przyjęli z zadowoleniem, ponieważ nowe linie ułatwią im codzienne dojazdy do pracy oraz szkoły w całym regionie.", "Eksperci podkreślają, że wdrożenie planu potrwa kilka lat, a roboty drogowe spowodują utrudnienia, dlatego kierowcy powinni zachować szczególną ostrożność podczas jazdy."]
+OTHERS = ["Ranking: Kowalski 12, Nowak 9, Wisniewski 7, Zielinski 5, Kaminski 3, Wozniak 2, Mazur 1", "12.05 14.20 16.35 18.50 20.05 22.20 — 12.05 14.20 16.35 18.50 20.05 22.20 — 23.40"]
+
+
+@pytest.mark.parametrize("texts", [CHINESE, POLISH, [PROSE, *OTHERS, PROSE]], ids=["chinese", "polish", "within"])
+def test_languages_without_stop_words_and_blocks_without_any(texts):
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    assert html_text.extract(page(f"<ul>{LINKS}</ul><div>{body}</div><div>© 2024 The Site. {PROSE[:60]}</div>")) == " ".join(texts)
+
+
+def test_rules_decide():
+    """Blocks that differ in links, length and stop words alone."""
+    links = "<p>" + " and ".join(f"<a href=x>{PROSE[:40]}</a>" for _ in range(3)) + "</p>"
+    listed = f"<p>{OTHERS[0]}</p>"
+    assert html_text.extract(page(f"{links}{listed}{links}<p>{PROSE}</p><p>{PROSE[:99]}</p>{links}<p>{PROSE[:99]}</p>{links}")) == f"{PROSE} {PROSE[:99]}"
+    known = [html_text.Block(t, 0, False) for t in (PROSE, PROSE[:99], OTHERS[0], PROSE[:60], "Copyright 2024 of all that")]
+    assert [html_text.first_pass(b, True) for b in known] == ["good", "near", "short", "short", "bad"]
+    assert [html_text.first_pass(b, False) for b in known] == ["good", "good", "good", "short", "bad"]
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "x", "<div>" * 50_000 + "</b>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000 + "</div>" * 50_000, "<p><article>" + "<div>" * 50_000 + "</p>" * 50_000, "<span hidden>" * 50_000 + "</i></span>" * 50_000], ids=range(5))
+def test_deep_nesting_takes_linear_time(source):
+    begin = time.process_time()
+    html_text.extract(source)
+    assert time.process_time() - begin < 2
+
+
+def test_columns_of_other_names(spark):
+    rows = [(1, "u", "<p>a</p>", "mine", 5, ("s",), "z")]
+    got = html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, `we.ird` struct<`a b`:string>, `b``t` string")).first()
+    assert (got["text"], got["n_chars"], got["we.ird"]["a b"], got["b`t"]) == ("a", 1, "s", "z")
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>a</p>"), (2, "u", "<p>a</p>"), (3, "", "<article><p>" + "word " * 300_000 + "</article>")]
     got = html_text.html_text(spark.createDataFrame(rows, helpers.PAGES)).collect()
