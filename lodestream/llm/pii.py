@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import secrets
+import sys
+import unicodedata
 from functools import lru_cache
 from ipaddress import AddressValueError, IPv6Address
 
@@ -10,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import blocks, bound_batches, table, texts_of
+from lodestream.llm.common import blocks, bound_batches, extended, mapped, table, texts_of
 from lodestream.llm.html_text import STOP_WORDS
 from lodestream.llm.surrogates import Surrogates, folded
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret", "person")
-#: The key of the queries; a user passes their own.
-KEY = b"lodestream surrogates"
+#: The setting that holds the key, in hexadecimal digits.
+KEY_SETTING = "spark.lodestream.pii.key"
 
 #: Given names by script and gender.
 GIVEN = {
@@ -31,7 +34,24 @@ _LIST = {name: tuple(names) for names in GIVEN.values() for name in names}
 _FOLDED = {folded(name): names for name, names in _LIST.items()}
 _TITLES = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Don|Doña|Dr|Prof"
 
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏЀ-Я]"
+#: Titles before and behind names in scripts without capitals, and the commonest Chinese family names.
+_BEFORE = "السيد|السيدة|الدكتور|الدكتورة|الأستاذ|الأستاذة|מר|גברת|גב'|ד\"ר|פרופ'|श्री|श्रीमती"
+_BEHIND = "先生|女士|小姐|博士|教授"
+_CHINESE = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤張劉陳楊黃趙吳孫馬羅鄭許韓馮鄧"
+
+
+def _class(category: str) -> str:
+    """A class of all characters of a Unicode category."""
+    found, out = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == category], []
+    for c in found:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out) + "]"
+
+
+_CAPITAL = _class("Lu")
 _NAME = rf"{_CAPITAL}[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
@@ -61,6 +81,8 @@ _PAIR = re.compile(rf"(?<![^\W_]){_CAPITAL}[^\W\d_]+(?=(?: {_CAPITAL}\.)? {_CAPI
 _FAMILY = re.compile(rf"(?: {_CAPITAL}\.)? (?P<family>{_NAME})\b")
 #: Behind a title a family name, or a given name and a family name.
 _TITLED = re.compile(rf"\b(?:{_TITLES})\.? (?P<first>{_NAME})\b(?:(?: {_CAPITAL}\.)? (?P<second>{_NAME})\b)?")
+#: In scripts without capitals a word or two behind a title, or a Chinese name before one.
+_OTHERS = re.compile(rf"(?<!\w)(?:{_BEFORE})\.? (?P<first>[^\W\d_]{{2,}})(?: (?P<second>[^\W\d_]{{2,}}))?|(?P<chinese>[{_CHINESE}][一-鿿]{{1,2}}?)(?={_BEHIND})")
 _BARE_NAME = re.compile(rf"(?<![^\W_]){_NAME}(?![^\W_])")
 _STOP = frozenset(word for words in STOP_WORDS.values() for word in words)
 
@@ -107,6 +129,18 @@ def _identity(kind: str, original: str) -> str:
     return IPv6Address(original).exploded if kind == "ip" and ":" in original else folded(original)
 
 
+def _checked(kind: str, original: str, new: str, surrogates: Surrogates) -> str:
+    """The surrogate, if the way back from it leads to the original, so that no other original has it."""
+    back, identity = surrogates.inverse, _identity(kind, original)
+    if kind == "ip" and ":" in new:
+        again = back.ip6(new)
+    elif kind == "person":
+        again = back.family(new, _FOLDED)
+    else:
+        again = getattr(back, kind)(new)
+    return new if _identity(kind, again) == identity else surrogates.last_resort(kind, identity)
+
+
 def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str]]:
     """start, end, kind and surrogate of each entity, in order and without overlaps; the earlier kinds win.
 
@@ -132,9 +166,15 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
         for part in ("first", "second"):
             if m[part] and (part == "second" or m["second"] or folded(m["first"]) not in _FOLDED):
                 found.append((*m.span(part), "person", surrogates.family(m[part], _FOLDED)))
+    if not text.isascii():
+        for m in _OTHERS.finditer(text):
+            found += [(*m.span(part), "person", surrogates.family(m[part], _FOLDED)) for part in ("first", "second", "chinese") if m[part]]
     # names that were found stand for the same person wherever the document has them alone
     if names := {folded(text[a:b]) for a, b, kind, _ in found if kind == "person"} - _STOP:
         found += [(*m.span(), "person", surrogates.family(m[0], _FOLDED)) for m in _BARE_NAME.finditer(text) if folded(m[0]) in names]
+        for name in (n for n in names if unicodedata.category(n[0]) == "Lo"):
+            found += [(m.start(), m.end(), "person", surrogates.family(m[0], _FOLDED)) for m in re.finditer(re.escape(name) if name[0] in _CHINESE else rf"(?<!\w){re.escape(name)}(?!\w)", text)]
+    found = [(a, b, kind, new if folded(new) == folded(text[a:b]) else _checked(kind, text[a:b], new, surrogates)) for a, b, kind, new in found]
     found = [e for e in found if folded(e[3]) != folded(text[e[0] : e[1]])]
     if len(found) < 2:
         return found
@@ -159,7 +199,22 @@ def _surrogates(key: bytes) -> Surrogates:
     return Surrogates(key)
 
 
-def mapping(documents: DataFrame, key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key in the session's setting KEY_SETTING.
+
+    Where it is unset the session makes a random one, and keeps it while it runs: surrogates then agree within the
+    session and can't be undone afterwards. To get the same ones in another run, set a key and keep it secret.
+    """
+    set_ = spark.conf.get(KEY_SETTING, None)
+    if set_:
+        return bytes.fromhex(set_)
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lodestream_key"):
+        sc._lodestream_key = secrets.token_bytes(32)
+    return sc._lodestream_key
+
+
+def mapping(documents: DataFrame, key: bytes) -> DataFrame:
     """kind, original, surrogate: each pair once, as folded() has them. It holds the personal data itself."""
     bound_batches(documents.sparkSession)
 
@@ -173,24 +228,24 @@ def mapping(documents: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def collisions(pairs: DataFrame) -> DataFrame:
-    """kind and surrogate of which several originals, or which stands for itself."""
+    """kind and surrogate of which several originals, or which stands for itself: an audit of a mapping()."""
     grouped = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("originals"), F.max(F.col("original") == F.col("surrogate")).alias("same"))
     return grouped.where("originals > 1 OR same")
 
 
-def pseudonymised(documents: DataFrame, key: bytes = KEY, check: bool = True) -> DataFrame:
+def pseudonymised(documents: DataFrame, key: bytes) -> DataFrame:
     """documents with surrogates in text, and entities: kind, start and length in the old text, and the surrogate.
 
     The same entity gets the same surrogate everywhere (letter case, spaces and dashes between digits, and a phone
     number's country code aside), different ones get different ones of the same format; a given name gets one of the
-    same gender and script. The surrogates of each kind are one-to-one by construction, whatever the texts hold;
-    ``check`` is a job before that looks through all pairs of original and surrogate to confirm it. Null texts stay null and hold no entities. Rows are read one by one, so ties, repeated rows and
+    same gender and script. That needs no second scan and no shuffle: the surrogates of each kind are a permutation,
+    and each one is checked where it is made, by computing the original from it. What fails that is replaced by keyed
+    hexadecimal digits. Null texts stay null and hold no entities. Rows are read one by one, so ties, repeated rows and
     other columns change nothing; an own column named entities is replaced.
     """
     bound_batches(documents.sparkSession)
     documents = documents.drop("entities")
-    if check and (bad := collisions(mapping(documents, key)).select("kind", "originals").head()):
-        raise ValueError(f"a surrogate of kind {bad['kind']} stands for {bad['originals']} originals")
+    _surrogates(key)  # a wrong key is an error here rather than in the tasks
     plain = documents.columns
     at = plain.index("text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("surrogate", pa.string())]))
@@ -208,12 +263,12 @@ def pseudonymised(documents: DataFrame, key: bytes = KEY, check: bool = True) ->
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*plain, "entities"])
 
-    before = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema]
-    return documents.mapInArrow(run, ", ".join([*before, "entities array<struct<kind:string,start:int,length:int,surrogate:string>>"]))
+    return mapped(documents, run, extended(documents, "entities array<struct<kind:string,start:int,length:int,surrogate:string>>"))
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
+
     def count(kind: str) -> F.Column:
         return F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 

@@ -2,7 +2,8 @@
 
 A string's format is the class of each of its characters. Within a format the strings are numbered, and a keyed
 permutation of these numbers picks the surrogate. As the surrogate has the same format, different originals never share
-one, and as the permutation is a single cycle, none is its own.
+one, and as the permutation is a single cycle, none is its own. Who has the key can go back: from each surrogate that is
+given out the original is computed again, so two originals of one surrogate would be noticed where they stand.
 """
 
 from __future__ import annotations
@@ -57,10 +58,10 @@ def _like(digit: str, c: str) -> str:
 
 
 class Permutation:
-    """A keyed permutation of the numbers below any size, made of one cycle."""
+    """A keyed permutation of the numbers below any size, made of one cycle; or the way back."""
 
-    def __init__(self, key: bytes, rounds: int = 6):
-        self.key, self.rounds = key, rounds
+    def __init__(self, key: bytes, rounds: int = 6, back: bool = False):
+        self.key, self.rounds, self.step = key, rounds, -1 if back else 1
 
     def _mix(self, tweak: bytes, turn: int, value: int) -> int:
         return int.from_bytes(hashlib.blake2b(b"%d|%d|" % (turn, value) + tweak, key=self.key, digest_size=48).digest())
@@ -76,21 +77,31 @@ class Permutation:
         return left * b + right
 
     def __call__(self, x: int, size: int, tweak: bytes) -> int:
-        """The number after x on the cycle; x itself only if size is 1."""
+        """The number after x on the cycle (on the way back: before it); x itself only if size is 1."""
         a = isqrt(size - 1) + 1
         b = -(-size // a)
         y = x
         while True:
-            y = self._walk((self._walk(y, a, b, tweak, False) + 1) % (a * b), a, b, tweak, True)
+            y = self._walk((self._walk(y, a, b, tweak, False) + self.step) % (a * b), a, b, tweak, True)
             if y < size:
                 return y
 
 
 class Surrogates:
-    """Replacements by kind, the same for each mention of an entity, in the letter case of the mention."""
+    """Replacements by kind, the same for each mention of an entity, in the letter case of the mention.
 
-    def __init__(self, key: bytes):
-        self.permutation = Permutation(key)
+    ``inverse`` has the same methods, which give the originals of surrogates.
+    """
+
+    def __init__(self, key: bytes, back: bool = False):
+        if not 1 <= len(key) <= 64:
+            raise ValueError("a key has 1 to 64 bytes")
+        self.key, self.back, self.permutation = key, back, Permutation(key, back=back)
+        self.inverse = self if back else Surrogates(key, True)
+
+    def last_resort(self, kind: str, identity: str) -> str:
+        """Of what has no way back: hexadecimal digits, which no two originals share but by chance (1 in 2^64 pairs)."""
+        return hashlib.blake2b(f"{kind}|{identity}".encode(), key=self.key, digest_size=16).hexdigest()
 
     def string(self, text: str, tweak: str, alphabets: dict[str, str] | None = None) -> str:
         """The text with each character replaced within its class; others stay, and letter case does."""
@@ -138,8 +149,9 @@ class Surrogates:
             # no other domain becomes one of those for examples
             while i == len(labels) - 2 and (folded(labels[i]), last) in _EXAMPLES:
                 labels[i] = self.string(labels[i], "domain")
+        new = ".".join(labels)
         alphabets = None if any(map(_alphabet, folded(local))) else _MARKS
-        return f"{self.string(local, 'local@' + folded(domain), alphabets)}@{'.'.join(labels)}"
+        return f"{self.string(local, 'local@' + folded(new if self.back else domain), alphabets)}@{new}"
 
     def phone(self, text: str) -> str:
         """The last ten digits are replaced together, so that a mention without the country's code gets the same."""
