@@ -12,6 +12,8 @@ which no extended match covers, are grouped by their content once more: no repea
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +90,15 @@ def matches(own: tuple[list[int], list[int]], words: list[int], other: tuple[lis
     """The runs of enough words (first line, behind the last) that extending the pairs of equal lines both ways gives.
 
     Within one text (same) a run may not share a line with its earlier place: then its windows are given that don't.
+    Lines that a run covers aren't extended again, so that a line that stands often in a text costs little; what that
+    may leave is grouped by content with the rest.
     """
     one, two = own
     first, second = other
-    out, ends = [], {}
+    out, ends, covered = [], {}, []
     for k, o in sorted(pairs):
         d = k - o
-        if ends.get(d, -1) > k or same and d <= 0:
+        if ends.get(d, -1) > k or same and d <= 0 or covered and covered[-1][0] <= k < covered[-1][1]:
             continue
         s = e = k
         while s > 0 and s > d and one[s - 1] == first[s - 1 - d] and two[s - 1] == second[s - 1 - d]:
@@ -102,10 +106,16 @@ def matches(own: tuple[list[int], list[int]], words: list[int], other: tuple[lis
         while e < len(one) and e - d < len(first) and one[e] == first[e - d] and two[e] == second[e - d]:
             e += 1
         ends[d] = e
-        if same:
-            out += [(s + a, s + b) for a, b in windows(words[s:e], least) if b - a <= d]
-        elif sum(words[s:e]) >= least:
-            out.append((s, e))
+        if not same:
+            found = [(s, e)] if sum(words[s:e]) >= least else []
+        else:
+            found = [(s + a, s + b) for a, b in windows(words[s:e], least) if b - a <= d]
+        for a, b in found:  # in order of their begins
+            if covered and covered[-1][0] <= a <= covered[-1][1]:
+                covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
+            else:
+                covered.append((a, b))
+        out += found
     return out
 
 
@@ -126,10 +136,10 @@ def _uncovered(batches):
             spans = windows(r["words"])
             repeated, runs = set(r["repeated"]), sorted((x["s"], x["e"]) for x in r["runs"] or ())
             begins = [s for s, _ in runs]
-            reach = np.maximum.accumulate([e for _, e in runs]) if runs else []
+            reach = list(accumulate((e for _, e in runs), max))
             packed = np.array([r["one"], r["two"]], np.int64).T.tobytes()
             for (s, e), at in zip(spans, selected(r["one"], spans), strict=True):
-                k = int(np.searchsorted(begins, s, "right"))
+                k = bisect_right(begins, s)
                 if at in repeated and not (k and reach[k - 1] >= e):
                     node.append(r["node"])
                     out.append((s, e, hashlib.blake2b(packed[16 * s : 16 * e], digest_size=16).digest()))

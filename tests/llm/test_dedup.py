@@ -1,6 +1,7 @@
 """Operators 2 and 10."""
 
 import re
+import time
 from collections import Counter
 from itertools import combinations_with_replacement
 
@@ -285,6 +286,18 @@ def test_fewer_lines_are_selected_than_there_are_windows(data):
     assert picked < 0.7 * spans
 
 
+def test_a_line_that_stands_often_takes_linear_time():
+    begin = time.process_time()
+    one, two, words, _, picked = line_dedup.sketch(b"same words here\n" * 30_000)
+    lines = one, two
+    assert len(picked) > 29_000
+    within = line_dedup.matches(lines, words, lines, [(k, picked[0]) for k in picked], True)
+    across = line_dedup.matches(lines, words, lines, [(k, picked[0]) for k in picked], False)
+    assert {x for s, e in within for x in range(s, e)} == set(range(17, 30_000)) and len(within) < 60_000
+    assert {x for s, e in across for x in range(s, e)} == set(range(30_000)) and len(across) < 10
+    assert time.process_time() - begin < 10
+
+
 def test_first_place_of_a_line_is_not_that_of_the_run(spark):
     """The selected line stands alone in the first text; the run around it in the second and the third."""
     run = [f"{TEN} {TEN} {k}" for k in range(6)]
