@@ -82,33 +82,50 @@ class Machine:
         return np.clip((stats - self.mean) / self.scale, -6, 6)
 
 
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums along each row from each start to its end; zeros where they are the same."""
+    out = np.zeros((len(values), len(starts)), values.dtype)
+    full = ends > starts
+    if full.any():
+        out[:, full] = np.add.reduceat(values, starts[full], axis=1)
+    return out
+
+
 def train(stats: np.ndarray, doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, label: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> Machine:
-    """Logistic loss, full gradients; the buckets that the sample doesn't have keep weight 0."""
+    """Logistic loss, full gradients; the buckets that the sample doesn't have keep weight 0. doc is in order.
+
+    The rows of weights are w and the factors, so that what belongs together in memory is added together.
+    """
     used, column = np.unique(bucket, return_inverse=True)
-    n, size = len(label), len(used) + len(STATISTICS)
-    small = Machine(0.0, np.zeros(size), np.random.default_rng(7).normal(0, 0.01, (size, FACTORS)), stats.mean(axis=0), stats.std(axis=0) + 1e-6)
-    x, bias, cut = small.standard(stats), np.zeros(1), len(used)
+    n, cut = len(label), len(used)
+    mean, scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
+    x = np.ascontiguousarray(np.clip((stats - mean) / scale, -6, 6).T.astype(np.float32))
+    weights = np.zeros((1 + FACTORS, cut + len(STATISTICS)), np.float32)
+    weights[1:] = np.random.default_rng(7).normal(0, 0.01, (weights.shape[1], FACTORS)).T
+    bias, value = np.zeros(1), value.astype(np.float32)
+    edges = np.searchsorted(doc, np.arange(n + 1))
 
     def gradient():
-        w, v = small.w, small.v
-        pairs, sums, terms = np.zeros(n), [], []
-        for f in range(FACTORS):
-            t = value * v[column, f]
-            s = np.bincount(doc, weights=t, minlength=n) + x @ v[cut:, f]
-            pairs += s * s - np.bincount(doc, weights=t * t, minlength=n) - (x * x) @ (v[cut:, f] ** 2)
-            sums.append(s)
-            terms.append(t)
-        z = bias[0] + np.bincount(doc, weights=value * w[column], minlength=n) + x @ w[cut:] + pairs / 2
-        off = (sigmoid(z) - label) / n
-        gw = np.concatenate([np.bincount(column, weights=value * off[doc], minlength=cut), x.T @ off]) + decay * w / n
-        gv = np.stack([np.concatenate([np.bincount(column, weights=value * off[doc] * (sums[f][doc] - terms[f]), minlength=cut), x.T @ (off * sums[f]) - ((x * x).T @ off) * v[cut:, f]]) for f in range(FACTORS)], axis=1) + decay * v / n
-        return [np.array([off.sum()]), gw, gv]
-
-    adam(gradient, [bias, small.w, small.v], steps, rate)
-    w, v = np.zeros(WORD_BUCKETS + len(STATISTICS)), np.zeros((WORD_BUCKETS + len(STATISTICS), FACTORS))
-    at = np.concatenate([used, WORD_BUCKETS + np.arange(len(STATISTICS))])
-    w[at], v[at] = small.w, small.v
-    return Machine(float(bias[0]), w, v, small.mean, small.scale)
+        terms = np.stack([row.take(column) for row in weights]) * value
+        sums = _sums(terms, edges[:-1], edges[1:]) + weights[:, cut:] @ x
+        squares = _sums(terms[1:] ** 2, edges[:-1], edges[1:]) + weights[1:, cut:] ** 2 @ (x * x)
+        z = bias[0] + sums[0] + (sums[1:] ** 2 - squares).sum(axis=0) / 2
+        off = ((sigmoid(z) - label) / n).astype(np.float32)
+        back = sums * off
+        back[0] = off
+        each = off.take(doc)
+        slopes = np.empty_like(weights)
+        for f, row in enumerate(back):
+            own = row.take(doc) - each * terms[f] if f else each
+            slopes[f, :cut] = np.bincount(column, weights=own * value, minlength=cut)
+        slopes[:, cut:] = back @ x.T
+        slopes[1:, cut:] -= (x * x) @ off * weights[1:, cut:]
+        return [np.array([off.sum()]), slopes + decay * weights / n]
+
+    adam(gradient, [bias, weights], steps, rate)
+    full = np.zeros((1 + FACTORS, WORD_BUCKETS + len(STATISTICS)))
+    full[:, np.concatenate([used, WORD_BUCKETS + np.arange(len(STATISTICS))])] = weights
+    return Machine(float(bias[0]), full[0], np.ascontiguousarray(full[1:].T), mean, scale)
 
 
 def _length(part: pa.RecordBatch) -> np.ndarray:

@@ -103,16 +103,18 @@ def adam(gradient, params: list[np.ndarray], steps: int, rate: float) -> None:
 
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, steps: int = 120, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sparse rows, by full gradients."""
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b, _ in rows])
-    buckets, values = np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows])
-    used = np.unique(buckets)
-    column = np.searchsorted(used, buckets).astype(np.int32)
-    del buckets
+    size = np.array([len(b) for b, _ in rows])
+    some, starts = size > 0, np.cumsum(size) - size
+    values = np.concatenate([v for _, v in rows])
+    used, column = np.unique(np.concatenate([b for b, _ in rows]), return_inverse=True)
     weights, bias = np.zeros(len(used)), np.zeros(1)
 
     def gradient():
-        off = (sigmoid(np.bincount(of, weights=values * weights[column], minlength=len(rows)) + bias[0]) - label) / len(rows)
-        return [np.bincount(column, weights=values * off[of], minlength=len(used)) + decay * weights / len(rows), np.array([off.sum()])]
+        sums = np.zeros(len(rows))
+        if some.any():
+            sums[some] = np.add.reduceat(weights.take(column) * values, starts[some])
+        off = (sigmoid(sums + bias[0]) - label) / len(rows)
+        return [np.bincount(column, weights=values * np.repeat(off, size), minlength=len(used)) + decay * weights / len(rows), np.array([off.sum()])]
 
     adam(gradient, [weights, bias], steps, rate)
     full = np.zeros(BUCKETS)
