@@ -28,6 +28,8 @@ CAPACITY = 2048
 #: cardinality. Rounding costs room that only small pieces can fill, so what is best depends on how many there are: each
 #: pair makes a plan, and the plan with the fewest bins is taken.
 SETTINGS = ((2, 20), (3, 10), (8, 40))
+#: Columns that column generation tries for a plan; on tables of lengths as they come it takes a tenth of them.
+STEPS = 5000
 #: Bytes of pre-tokens and their ids that a worker remembers.
 CACHE_BYTES = 128 << 20
 
@@ -233,16 +235,17 @@ def _best_configuration(sizes: list[int], worth: np.ndarray, capacity: int) -> n
     return config
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, steps: int = 400) -> list[tuple[tuple[int, ...], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (how many of each size) and how many bins to fill by each, for at least the demand.
 
-    The linear programme over all configurations is solved by column generation; its solution is rounded down, and
-    what is left over, less than a bin for each size, goes to configurations filled largest first.
+    The linear programme over all configurations is solved by column generation, to its optimum unless that takes more
+    than STEPS columns: the plan then holds every piece all the same, in more bins perhaps. Its solution is rounded down,
+    and what is left over, less than a bin for each size, goes to configurations filled largest first.
     """
     demand_ = np.array(demand, float)
     basis = np.diag([float(capacity // s) for s in sizes])  # a column is a configuration
     x = demand_ / np.diag(basis)
-    for _ in range(steps):
+    for _ in range(STEPS):
         worth = np.linalg.solve(basis.T, np.ones(len(sizes)))
         column = _best_configuration(sizes, worth, capacity)
         if column @ worth <= 1 + 1e-7:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +120,19 @@ def test_configurations_pair_large_sizes():
     assert used.tolist() == [300, 300, 300] and sum(n for _, n in plan) <= 302
 
 
+def test_column_generation_ends_at_the_optimum(monkeypatch):
+    tried = []
+    best = packing._best_configuration
+    monkeypatch.setattr(packing, "_best_configuration", lambda *a: tried.append(0) or best(*a))
+    rng = random.Random(5)
+    for spread in (0.3, 1.0, 2.0):
+        lengths = Counter(min(2048, max(1, int(rng.lognormvariate(6.3, spread)))) for _ in range(20_000))
+        for setting in packing.SETTINGS:
+            tried.clear()
+            packing._planned(lengths, packing.CAPACITY, *setting)
+            assert len(tried) < packing.STEPS // 5
+
+
 def test_plans_are_near_the_bound():
     rng = random.Random(2)
     lengths = Counter(min(2048, max(1, int(rng.lognormvariate(6.3, 1)))) for _ in range(20_000))
@@ -163,3 +177,10 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(helpers.empty(spark)).count() == 0
     lone = spark.createDataFrame([(1, 0, 5, "x")] * 3, "doc_id long, piece int, length long, `__n` string")
     assert sorted(r["offset"] for r in packing.pack(lone).collect()) == [0, 5, 10]
+    odd = spark.createDataFrame([(1, 0, 5, ("x",), "y", 3)], "doc_id long, piece int, length long, `we.ird` struct<`a b`:string>, `b``t` string, offset int")
+    got = packing.pack(odd).first()
+    assert (got["we.ird"]["a b"], got["b`t"], got["offset"]) == ("x", "y", 0)
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 0, 3000), (2, 0, 7)], "doc_id long, piece int, length long"))
+    got = byte_bpe.encode(odd.withColumn("text", F.lit("a b")), BPE).first()
+    assert (got["we.ird"]["a b"], got["b`t"], got["n_tokens"]) == ("x", "y", 2)
