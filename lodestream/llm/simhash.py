@@ -37,6 +37,10 @@ CHAIN, LONG_CHAIN, LONG_FROM = 3, 4, 1 << 27
 #: Near duplicates by similarity: words of a shingle, minima of the ring, and how many of them in a row make a key. Texts
 #: that differ in 5 of 16 minima at most have three equal ones in a row (3 * 5 / 16 < 1), and most others have too.
 SIMILARITY, SIMILAR_SHINGLE, MINIMA, RUN = 0.8, 5, 16, 3
+#: Classes of the sketch that estimates the similarity of candidates, of one byte each.
+SKETCH = 128
+#: Texts of one key from which on it is crowded, and the minima in a row that make its longer key.
+CROWD, LONG_RUN = 1 << 12, 8
 #: Bits that fingerprints of similar texts differ in at most. At a similarity of 0.8 they differ in 9.7 of 64 on average,
 #: with a standard deviation of 2.9.
 SIMILAR_DISTANCE, SIMILAR_SEGMENTS = 20, 8
@@ -154,9 +158,9 @@ def within(a: Column, b: Column, distance: int, segments: int) -> Column:
 
 
 def keyed(nodes: DataFrame, chain: int) -> DataFrame:
-    """node, fp, choice and bits for each key of each fingerprint (node: the fingerprint)."""
+    """node, choice and bits for each key of each fingerprint (node: the fingerprint)."""
     masks = F.array(*[F.lit(_signed(mask)).cast("long") for _, mask in key_masks(chain)])
-    return nodes.select("fp", F.posexplode(masks).alias("choice", "mask")).select(F.col("fp").alias("node"), "fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+    return nodes.select("fp", F.posexplode(masks).alias("choice", "mask")).select(F.col("fp").alias("node"), "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
 
 
 def _near(chain: int) -> Callable[[Column, Column], Column]:
@@ -174,41 +178,62 @@ def _near(chain: int) -> Callable[[Column, Column], Column]:
 # ---------------------------------------------------------------- groups
 
 
-def groups(keys: DataFrame, key: list[str], near: Callable[..., Column], verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def groups(keys: DataFrame, key: list[str], near: Callable[..., Column], verified: Callable[[DataFrame], DataFrame] | None = None, marks: DataFrame | None = None) -> DataFrame:
     """node, root: for each node with a link the smallest node that it is connected with.
 
-    keys has a row (node, fp, and the key columns) for each key of each node. Nodes of one key are linked if near(fp, fp,
-    first key column) holds and verified(), on pairs (a, b), returns them. In each key first all nodes are held against
-    the smallest, the head. Most nodes of a dense group are then connected, and pairs among those needn't be looked at:
-    only nodes that are not connected with the head of a key are held against the others of the key. So a group of k near
-    copies costs about k pairs for each key, not k * k, and no link is lost that would connect anything.
+    keys has a row (node and the key columns) for each key of each node, marks the column ``mark`` for each node (None:
+    the node itself). Nodes of one key are linked if near(mark, mark, first key column) holds and verified(), on pairs
+    (a, b), returns them. In each key first all nodes are held against the smallest, the head. Most nodes of a dense group
+    are then connected, and pairs among those needn't be looked at: only nodes that are not connected with the head of a
+    key are held against the others of the key. So a group of k near copies costs about k pairs for each key, not k * k,
+    and no link is lost that would connect anything.
+
+    A column ``long`` of keys, if there is one, is a longer key from the same start. In keys of more than CROWD nodes,
+    such as those of a passage that many texts share, two nodes that are not connected with the head must have it in
+    common too.
     """
     spark = keys.sparkSession
     verified = verified or (lambda pairs: pairs)
-    heads = keys.groupBy(*key).agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.count("*").alias("n"))
-    heads = written(heads.where("n > 1").drop("n"), spark)
-    crowded = written(keys.join(small(heads), key), spark)
+    more = ["long"] if "long" in keys.columns else []
+    heads = keys.groupBy(*key).agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    heads = written(heads.where("n > 1").withColumn("crowd", F.col("n") > CROWD).drop("n"), spark)
+    crowded = keys.join(small(heads), key)
+    if marks is None:
+        crowded = crowded.withColumn("mark", F.col("node")).withColumn("head_mark", F.col("head"))
+    else:
+        asked = written(crowded, spark)
+        some = written(marks.join(small(written(asked.select("node").distinct(), spark)), "node"), spark)
+        crowded = asked.join(some, "node").join(some.select(F.col("node").alias("head"), F.col("mark").alias("head_mark")), "head")
+    crowded = written(crowded, spark)
     choice = F.col(key[0])
-    star = crowded.where((F.col("node") != F.col("head")) & near(F.col("head_fp"), F.col("fp"), choice)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    star = crowded.where((F.col("node") != F.col("head")) & near(F.col("head_mark"), F.col("mark"), choice)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     roots = written(components(verified(star)), spark)
 
     def root_of(df: DataFrame, name: str, root: str) -> DataFrame:
         own = small(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")))
         return df.join(own, F.col(name) == F.col("__node"), "left").withColumn(root, F.coalesce("__root", name)).drop("__node", "__root")
 
-    rooted = written(root_of(root_of(crowded.select(*key, "node", "fp", "head"), "node", "root"), "head", "head_root"), spark)
-    foreign = rooted.where("root <> head_root")
+    rooted = written(root_of(root_of(crowded.select(*key, *more, "node", "mark", "head", "crowd"), "node", "root"), "head", "head_root"), spark)
+    foreign, core = rooted.where("root <> head_root"), rooted.where("root = head_root AND node <> head")
     if not foreign.head():
         return roots
-    renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*key, "node", "fp", "head", "root", "head_root")])
-    left, right = renamed(foreign, "f"), renamed(rooted, "m")
-    same = reduce(and_, (F.col(f"f_{c}") == F.col(f"m_{c}") for c in key))
-    # two foreign nodes meet twice: in order once; heads were met before
-    once = (F.col("m_root") == F.col("m_head_root")) | (F.col("f_node") < F.col("m_node"))
-    meet = same & (F.col("f_root") != F.col("m_root")) & once & (F.col("m_node") != F.col("m_head")) & near(F.col("f_fp"), F.col("m_fp"), F.col(f"f_{key[0]}"))
-    pairs = left.join(right, meet).select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b")).distinct()
-    more = verified(written(pairs, spark))
-    above = root_of(root_of(more, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*key, *more, "node", "mark", "root")])
+
+    def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+        same = reduce(and_, (F.col(f"f_{c}") == F.col(f"m_{c}") for c in by))
+        meet = same & (F.col("f_root") != F.col("m_root")) & near(F.col("f_mark"), F.col("m_mark"), F.col(f"f_{key[0]}"))
+        # two foreign nodes meet twice, and count in order
+        once = F.lit(True) if right is core else F.col("f_node") < F.col("m_node")
+        pairs = renamed(left, "f").join(renamed(right, "m"), meet & once)
+        return pairs.select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b"))
+
+    few = foreign.where(~F.col("crowd")) if more else foreign
+    pairs = met(foreign, core, key).union(met(few, few, key))
+    if more:
+        many = foreign.where("crowd")
+        pairs = pairs.union(met(many, many, [*key, *more]))
+    found = verified(written(pairs.distinct(), spark))
+    above = root_of(root_of(found, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     above = written(components(above), spark).select(F.col("node").alias("__from"), F.col("root").alias("__to"))
     lifted = roots.join(small(above), F.col("root") == F.col("__from"), "left").select("node", F.coalesce("__to", "root").alias("root"))
     alone = above.join(roots, F.col("__from") == F.col("node"), "left_anti").select(F.col("__from").alias("node"), F.col("__to").alias("root"))
@@ -262,23 +287,58 @@ def minima(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def ring_keys(low: np.ndarray) -> np.ndarray:
-    """For each text and class a hash of it and the classes next on the ring, RUN in all, with their minima."""
+def ring_keys(low: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each text and class a hash of it and the classes next on the ring, so many in all, with their minima."""
     key = np.broadcast_to(np.arange(1, MINIMA + 1, dtype=np.uint64), low.shape).copy()
-    for k in range(RUN):
+    for k in range(run):
         key = (key ^ np.roll(low, -k, axis=1)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return key
 
 
+def sketches(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each text a byte of the smallest hash in each of SKETCH classes of its shingles, 0 for a class without any."""
+    n, shift = len(edges) - 1, np.uint64(64 - SKETCH.bit_length() + 1)
+    slot = np.repeat(np.arange(n), np.diff(edges)) * SKETCH + (hashes >> shift).astype(np.int64)
+    out = np.zeros(n * SKETCH, np.uint8)
+    order = np.argsort(slot, kind="stable")
+    if len(order):
+        sorted_ = slot[order]
+        begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        out[sorted_[begin]] = 1 + np.minimum.reduceat(hashes[order], begin) % np.uint64(255)
+    return out.reshape(n, SKETCH)
+
+
+def _bytes_set(x: Column) -> Column:
+    """How many of the eight bytes of a long are not 0."""
+    for by in (1, 2, 4):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101).cast("long")))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether the sketches allow the similarity: of the classes that either text has, a share of 1 - SIMILARITY may
+    differ, and three standard deviations more."""
+    longs = range(SKETCH // 8)
+    differ = reduce(lambda x, y: x + y, (_bytes_set(a[f"s{k}"].bitwiseXOR(b[f"s{k}"])) for k in longs))
+    either = reduce(lambda x, y: x + y, (_bytes_set(a[f"s{k}"].bitwiseOR(b[f"s{k}"])) for k in longs))
+    spread = 3 * (SIMILARITY * (1 - SIMILARITY)) ** 0.5
+    return differ <= (1 - SIMILARITY) * either + spread * F.sqrt(either.cast("double"))
+
+
 def _marked(batches):
     for batch in batches:
         for part in blocks(batch, "text"):
             hashes, edges = shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE)
-            keys = ring_keys(minima(hashes, edges)).view(np.int64)
-            offsets = np.arange(0, MINIMA * (len(edges)), MINIMA, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fingerprints(hashes, edges).view(np.int64)), lists], names=["doc_id", "node", "fp", "keys"])
+            low, offsets = minima(hashes, edges), pa.array(np.arange(0, MINIMA * len(edges), MINIMA, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(ring_keys(low, run).view(np.int64).ravel())) for run in (RUN, LONG_RUN)]
+            marks = [fingerprints(hashes, edges).view(np.int64), *sketches(hashes, edges).view(np.int64).T]
+            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m)) for m in marks], names=MARK_FIELDS)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), struct, *lists], names=["doc_id", "node", "mark", "keys", "longs"])
+
+
+#: The fingerprint and the sketch of a text.
+MARK_FIELDS = ["fp", *(f"s{k}" for k in range(SKETCH // 8))]
 
 
 def _sets(batches):
@@ -303,8 +363,8 @@ def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) ->
 
     Two texts are linked if their sets of SIMILAR_SHINGLE-word shingles, in lower case, have that Jaccard similarity; a
     text of fewer words is one shingle, and texts without words (null texts too) are alike. Links reach over others.
-    Candidates have RUN minima in a row in common, and fingerprints within SIMILAR_DISTANCE; of them the shingles are
-    compared. Equal texts are one node, by a 64-bit hash. Of rows that repeat doc_id and text one stays. Only ids, hashes
+    Candidates have RUN minima in a row in common (see groups() for runs that more than CROWD texts have), and
+    fingerprints within SIMILAR_DISTANCE, and sketches that allow it; of them the shingles are compared. Equal texts are one node, by a 64-bit hash. Of rows that repeat doc_id and text one stays. Only ids, hashes
     and the shingles of candidates are shuffled, and rows of texts that stand more than once.
     """
     spark = documents.sparkSession
@@ -312,11 +372,12 @@ def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) ->
     plain = documents.columns
     node = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = documents.select("doc_id", node.alias("node"), "text")
-    marked = written(rows.mapInArrow(_marked, extended(rows, "fp bigint, keys array<bigint>", ["doc_id", "node"])), spark)
+    mark = ", ".join(f"{name}: bigint" for name in MARK_FIELDS)
+    marked = written(rows.mapInArrow(_marked, extended(rows, f"mark struct<{mark}>, keys array<bigint>, longs array<bigint>", ["doc_id", "node"])), spark)
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    nodes = marked.groupBy("node").agg(F.min(id_).alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = marked.groupBy("node").agg(F.min(id_).alias("least"), F.count("*").alias("n"), F.first("mark").alias("mark"), F.first("keys").alias("keys"), F.first("longs").alias("longs"))
     nodes = written(nodes, spark)
-    near = lambda a, b, _: within(a, b, SIMILAR_DISTANCE, SIMILAR_SEGMENTS)
+    near = lambda a, b, _: within(a["fp"], b["fp"], SIMILAR_DISTANCE, SIMILAR_SEGMENTS) & alike(a, b)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, spark)
@@ -326,7 +387,8 @@ def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) ->
         sets = one.mapInArrow(_sets, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
         return similar_enough(pairs, written(sets, spark), similarity)
 
-    found = groups(nodes.select("node", "fp", F.explode("keys").alias("key")), ["key"], near, verified)
+    keys = nodes.select("node", F.explode(F.arrays_zip("keys", "longs")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.longs").alias("long"))
+    found = groups(keys, ["key"], near, verified, nodes.select("node", "mark"))
     linked = nodes.select("node", "least", "n").join(small(found), "node")
     best = written(linked.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")), spark)
     lost = linked.join(small(best), "root").where("node <> best.node").select("node", F.lit(True).alias("lost"))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestream.llm import line_dedup, simhash
 from lodestream.llm.components import components
@@ -137,6 +138,28 @@ def test_distinct_documents_are_those_of_brute_force(spark, data):
     assert len(got) < len(rows) - 30
 
 
+@pytest.mark.parametrize("crowd", [1, 12])
+def test_crowded_keys(spark, monkeypatch, crowd):
+    """Texts that share a passage, near copies of some of them, and keys that count as crowded early on."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(10**6)}"
+    passage = " ".join(word() for _ in range(60))
+    docs = []
+    for n in range(60):
+        own = [word() for _ in range(40 if n % 2 else 70)]
+        docs.append((3 * n, " ".join([*own[:20], passage, *own[20:]])))
+        if n % 4 == 0:
+            docs.append((3 * n + 1, " ".join([*own[:20], passage, *own[20:-2], "other", "end"])))
+    for n in range(30):  # near copies of one text
+        words = docs[0][1].split()
+        words[rng.integers(0, len(words))] = word()
+        docs.append((1000 + n, " ".join(words)))
+    got = simhash.distinct_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((False, r["doc_id"]) for r in got) == distinct_by_brute_force(docs)
+    assert len(got) == 60
+
+
 def test_distinct_documents_of_odd_rows(spark):
     docs = helpers.documents(spark)
     got = simhash.distinct_documents(docs)
@@ -161,6 +184,24 @@ def test_similar_texts_meet():
     assert met >= 0.98 * 400
 
 
+def test_sketches_allow_similar_texts_and_few_others(spark):
+    """Pairs of sets of several sizes: of similarity 0.8 nearly all pass, of 0.6 few."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for share, name in ((0.8, "alike"), (0.6, "apart")):
+        for n in range(600):
+            size = (30, 160, 2000)[n % 3]
+            both = round(size * 2 * share / (1 + share))
+            sets = [rng.integers(0, 1 << 64, both, dtype=np.uint64), rng.integers(0, 1 << 64, (2, size - both), dtype=np.uint64)]
+            hashes = np.concatenate([np.concatenate([sets[0], own]) for own in sets[1]])
+            marks = simhash.sketches(hashes, np.array([0, size, 2 * size])).view(np.int64).tolist()
+            rows.append((name, *[dict(zip(simhash.MARK_FIELDS, [0, *m], strict=True)) for m in marks]))
+    kind = "struct<" + ",".join(f"{f}:bigint" for f in simhash.MARK_FIELDS) + ">"
+    got = spark.createDataFrame(rows, f"name string, a {kind}, b {kind}").where(simhash.alike(F.col("a"), F.col("b"))).groupBy("name").count().collect()
+    passed = {r["name"]: r["count"] for r in got}
+    assert passed["alike"] >= 594 and passed.get("apart", 0) <= 200
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 240)] + [(5, 5), (3, 1), (1, 3), (9, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
