@@ -67,16 +67,17 @@ def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     return df.toDF(*safe(df.columns)).mapInArrow(renamed, T.StructType(fields)).toDF(*schema.names)
 
 
-#: Rows of a table that is broadcast by small(), at most.
+#: Rows of a table that is broadcast by small(), at most; an item of a list counts as a row.
 BROADCAST_ROWS = 1 << 18
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, items: Column | None = None) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it is counted to have BROADCAST_ROWS at most.
 
-    Larger ones are left to a shuffled join, whose hot keys Spark splits.
+    items: how many items the lists of a row have. Larger tables are left to a shuffled join, whose hot keys Spark splits.
     """
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    count = df.count() if items is None else df.agg(F.coalesce(F.sum(items + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
 def shared_dir(spark: SparkSession) -> str:

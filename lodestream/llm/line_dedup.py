@@ -174,13 +174,14 @@ def repeats(documents: DataFrame) -> DataFrame:
     later = hits.where((F.col("node") != F.col("o_node")) | (F.col("k") != F.col("o")))
     pairs = written(later.groupBy("node", "o_node").agg(F.collect_list(F.struct("k", "o")).alias("pairs")), spark)
     there = texts.select(F.col("node").alias("o_node"), F.col("one").alias("first"), F.col("two").alias("second"))
-    both = pairs.join(texts.select("node", "one", "two", "words"), "node").join(there, "o_node").withColumn("same", F.col("node") == F.col("o_node"))
+    both = texts.select("node", "one", "two", "words").join(small(pairs, F.size("pairs")), "node").join(there, "o_node").withColumn("same", F.col("node") == F.col("o_node"))
     runs = written(both.mapInArrow(_extended, "node string, s int, e int"), spark)
 
     # what the first places of lines don't explain
     of = runs.groupBy("node").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    repeated = hits.groupBy("node").agg(F.collect_set("k").alias("repeated"))
-    open_ = texts.select("node", "one", "two", "words").join(repeated, "node").join(of, "node", "left")
+    repeated = hits.groupBy("node").agg(F.collect_set("k").alias("repeated")).join(of, "node", "left")
+    repeated = written(repeated, spark)
+    open_ = texts.select("node", "one", "two", "words").join(small(repeated, F.size("repeated") + F.coalesce(F.size("runs"), F.lit(0))), "node")
     rest = written(open_.mapInArrow(_uncovered, "node string, s int, e int, digest binary"), spark)
     rest = rest.join(texts.select("node", "least"), "node")
     first = rest.groupBy("digest").agg(F.min(F.struct("least", "node", "s", "e")).alias("o"), F.count("*").alias("n")).where("n > 1").select("digest", "o")
@@ -218,7 +219,7 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     marked = documents.withColumn("__node", F.md5(F.col("text").cast("binary")))
     cuts = written(repeats(marked.select("doc_id", "text", F.col("__node").alias("node"))), documents.sparkSession)
     cuts = cuts.select(F.struct("least", "whole", "runs").alias("__cut"), F.col("node").alias("__of"))
-    joined = marked.join(small(cuts), F.col("__node") == F.col("__of"), "left")
+    joined = marked.join(small(cuts, F.coalesce(F.size("__cut.runs"), F.lit(0))), F.col("__node") == F.col("__of"), "left")
     copy = ~F.col("doc_id").eqNullSafe(F.col("__cut.least"))
     joined = joined.select(*columns(plain), F.when(F.col("__of").isNotNull(), F.when(copy, F.array("__cut.whole")).otherwise(F.col("__cut.runs"))).alias("__runs"))
     at = plain.index("text")

@@ -4,6 +4,7 @@ from lodestream.llm.common import written
 from lodestream.llm.surrogates import Surrogates
 from tests.llm import helpers
 from tests.llm.test_dedup import WORD, deduped, distinct_by_brute_force
+from tests.llm.test_private import PROBES
 from tests.llm.test_tokens import expected_pieces, sequences
 
 
@@ -32,7 +33,8 @@ def test_stages_follow_brute_force(spark, data):
 
 
 def test_odd_rows(spark, data):
-    docs = helpers.documents(spark, [*helpers.ODD, " ".join(f"alpha{i} beta{7 * i}" for i in range(200))])
+    filler = [" ".join(f"{kind}{i} beta{7 * i}" for i in range(200)) for kind in ("alpha", *(f"k{n}x" for n in range(len(PROBES))))]
+    docs = helpers.documents(spark, [*helpers.ODD, filler[0], *(f"{probe} {words}" for probe, words in zip(PROBES, filler[1:], strict=True))])
     folder = helpers.folder(spark, documents=docs, labels=helpers.empty(spark, helpers.LABELS))
     assert corpus_pipeline.run(spark, folder).count() > 0
     folder = helpers.folder(spark, documents=helpers.empty(spark), labels=helpers.empty(spark, helpers.LABELS))
