@@ -55,7 +55,7 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
-def mapped(token: bytes) -> str:
+def characters(token: bytes) -> str:
     return "".join(chr(FIRST + b) for b in token)
 
 
@@ -66,7 +66,7 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
         raise ValueError("the ranks aren't 0, 1, 2 ...")
     normal, unknown = 1, 2
     pieces = [_field(1, b"<unk>") + _field(2, 0.0) + _field(3, unknown)]
-    pieces += [_field(1, mapped(token).encode()) + _field(2, float(-rank)) + _field(3, normal) for token, rank in by_rank]
+    pieces += [_field(1, characters(token).encode()) + _field(2, float(-rank)) + _field(3, normal) for token, rank in by_rank]
     trainer = _field(3, 2) + _field(4, len(pieces)) + _field(40, 0) + _field(41, (1 << 64) - 1) + _field(42, (1 << 64) - 1) + _field(43, (1 << 64) - 1)
     normaliser = _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
