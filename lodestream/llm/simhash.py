@@ -183,10 +183,11 @@ def groups(keys: DataFrame, key: list[str], near: Callable[..., Column], verifie
 
     keys has a row (node and the key columns) for each key of each node, marks the column ``mark`` for each node (None:
     the node itself). Nodes of one key are linked if near(mark, mark, first key column) holds and verified(), on pairs
-    (a, b), returns them. In each key first all nodes are held against the smallest, the head. Most nodes of a dense group
-    are then connected, and pairs among those needn't be looked at: only nodes that are not connected with the head of a
-    key are held against the others of the key. So a group of k near copies costs about k pairs for each key, not k * k,
-    and no link is lost that would connect anything.
+    (a, b), returns them. In each key first all nodes are held against two of them, the heads, picked by a hash of node
+    and key, so that a node meets twice as many heads as it has keys. Most nodes of a dense group are then connected, and
+    pairs among those needn't be looked at: only nodes that are not connected with the first head of a key are held
+    against the others of the key. So a group of k near copies costs about 2 k pairs for each key, not k * k, and no link is lost
+    that would connect anything.
 
     A column ``long`` of keys, if there is one, is a longer key from the same start. In keys of more than CROWD nodes,
     such as those of a passage that many texts share, two nodes that are not connected with the head must have it in
@@ -195,25 +196,31 @@ def groups(keys: DataFrame, key: list[str], near: Callable[..., Column], verifie
     spark = keys.sparkSession
     verified = verified or (lambda pairs: pairs)
     more = ["long"] if "long" in keys.columns else []
-    heads = keys.groupBy(*key).agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    order = F.xxhash64("node", *key)
+    heads = keys.groupBy(*key).agg(F.min_by("node", order).alias("head"), F.max_by("node", order).alias("second"), F.count("*").alias("n"))
     heads = written(heads.where("n > 1").withColumn("crowd", F.col("n") > CROWD).drop("n"), spark)
-    crowded = keys.join(small(heads), key)
-    if marks is None:
-        crowded = crowded.withColumn("mark", F.col("node")).withColumn("head_mark", F.col("head"))
-    else:
-        asked = written(crowded, spark)
-        some = written(marks.join(small(written(asked.select("node").distinct(), spark)), "node"), spark)
-        crowded = asked.join(some, "node").join(some.select(F.col("node").alias("head"), F.col("mark").alias("head_mark")), "head")
-    crowded = written(crowded, spark)
+    crowded = written(keys.join(small(heads), key), spark)
     choice = F.col(key[0])
-    star = crowded.where((F.col("node") != F.col("head")) & near(F.col("head_mark"), F.col("mark"), choice)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+
+    def marked(df: DataFrame, node: str, mark: str) -> DataFrame:
+        if marks is None:
+            return df.withColumn(mark, F.col(node))
+        return df.join(small(some.select(F.col("node").alias(node), F.col("mark").alias(mark)), F.lit(8)), node)
+
+    if marks is not None:
+        some = written(marks.join(small(written(crowded.select("node").distinct(), spark)), "node"), spark)
+    ways = [F.struct(F.least(h, "node").alias("a"), F.greatest(h, "node").alias("b")) for h in ("head", "second")]
+    by = [choice] if marks is None else []
+    met_heads = crowded.select(*by, F.explode(F.array(*ways)).alias("x")).select(*by, "x.*").where("a <> b").distinct()
+    star = marked(marked(met_heads, "a", "a_mark"), "b", "b_mark").where(near(F.col("a_mark"), F.col("b_mark"), choice)).select("a", "b").distinct()
     roots = written(components(verified(star)), spark)
 
     def root_of(df: DataFrame, name: str, root: str) -> DataFrame:
         own = small(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")))
         return df.join(own, F.col(name) == F.col("__node"), "left").withColumn(root, F.coalesce("__root", name)).drop("__node", "__root")
 
-    rooted = written(root_of(root_of(crowded.select(*key, *more, "node", "mark", "head", "crowd"), "node", "root"), "head", "head_root"), spark)
+    rooted = root_of(root_of(crowded.select(*key, *more, "node", "head", "crowd"), "node", "root"), "head", "head_root")
+    rooted = written(marked(rooted, "node", "mark"), spark)
     foreign, core = rooted.where("root <> head_root"), rooted.where("root = head_root AND node <> head")
     if not foreign.head():
         return roots
@@ -318,12 +325,15 @@ def _bytes_set(x: Column) -> Column:
 
 def alike(a: Column, b: Column) -> Column:
     """Whether the sketches allow the similarity: of the classes that either text has, a share of 1 - SIMILARITY may
-    differ, and three standard deviations more."""
+    differ, and three standard deviations more. The classes are a sample without repeats of the shingles of both, which
+    of short texts has most of them and varies little."""
     longs = range(SKETCH // 8)
     differ = reduce(lambda x, y: x + y, (_bytes_set(a[f"s{k}"].bitwiseXOR(b[f"s{k}"])) for k in longs))
     either = reduce(lambda x, y: x + y, (_bytes_set(a[f"s{k}"].bitwiseOR(b[f"s{k}"])) for k in longs))
     spread = 3 * (SIMILARITY * (1 - SIMILARITY)) ** 0.5
-    return differ <= (1 - SIMILARITY) * either + spread * F.sqrt(either.cast("double"))
+    union = F.greatest(F.lit(1.0), (a["n"] + b["n"]) / (1 + SIMILARITY))
+    left = F.greatest(F.lit(0.05), 1 - either / union)
+    return differ <= (1 - SIMILARITY) * either + spread * F.sqrt(either * left)
 
 
 def _marked(batches):
@@ -332,13 +342,13 @@ def _marked(batches):
             hashes, edges = shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE)
             low, offsets = minima(hashes, edges), pa.array(np.arange(0, MINIMA * len(edges), MINIMA, dtype=np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(ring_keys(low, run).view(np.int64).ravel())) for run in (RUN, LONG_RUN)]
-            marks = [fingerprints(hashes, edges).view(np.int64), *sketches(hashes, edges).view(np.int64).T]
+            marks = [fingerprints(hashes, edges).view(np.int64), np.diff(edges), *sketches(hashes, edges).view(np.int64).T]
             struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m)) for m in marks], names=MARK_FIELDS)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), struct, *lists], names=["doc_id", "node", "mark", "keys", "longs"])
 
 
-#: The fingerprint and the sketch of a text.
-MARK_FIELDS = ["fp", *(f"s{k}" for k in range(SKETCH // 8))]
+#: The fingerprint, the number of shingles and the sketch of a text.
+MARK_FIELDS = ["fp", "n", *(f"s{k}" for k in range(SKETCH // 8))]
 
 
 def _sets(batches):

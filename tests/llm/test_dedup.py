@@ -97,7 +97,7 @@ def test_dense_groups_make_few_pairs(spark):
 
     found = dict(simhash.groups(simhash.keyed(nodes, 3), ["choice", "bits"], simhash._near(3), counting).collect())
     assert set(found.values()) == {min(values)} and len(found) == len(values)
-    assert sum(seen) < 25 * len(values) < len(values) * (len(values) - 1) // 4
+    assert sum(seen) < 50 * len(values) < len(values) * (len(values) - 1) // 4
 
 
 def shingles(text, size=5):
@@ -195,11 +195,11 @@ def test_sketches_allow_similar_texts_and_few_others(spark):
             sets = [rng.integers(0, 1 << 64, both, dtype=np.uint64), rng.integers(0, 1 << 64, (2, size - both), dtype=np.uint64)]
             hashes = np.concatenate([np.concatenate([sets[0], own]) for own in sets[1]])
             marks = simhash.sketches(hashes, np.array([0, size, 2 * size])).view(np.int64).tolist()
-            rows.append((name, *[dict(zip(simhash.MARK_FIELDS, [0, *m], strict=True)) for m in marks]))
+            rows.append((name, *[dict(zip(simhash.MARK_FIELDS, [0, size, *m], strict=True)) for m in marks]))
     kind = "struct<" + ",".join(f"{f}:bigint" for f in simhash.MARK_FIELDS) + ">"
     got = spark.createDataFrame(rows, f"name string, a {kind}, b {kind}").where(simhash.alike(F.col("a"), F.col("b"))).groupBy("name").count().collect()
     passed = {r["name"]: r["count"] for r in got}
-    assert passed["alike"] >= 594 and passed.get("apart", 0) <= 200
+    assert passed["alike"] >= 594 and passed.get("apart", 0) <= 60
 
 
 def test_components_of_chains_and_stars(spark):
