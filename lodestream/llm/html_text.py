@@ -12,6 +12,7 @@ import html
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,12 @@ class Block:
     heading: bool
     label: str = ""
 
+    @cached_property
+    def stop_share(self) -> float:
+        """The share of stop words among its words, in the language that has most."""
+        words = _WORD.findall(self.text.lower())
+        return max(sum(map(stop.__contains__, words)) for stop in _STOP) / max(1, len(words))
+
 
 @dataclass
 class _Open:
@@ -231,14 +238,6 @@ def cut(page: str) -> list[Block]:
     return parser.blocks
 
 
-def _words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
-def _stop_share(words: list[str]) -> float:
-    return max(sum(map(stop.__contains__, words)) for stop in _STOP) / max(1, len(words))
-
-
 def first_pass(block: Block, known: bool) -> str:
     """good, bad, near (good unless all around is bad) or short (as its neighbours).
 
@@ -254,10 +253,9 @@ def first_pass(block: Block, known: bool) -> str:
         return "bad"
     if not known:
         return "good"
-    share = _stop_share(_words(block.text))
-    if share < STOP_LOW:
+    if block.stop_share < STOP_LOW:
         return "short"
-    return "good" if share >= STOP_HIGH and size > LONG else "near"
+    return "good" if block.stop_share >= STOP_HIGH and size > LONG else "near"
 
 
 def _settled(labels: list[str], kind: str, decided: tuple[str, ...]) -> list[str]:
@@ -284,7 +282,7 @@ def _settled(labels: list[str], kind: str, decided: tuple[str, ...]) -> list[str
 def label(found: list[Block]) -> None:
     """Gives each block its label, good or bad."""
     # the language is known if blocks with stop words hold a third of the text of blocks that aren't short
-    long = [(len(b.text), _stop_share(_words(b.text))) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
+    long = [(len(b.text), b.stop_share) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
     known = 3 * sum(size for size, share in long if share >= STOP_LOW) >= sum(size for size, _ in long)
     labels = _settled([first_pass(b, known) for b in found], "short", ("good", "bad", "near"))
     for block, final in zip(found, _settled(labels, "near", ("good", "bad")), strict=True):
