@@ -6,7 +6,7 @@ import re
 import secrets
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, partial
 from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
@@ -77,12 +77,16 @@ _NUMBER = re.compile(
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
 )
 _DIGITS = re.compile(r"\d+")
-_PAIR = re.compile(rf"(?<![^\W_]){_CAPITAL}[^\W\d_]+(?=(?: {_CAPITAL}\.)? {_CAPITAL}[^\W\d_])")
+#: Words before a further word, some of which are given names; what stands before, and whether both have capitals, is
+#: looked at afterwards, as a search is fast if it begins with few characters.
+_PAIR = re.compile(r"[A-Z\u0080-\uffff][^\W\d_]++(?=(?: \w\.)? \w[^\W\d_])")
+_ASCII_PAIR = re.compile(r"[A-Z][A-Za-z]++(?=(?: [A-Z]\.)? [A-Z][A-Za-z])")
 _FAMILY = re.compile(rf"(?: {_CAPITAL}\.)? (?P<family>{_NAME})\b")
 #: Behind a title a family name, or a given name and a family name.
-_TITLED = re.compile(rf"\b(?:{_TITLES})\.? (?P<first>{_NAME})\b(?:(?: {_CAPITAL}\.)? (?P<second>{_NAME})\b)?")
+_TITLED = re.compile(rf"(?:{_TITLES})\.? (?P<first>{_NAME})\b(?:(?: {_CAPITAL}\.)? (?P<second>{_NAME})\b)?")
 #: In scripts without capitals a word or two behind a title, or a Chinese name before one.
 _OTHERS = re.compile(rf"(?<!\w)(?:{_BEFORE})\.? (?P<first>[^\W\d_]{{2,}})(?: (?P<second>[^\W\d_]{{2,}}))?|(?P<chinese>[{_CHINESE}][一-鿿]{{1,2}}?)(?={_BEHIND})")
+_CASELESS = re.compile("[\u0590-\u06ff\u0900-\u097f\u4e00-\u9fff]")
 _BARE_NAME = re.compile(rf"(?<![^\W_]){_NAME}(?![^\W_])")
 _STOP = frozenset(word for words in STOP_WORDS.values() for word in words)
 
@@ -129,6 +133,11 @@ def _identity(kind: str, original: str) -> str:
     return IPv6Address(original).exploded if kind == "ip" and ":" in original else folded(original)
 
 
+def _begins(text: str, m: re.Match) -> bool:
+    """Whether no letter or digit stands before the match."""
+    return not m.start() or not text[m.start() - 1].isalnum()
+
+
 def _checked(kind: str, original: str, new: str, surrogates: Surrogates) -> str:
     """The surrogate, if the way back from it leads to the original, so that no other original has it."""
     back, identity = surrogates.inverse, _identity(kind, original)
@@ -157,16 +166,16 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
         found += [(a, b, "ip", surrogates.ip6(text[a:b])) for a, b in _addresses(text)]
     for m in _numbers(text):
         found.append((*m.span(), m.lastgroup, getattr(surrogates, m.lastgroup)(m[0])))
-    for m in _PAIR.finditer(text):
+    for m in (_ASCII_PAIR if text.isascii() else _PAIR).finditer(text):
         names = _LIST.get(m[0].lower())
-        if names and m[0] == m[0].title() and (f := _FAMILY.match(text, m.end())):
+        if names and _begins(text, m) and m[0] == m[0].title() and (f := _FAMILY.match(text, m.end())):
             found.append((*m.span(), "person", surrogates.given(m[0], names)))
             found.append((*f.span("family"), "person", surrogates.family(f["family"], _FOLDED)))
-    for m in _TITLED.finditer(text):
+    for m in filter(partial(_begins, text), _TITLED.finditer(text)):
         for part in ("first", "second"):
             if m[part] and (part == "second" or m["second"] or folded(m["first"]) not in _FOLDED):
                 found.append((*m.span(part), "person", surrogates.family(m[part], _FOLDED)))
-    if not text.isascii():
+    if not text.isascii() and _CASELESS.search(text):
         for m in _OTHERS.finditer(text):
             found += [(*m.span(part), "person", surrogates.family(m[part], _FOLDED)) for part in ("first", "second", "chinese") if m[part]]
     # names that were found stand for the same person wherever the document has them alone
