@@ -74,6 +74,7 @@ def quality_rules(documents: DataFrame, model: Model | None) -> DataFrame:
     bound_batches(spark)
     added = [x.split()[0] for x in ADDED.split(", ")]
     documents = documents.drop(*added)
+    pa.default_memory_pool().release_unused()  # what fitting in this process has left
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches):

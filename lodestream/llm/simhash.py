@@ -224,21 +224,18 @@ def groups(keys: DataFrame, key: list[str], near: Callable[..., Column], verifie
     foreign, core = rooted.where("root <> head_root"), rooted.where("root = head_root AND node <> head")
     if not foreign.head():
         return roots
-    renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*key, *more, "node", "mark", "root")])
-
-    def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-        same = reduce(and_, (F.col(f"f_{c}") == F.col(f"m_{c}") for c in by))
-        meet = same & (F.col("f_root") != F.col("m_root")) & near(F.col("f_mark"), F.col("m_mark"), F.col(f"f_{key[0]}"))
-        # two foreign nodes meet twice, and count in order
-        once = F.lit(True) if right is core else F.col("f_node") < F.col("m_node")
-        pairs = renamed(left, "f").join(renamed(right, "m"), meet & once)
-        return pairs.select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b"))
-
-    few = foreign.where(~F.col("crowd")) if more else foreign
-    pairs = met(foreign, core, key).union(met(few, few, key))
+    # one join for all: ``l`` is the longer key where two foreign nodes of a crowded key meet, and 0 elsewhere
+    crowd, none = F.col("crowd") if more else F.lit(False), F.lit(0).cast("long")
+    side = lambda df, p, l: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*key, "node", "mark", "root", "head_root")], l.alias(f"{p}_l"))  # noqa: E731, E741
+    left = side(foreign, "f", none)
+    right = side(core, "m", none).union(side(foreign.where(~crowd), "m", none))
     if more:
-        many = foreign.where("crowd")
-        pairs = pairs.union(met(many, many, [*key, *more]))
+        left, right = (x.union(side(foreign.where(crowd), p, F.col("long"))) for x, p in ((left, "f"), (right, "m")))
+    same = reduce(and_, (F.col(f"f_{c}") == F.col(f"m_{c}") for c in (*key, "l")))
+    # two foreign nodes meet twice, and count in order
+    once = (F.col("m_root") == F.col("m_head_root")) | (F.col("f_node") < F.col("m_node"))
+    meet = same & (F.col("f_root") != F.col("m_root")) & once & near(F.col("f_mark"), F.col("m_mark"), F.col(f"f_{key[0]}"))
+    pairs = left.join(right, meet).select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b"))
     found = verified(written(pairs.distinct(), spark))
     above = root_of(root_of(found, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     above = written(components(above), spark).select(F.col("node").alias("__from"), F.col("root").alias("__to"))
@@ -304,7 +301,11 @@ def ring_keys(low: np.ndarray, run: int = RUN) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each text a byte of the smallest hash in each of SKETCH classes of its shingles, 0 for a class without any."""
+    """For each text of which of SKETCH classes it has shingles, and a byte of the smallest hash in each, as longs.
+
+    The bytes are cut in bits: behind the bits of the classes that it has come those of the first bit of each byte, and
+    so on, so that classes are compared 64 at a time.
+    """
     n, shift = len(edges) - 1, np.uint64(64 - SKETCH.bit_length() + 1)
     slot = np.repeat(np.arange(n), np.diff(edges)) * SKETCH + (hashes >> shift).astype(np.int64)
     out = np.zeros(n * SKETCH, np.uint8)
@@ -313,23 +314,19 @@ def sketches(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
         sorted_ = slot[order]
         begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
         out[sorted_[begin]] = 1 + np.minimum.reduceat(hashes[order], begin) % np.uint64(255)
-    return out.reshape(n, SKETCH)
-
-
-def _bytes_set(x: Column) -> Column:
-    """How many of the eight bytes of a long are not 0."""
-    for by in (1, 2, 4):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101).cast("long")))
+    out = out.reshape(n, 1, SKETCH)
+    planes = np.concatenate([out > 0, (out >> np.arange(8, dtype=np.uint8)[None, :, None] & 1) > 0], axis=1)
+    return np.packbits(planes, axis=2).reshape(n, -1).view(np.int64)
 
 
 def alike(a: Column, b: Column) -> Column:
     """Whether the sketches allow the similarity: of the classes that either text has, a share of 1 - SIMILARITY may
     differ, and three standard deviations more. The classes are a sample without repeats of the shingles of both, which
     of short texts has most of them and varies little."""
-    longs = range(SKETCH // 8)
-    differ = reduce(lambda x, y: x + y, (_bytes_set(a[f"s{k}"].bitwiseXOR(b[f"s{k}"])) for k in longs))
-    either = reduce(lambda x, y: x + y, (_bytes_set(a[f"s{k}"].bitwiseOR(b[f"s{k}"])) for k in longs))
+    wide = SKETCH // 64
+    both = lambda k, how: how(a[f"s{k}"], b[f"s{k}"])
+    either = sum(F.bit_count(both(w, Column.bitwiseOR)) for w in range(wide))
+    differ = sum(F.bit_count(reduce(Column.bitwiseOR, (both(wide * (1 + bit) + w, Column.bitwiseXOR) for bit in range(8)))) for w in range(wide))
     spread = 3 * (SIMILARITY * (1 - SIMILARITY)) ** 0.5
     union = F.greatest(F.lit(1.0), (a["n"] + b["n"]) / (1 + SIMILARITY))
     left = F.greatest(F.lit(0.05), 1 - either / union)
@@ -342,13 +339,13 @@ def _marked(batches):
             hashes, edges = shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE)
             low, offsets = minima(hashes, edges), pa.array(np.arange(0, MINIMA * len(edges), MINIMA, dtype=np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(ring_keys(low, run).view(np.int64).ravel())) for run in (RUN, LONG_RUN)]
-            marks = [fingerprints(hashes, edges).view(np.int64), np.diff(edges), *sketches(hashes, edges).view(np.int64).T]
+            marks = [fingerprints(hashes, edges).view(np.int64), np.diff(edges), *sketches(hashes, edges).T]
             struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m)) for m in marks], names=MARK_FIELDS)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), struct, *lists], names=["doc_id", "node", "mark", "keys", "longs"])
 
 
 #: The fingerprint, the number of shingles and the sketch of a text.
-MARK_FIELDS = ["fp", "n", *(f"s{k}" for k in range(SKETCH // 8))]
+MARK_FIELDS = ["fp", "n", *(f"s{k}" for k in range(9 * SKETCH // 64))]
 
 
 def _sets(batches):
