@@ -13,6 +13,8 @@ from lodestream.llm.quality_rules import op1_quality_rules
 from lodestream.llm.simhash import op2_simhash_near_dedup
 from lodestream.llm.top_k import ORACLE as TOP_K_SQL
 from lodestream.llm.top_k import op5_exact_top_k
+from lodestream.llm.vector_codes import ORACLE as VECTOR_CODES_SQL
+from lodestream.llm.vector_codes import op11_vector_codes
 from lodestream.llm.warc import ORACLE as WARC_SQL
 from lodestream.llm.warc import op9_warc
 
@@ -27,10 +29,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": TOP_K_SQL,
     "op9_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
+    "op11_vector_codes": VECTOR_CODES_SQL,
 }
