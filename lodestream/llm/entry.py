@@ -8,6 +8,8 @@ from lodestream.llm.html_text import op3_html_extraction
 from lodestream.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from lodestream.llm.line_dedup import op10_line_dedup
 from lodestream.llm.packing import op4_best_fit_packing
+from lodestream.llm.periodic_runs import ORACLE as PERIODIC_RUNS_SQL
+from lodestream.llm.periodic_runs import op12_periodic_runs
 from lodestream.llm.pii import op6_pii_surrogates
 from lodestream.llm.quality_rules import op1_quality_rules
 from lodestream.llm.simhash import op2_simhash_near_dedup
@@ -30,6 +32,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op9_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
     "op11_vector_codes": VECTOR_CODES_SQL,
+    "op12_periodic_runs": PERIODIC_RUNS_SQL,
 }
