@@ -7,6 +7,8 @@ from lodestream.llm.factorisation import op7_quality_classifier
 from lodestream.llm.html_text import op3_html_extraction
 from lodestream.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from lodestream.llm.line_dedup import op10_line_dedup
+from lodestream.llm.minhash import ORACLE as MINHASH_SQL
+from lodestream.llm.minhash import op13_minhash_near_dedup
 from lodestream.llm.packing import op4_best_fit_packing
 from lodestream.llm.periodic_runs import ORACLE as PERIODIC_RUNS_SQL
 from lodestream.llm.periodic_runs import op12_periodic_runs
@@ -33,6 +35,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -41,4 +44,5 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": LINE_DEDUP_SQL,
     "op11_vector_codes": VECTOR_CODES_SQL,
     "op12_periodic_runs": PERIODIC_RUNS_SQL,
+    "op13_minhash_near_dedup": MINHASH_SQL,
 }
