@@ -1,9 +1,11 @@
 """HTML extraction by block rules in two passes.
 
-Elements that never hold main text, such as menus, footers, forms and scripts, are left out with all that is in them. Of
-the other blocks the first pass judges each by its links, its length and its share of stop words; short and unsure blocks
-then take the label of the nearest decided neighbours (the rules of Pomikalek 2011, with the page's language in mind).
-Whether a page has article or main elements plays no part.
+What isn't shown, such as scripts and hidden elements, and the controls of forms, are left out. The first pass judges each
+block by its links, its length and its share of stop words, and by marks: elements, roles and class names around it that
+speak of menus, footers, adverts or comments. Short and unsure blocks then take the label of the nearest decided
+neighbours (the rules of Pomikalek 2011, with the page's language in mind). Marks that only class names make don't count
+where they would leave the page without prose: a name around all of the text says nothing about it. An article element
+that holds text is evidence against what stands outside of it.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ _ITEMS = {"li", "dd", "dt", "td", "th", "tr", "option"}
 #: A stray end tag doesn't close elements outside of these.
 _SCOPES = {"article", "main", "body"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Elements that hold no main text wherever they stand; "header" only outside an article.
-_APART = set("aside button canvas datalist dialog footer form head menu nav noscript object optgroup option search select svg template".split())
+#: Elements that are no text: controls, and what isn't shown.
+_UNSEEN = set("button canvas datalist head label legend noscript object optgroup option select svg template".split())
+#: Elements and roles that mark what they hold; "header" only outside an article.
+_MARKING = set("aside dialog footer form header menu nav search".split())
 _ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: First or last words of class names and ids of such parts.
 _NAMES = set(
@@ -52,7 +56,9 @@ _NAMES = set(
 )
 _IN_ARTICLE = {"header", "alert", "tags"}  # of the article itself
 _COMMENTS = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond"}
-_BUT = {"has", "no", "with", "without"}
+_BUT = {"free", "has", "layout", "no", "with", "without"}
+#: Marks that count even if nothing else of the page is prose.
+_FIRM = {"<aside>", "<dialog>", "<footer>", "<header>", "<menu>", "<nav>", "<search>", "role", *_COMMENTS}
 
 #: A comment, a declaration, or the begin of a tag.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
@@ -71,6 +77,8 @@ class Block:
     text: str
     linked: int  # characters of links
     heading: bool
+    marks: frozenset[str] = frozenset()
+    inside: str = ""  # article or main, if it stands in one
     label: str = ""
 
     @cached_property
@@ -83,16 +91,17 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    apart: bool  # holds no main text
-    article: bool  # is an article or within one
+    unseen: bool  # holds nothing that is shown
+    marks: frozenset[str]  # what speaks against it or an element around it
+    inside: str  # article or main, if it is or stands in one
 
 
 @dataclass
 class _Parser:
-    """Cuts a page into blocks; elements may be unclosed or closed wrongly. Blocks of elements apart are left out."""
+    """Cuts a page into blocks; elements may be unclosed or closed wrongly. What isn't shown is left out."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False)])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, frozenset(), "")])
     #: For each scope how many elements of each tag are open in it.
     open: list[Counter] = field(default_factory=lambda: [Counter()])
     scopes: list[str] = field(default_factory=list)
@@ -121,8 +130,8 @@ class _Parser:
         self.link = False
         if self.parts:
             top = self.stack[-1]
-            if not top.apart and (text := " ".join("".join(self.parts).split())):
-                self.blocks.append(Block(text, self.linked, top.tag in _HEADINGS))
+            if not top.unseen and (text := " ".join("".join(self.parts).split())):
+                self.blocks.append(Block(text, self.linked, top.tag in _HEADINGS, top.marks, top.inside))
             self.parts, self.linked = [], 0
 
     def say(self, text: str) -> None:
@@ -146,29 +155,35 @@ class _Parser:
         if tag in _VOID:
             return
         top = self.stack[-1]
-        apart = self.apart(tag, rest, top)
-        if block or apart:
-            if not block and not top.apart:
+        unseen, marks = self.marks(tag, rest, top)
+        if block or unseen or marks:
+            if not block and not top.unseen:
                 self.flush()
-            self.push(_Open(tag, top.apart or apart, top.article or tag == "article"))
+            inside = "article" if "article" in (tag, top.inside) else "main" if tag == "main" else top.inside
+            self.push(_Open(tag, top.unseen or unseen, top.marks | marks if marks else top.marks, inside))
 
     @staticmethod
-    def apart(tag: str, rest: str, top: _Open) -> bool:
-        if tag in _APART or tag == "header" and not top.article:
-            return True
+    def marks(tag: str, rest: str, top: _Open) -> tuple[bool, set[str]]:
+        """Whether the element isn't shown, and what speaks against its text."""
+        if tag in _UNSEEN:
+            return True, set()
+        article = top.inside == "article"
+        out = {f"<{tag}>"} if tag in _MARKING and not (tag == "header" and article) else set()
         if len(rest) < 4 or tag in ("html", "body", "main"):
-            return False
+            return False, out
         for name, *values in _ATTRIBUTE.findall(rest):
             name, value = name.lower(), "".join(values).lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "role" and value.strip() in _ROLES:
-                return True
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                return True, out
+            if name == "role" and value.strip() in _ROLES:
+                out.add("<form>" if value.strip() == "form" else "role")
             if name in ("class", "id"):
                 for each in value.split():
                     words = re.split(r"[^a-z0-9]+", each.strip("-_"))
                     ends = {words[0], words[-1]} & (_COMMENTS if tag == "article" else _NAMES)
-                    if ends - (_IN_ARTICLE if top.article else set()) and not _BUT & set(words):
-                        return True
-        return False
+                    if not _BUT & set(words):
+                        out |= ends - (_IN_ARTICLE if article else set())
+        return False, out
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -181,7 +196,7 @@ class _Parser:
         elif not self.open[-1][tag]:
             return
         while True:
-            if self.stack[-1].tag == tag and self.stack[-1].apart and tag not in _BLOCK:
+            if self.stack[-1].tag == tag and tag not in _BLOCK:
                 self.flush()
             if self.pop().tag == tag:
                 return
@@ -279,14 +294,51 @@ def _settled(labels: list[str], kind: str, decided: tuple[str, ...]) -> list[str
     return out
 
 
+def _standing(found: list[Block], prose: list[int]) -> list[bool]:
+    """Whether what marks each block counts.
+
+    While the unmarked blocks hold less prose than a long block, the class names that mark most prose, if they mark as
+    much as one, are taken to be those of the text's own elements.
+    """
+    void: set[str] = set()
+    while True:
+        marks = [b.marks - void for b in found]
+        if sum(n for n, m in zip(prose, marks, strict=True) if not m) >= LONG:
+            break
+        held: Counter = Counter()
+        for n, m in zip(prose, marks, strict=True):
+            if m and not m & _FIRM:
+                held[m] += n
+        names, most = max(held.items(), key=lambda x: x[1], default=(None, 0))
+        if most < LONG:
+            break
+        void |= names
+    return [bool(m) for m in marks]
+
+
 def label(found: list[Block]) -> None:
     """Gives each block its label, good or bad."""
     # the language is known if blocks with stop words hold a third of the text of blocks that aren't short
     long = [(len(b.text), b.stop_share) for b in found if len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
     known = 3 * sum(size for size, share in long if share >= STOP_LOW) >= sum(size for size, _ in long)
-    labels = _settled([first_pass(b, known) for b in found], "short", ("good", "bad", "near"))
-    for block, final in zip(found, _settled(labels, "near", ("good", "bad")), strict=True):
-        block.label = final
+    first = [first_pass(b, known) for b in found]
+    marked = _standing(found, [len(b.text) if x in ("good", "near") else 0 for b, x in zip(found, first, strict=True)])
+    for b in found:
+        b.label = "bad"
+    free = [i for i, m in enumerate(marked) if not m]
+    # the article, or else the main element, that holds text: what follows its prose isn't part of it, and what else
+    # stands outside must be sure
+    for element in ("article", "main"):
+        within = [i for i in free if found[i].inside == element or element == "main" and found[i].inside]
+        if within:
+            prose = [i for i in within if first[i] in ("good", "near")]
+            end = prose[0] if prose else len(found)
+            sure = set(within) | {i for i in free if i < end and first[i] == "good" and len(found[i].text) > LONG}
+            free = [i for i in free if i in sure]
+            break
+    labels = _settled([first[i] for i in free], "short", ("good", "bad", "near"))
+    for i, final in zip(free, _settled(labels, "near", ("good", "bad")), strict=True):
+        found[i].label = final
 
 
 def extract(page: str) -> str:

@@ -131,3 +131,39 @@ def test_hostile_quotes_end_soon():
         begin = time.monotonic()
         html_text.extract(source)
         assert time.monotonic() - begin < 20
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="elementor-widget elementor-widget-text-editor">', '<div class="widget-content">', '<div class="header-layout">', '<div class="sidebar-right-layout">', '<div class="promo-free-story">', '<form id="aspnetForm">'])
+def test_names_around_the_whole_text_say_nothing(wrapper):
+    """And names within them still count."""
+    end = f"</{wrapper[1:5].split(' ')[0]}>"
+    assert html_text.extract(page(f"{wrapper}<p>{PROSE}</p>{end}")) == PROSE
+    rest = f"<h1>Title</h1><p>{PROSE}</p><div class=ad>{PROSE}</div><p>{PROSE}</p><div id=comments><p>{PROSE}</p><p>{PROSE}</p></div>"
+    assert html_text.extract(page(f"<nav><a href=x>home</a></nav>{wrapper}{rest}{end}<footer>{PROSE}</footer>")) == f"Title {PROSE} {PROSE}"
+
+
+def test_each_of_several_widgets_holds_text():
+    widget = f"<div class='elementor-widget'><p>{PROSE}</p></div>"
+    assert html_text.extract(page(f"{widget}{widget}<div class='elementor-widget sidebar'><p>{PROSE}</p></div>")) == f"{PROSE} {PROSE}"
+
+
+def test_forms_lose_their_controls_only():
+    form = f"<form><p>{PROSE}</p><label>Your name</label><select><option>one</option></select><button>Send</button></form>"
+    assert html_text.extract(page(form)) == PROSE
+
+
+def test_what_follows_an_article_is_no_part_of_it():
+    assert html_text.extract(page(f"<article><p>{PROSE}</p></article><section class='reader-feedback'><p>{PROSE}</p></section>")) == PROSE
+    assert html_text.extract(page(f"<p>{PROSE} {PROSE}</p><article><a href=x>A teaser of the next</a></article>")) == f"{PROSE} {PROSE}"
+
+
+def test_pages_without_class_names(data):
+    """No class or id says what is what; the rules change each page, and leave its article."""
+    import duckdb
+
+    for (source,) in duckdb.sql(f"SELECT html FROM '{data}/pages.parquet'").fetchall():
+        article = re.search(r"<article>(.*?)</article>", source, re.S)[1]
+        plain = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
+        bare = re.sub(r"\s(?:class|id)=(\"[^\"]*\"|[^\s>]+)", "", source)
+        assert "class=" not in bare
+        assert html_text.extract(bare) == plain != " ".join(b.text for b in html_text.cut(bare))
