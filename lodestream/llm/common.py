@@ -80,6 +80,35 @@ def small(df: DataFrame, items: Column | None = None) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
+#: Bits of a bitmap for each key in it, and in all at least and at most (64 MB).
+_BITS_A_KEY, _LEAST_BITS, _MOST_BITS = 64, 1 << 15, 1 << 29
+
+
+def brought_back(rows: DataFrame, found: DataFrame, on: str, key: str, how: str = "left") -> DataFrame:
+    """rows (wide, with texts) joined with found (written, narrow; its column ``key`` is unique) where on = key.
+
+    A found of BROADCAST_ROWS rows or fewer is broadcast. Otherwise a bitmap of the hashes of its keys is, of 64 MB at
+    most, and only rows whose bit is set are shuffled: those that found has, and one in 64 of the others (more from 8
+    million keys on). The rest of rows stays where it is.
+    """
+    count = found.count()
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), F.col(on) == F.col(key), how)
+    bits = max(_LEAST_BITS, min(_MOST_BITS, 1 << (_BITS_A_KEY * count - 1).bit_length()))
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(bits))
+    maps = found.select(place(key).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("__bucket"))
+    maps = written(maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__map")), rows.sparkSession)
+    bit = F.bitmap_bit_position(place(on))
+    byte = F.conv(F.hex(F.substring("__map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.coalesce((byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
+    probed = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(on)) == F.col("__bucket"), "left").withColumn("__maybe", set_).drop("__bucket", "__map")
+    asked = probed.where("__maybe").drop("__maybe").join(found, F.col(on) == F.col(key), how)
+    if how == "inner":
+        return asked
+    rest = probed.where("NOT __maybe").drop("__maybe")
+    return asked.union(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that driver and executors share.
 

@@ -15,6 +15,8 @@ from lodestream.llm.components import components
 
 #: Nodes of one key from which on it is crowded, and is split where it can be.
 CROWD = 1 << 12
+#: Keys whose choices differ by a multiple of this pick their heads alike, so that a node meets the same ones again.
+STARS = 4
 
 
 def groups(
@@ -32,10 +34,10 @@ def groups(
     keys has a row (node and the key columns, of which the first is the choice, the number of the key) for each key of
     each node, marks the column ``mark`` for each node (None: the node itself). Nodes of one key are linked if
     near(mark, mark, choice) holds and verified(), on pairs (a, b), returns them. In each key first all nodes are held
-    against two of them, the heads, picked by a hash of node and key, so that edges form stars. Most nodes of a dense
-    group are then connected, and pairs among those needn't be looked at: only nodes that are not connected with the
-    first head of a key are held against the others of the key. So a group of k near copies makes about 2 k pairs for
-    each key, not k * k, and no link is lost that would connect anything.
+    against two of them, the heads, picked by a hash, so that edges form stars. Most nodes of a dense group are then
+    connected, and pairs among those needn't be looked at: only nodes that are not connected with the first head of a
+    key are held against the others of the key. So a group of k near copies makes some k pairs, not k * k, and no link is
+    lost that would connect anything.
 
     shared(mark, mark, i) tells whether two nodes share the key of choice i, of so many choices: with it two nodes that
     are not connected with a head meet once rather than in each key that they share. split(mark, choice) lists further
@@ -44,7 +46,7 @@ def groups(
     """
     spark = keys.sparkSession
     verified = verified or (lambda pairs: pairs)
-    order = F.xxhash64("node", *key)
+    order = F.xxhash64("node", F.col(key[0]) % STARS)
     heads = keys.groupBy(*key).agg(F.min_by("node", order).alias("head"), F.max_by("node", order).alias("second"), F.count("*").alias("n"))
     heads = written(heads.where("n > 1").withColumn("crowd", (F.col("n") > CROWD) & F.lit(split is not None)).drop("n"), spark)
     met = written(keys.join(small(heads), key), spark)

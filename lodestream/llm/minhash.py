@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Words, blocks, bound_batches, extended, small, table, texts_of, written
+from lodestream.llm.common import Words, blocks, bound_batches, brought_back, extended, small, table, texts_of, written
 from lodestream.llm.linking import PARITY_FIELDS, alike, combined, distinct_sets, groups, minima, mixed, parities, similar_enough
 
 SIMILARITY, SHINGLE, SEED = 0.8, 2, 42
@@ -126,7 +126,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
         pairs = written(pairs, spark)
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         asked = written(asked.join(nodes.select("node", "set", "least"), "node").withColumnRenamed("least", "__least"), spark)
-        texts = rows.join(small(asked), F.col("doc_id").eqNullSafe(F.col("__least"))).select("node", "set", "text")
+        asked = asked.withColumn("__id", F.coalesce(F.col("__least").cast("string"), F.lit("")))  # no id is an empty text
+        texts = brought_back(rows.withColumn("__own", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), asked, "__own", "__id", "inner").select("node", "set", "text")
         sets = texts.mapInArrow(_sets(shingle), "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
         return similar_enough(pairs, written(sets, spark), similarity)
 

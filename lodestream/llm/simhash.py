@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Words, blocks, bound_batches, columns, extended, mapped, small, table, texts_of, written
-from lodestream.llm.components import components
+from lodestream.llm.common import Words, blocks, bound_batches, brought_back, columns, extended, mapped, small, table, texts_of, written
+from lodestream.llm.linking import PARITY_FIELDS, alike, distinct_sets, groups, minima, parities, similar_enough
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Segments of the ring: one more than the distance, so that a chain's first one has no difference.
@@ -35,15 +35,11 @@ SEGMENTS = DISTANCE + 1
 CHAIN, LONG_CHAIN, LONG_FROM = 3, 4, 1 << 27
 
 #: Near duplicates by similarity: words of a shingle, minima of the ring, and how many of them in a row make a key. Texts
-#: that differ in 5 of 16 minima at most have three equal ones in a row (3 * 5 / 16 < 1), and most others have too.
-SIMILARITY, SIMILAR_SHINGLE, MINIMA, RUN = 0.8, 5, 16, 3
-#: Classes of the sketch that estimates the similarity of candidates, of one byte each.
-SKETCH = 128
-#: Texts of one key from which on it is crowded, and the minima in a row that make its longer key.
-CROWD, LONG_RUN = 1 << 12, 8
+#: that differ in 7 of 24 minima at most have three equal ones in a row, and at a similarity of 0.8 all but 1.6e-4 have.
+SIMILARITY, SIMILAR_SHINGLE, MINIMA, RUN = 0.8, 5, 24, 3
 #: Bits that fingerprints of similar texts differ in at most. At a similarity of 0.8 they differ in 9.7 of 64 on average,
-#: with a standard deviation of 2.9.
-SIMILAR_DISTANCE, SIMILAR_SEGMENTS = 20, 8
+#: with a standard deviation of 2.9; those of texts of four or five shingles in 12 and 3.1.
+SIMILAR_DISTANCE, SIMILAR_SEGMENTS = 26, 8
 
 #: Shingles of one text whose bits are in memory at a time.
 _AT_ONCE = 1 << 16
@@ -175,75 +171,6 @@ def _near(chain: int) -> Callable[[Column, Column], Column]:
     return near
 
 
-# ---------------------------------------------------------------- groups
-
-
-def groups(keys: DataFrame, key: list[str], near: Callable[..., Column], verified: Callable[[DataFrame], DataFrame] | None = None, marks: DataFrame | None = None) -> DataFrame:
-    """node, root: for each node with a link the smallest node that it is connected with.
-
-    keys has a row (node and the key columns) for each key of each node, marks the column ``mark`` for each node (None:
-    the node itself). Nodes of one key are linked if near(mark, mark, first key column) holds and verified(), on pairs
-    (a, b), returns them. In each key first all nodes are held against two of them, the heads, picked by a hash of node
-    and key, so that a node meets twice as many heads as it has keys. Most nodes of a dense group are then connected, and
-    pairs among those needn't be looked at: only nodes that are not connected with the first head of a key are held
-    against the others of the key. So a group of k near copies costs about 2 k pairs for each key, not k * k, and no link is lost
-    that would connect anything.
-
-    A column ``long`` of keys, if there is one, is a longer key from the same start. In keys of more than CROWD nodes,
-    such as those of a passage that many texts share, two nodes that are not connected with the head must have it in
-    common too.
-    """
-    spark = keys.sparkSession
-    verified = verified or (lambda pairs: pairs)
-    more = ["long"] if "long" in keys.columns else []
-    order = F.xxhash64("node", *key)
-    heads = keys.groupBy(*key).agg(F.min_by("node", order).alias("head"), F.max_by("node", order).alias("second"), F.count("*").alias("n"))
-    heads = written(heads.where("n > 1").withColumn("crowd", F.col("n") > CROWD).drop("n"), spark)
-    crowded = written(keys.join(small(heads), key), spark)
-    choice = F.col(key[0])
-
-    def marked(df: DataFrame, node: str, mark: str) -> DataFrame:
-        if marks is None:
-            return df.withColumn(mark, F.col(node))
-        return df.join(small(some.select(F.col("node").alias(node), F.col("mark").alias(mark)), F.lit(8)), node)
-
-    if marks is not None:
-        some = written(marks.join(small(written(crowded.select("node").distinct(), spark)), "node"), spark)
-    ways = [F.struct(F.least(h, "node").alias("a"), F.greatest(h, "node").alias("b")) for h in ("head", "second")]
-    by = [choice] if marks is None else []
-    met_heads = crowded.select(*by, F.explode(F.array(*ways)).alias("x")).select(*by, "x.*").where("a <> b").distinct()
-    star = marked(marked(met_heads, "a", "a_mark"), "b", "b_mark").where(near(F.col("a_mark"), F.col("b_mark"), choice)).select("a", "b").distinct()
-    roots = written(components(verified(star)), spark)
-
-    def root_of(df: DataFrame, name: str, root: str) -> DataFrame:
-        own = small(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")))
-        return df.join(own, F.col(name) == F.col("__node"), "left").withColumn(root, F.coalesce("__root", name)).drop("__node", "__root")
-
-    rooted = root_of(root_of(crowded.select(*key, *more, "node", "head", "crowd"), "node", "root"), "head", "head_root")
-    rooted = written(marked(rooted, "node", "mark"), spark)
-    foreign, core = rooted.where("root <> head_root"), rooted.where("root = head_root AND node <> head")
-    if not foreign.head():
-        return roots
-    # one join for all: ``l`` is the longer key where two foreign nodes of a crowded key meet, and 0 elsewhere
-    crowd, none = F.col("crowd") if more else F.lit(False), F.lit(0).cast("long")
-    side = lambda df, p, l: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*key, "node", "mark", "root", "head_root")], l.alias(f"{p}_l"))  # noqa: E731, E741
-    left = side(foreign, "f", none)
-    right = side(core, "m", none).union(side(foreign.where(~crowd), "m", none))
-    if more:
-        left, right = (x.union(side(foreign.where(crowd), p, F.col("long"))) for x, p in ((left, "f"), (right, "m")))
-    same = reduce(and_, (F.col(f"f_{c}") == F.col(f"m_{c}") for c in (*key, "l")))
-    # two foreign nodes meet twice, and count in order
-    once = (F.col("m_root") == F.col("m_head_root")) | (F.col("f_node") < F.col("m_node"))
-    meet = same & (F.col("f_root") != F.col("m_root")) & once & near(F.col("f_mark"), F.col("m_mark"), F.col(f"f_{key[0]}"))
-    pairs = left.join(right, meet).select(F.least("f_node", "m_node").alias("a"), F.greatest("f_node", "m_node").alias("b"))
-    found = verified(written(pairs.distinct(), spark))
-    above = root_of(root_of(found, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    above = written(components(above), spark).select(F.col("node").alias("__from"), F.col("root").alias("__to"))
-    lifted = roots.join(small(above), F.col("root") == F.col("__from"), "left").select("node", F.coalesce("__to", "root").alias("root"))
-    alone = above.join(roots, F.col("__from") == F.col("node"), "left_anti").select(F.col("__from").alias("node"), F.col("__to").alias("root"))
-    return written(lifted.union(alone), spark)
-
-
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of documents (doc_id, text): the smallest doc_id reachable over links.
 
@@ -267,102 +194,46 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- by similarity
 
-
-def minima(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each text the smallest hash in each of MINIMA classes of its shingles.
-
-    A class without shingles takes that of the next class that has some, marked by how far it is. A text without
-    shingles has zeros.
-    """
-    n, shift = len(edges) - 1, np.uint64(64 - MINIMA.bit_length() + 1)
-    slot = np.repeat(np.arange(n), np.diff(edges)) * MINIMA + (hashes >> shift).astype(np.int64)
-    low = np.full(n * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    order = np.argsort(slot, kind="stable")
-    if len(order):
-        sorted_ = slot[order]
-        begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        low[sorted_[begin]] = np.minimum.reduceat(hashes[order], begin)
-    low = low.reshape(n, MINIMA)
-    out, empty = low.copy(), low == np.iinfo(np.uint64).max
-    for far in range(1, MINIMA):
-        fill = empty & ~np.roll(empty, -far, axis=1) & (out == np.iinfo(np.uint64).max)
-        out[fill] = (np.roll(low, -far, axis=1) + np.uint64(far * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[fill]
-    out[np.diff(edges) == 0] = 0
-    return out
-
-
-def ring_keys(low: np.ndarray, run: int = RUN) -> np.ndarray:
-    """For each text and class a hash of it and the classes next on the ring, so many in all, with their minima."""
-    key = np.broadcast_to(np.arange(1, MINIMA + 1, dtype=np.uint64), low.shape).copy()
-    for k in range(run):
-        key = (key ^ np.roll(low, -k, axis=1)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
-
-
-def sketches(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each text of which of SKETCH classes it has shingles, and a byte of the smallest hash in each, as longs.
-
-    The bytes are cut in bits: behind the bits of the classes that it has come those of the first bit of each byte, and
-    so on, so that classes are compared 64 at a time.
-    """
-    n, shift = len(edges) - 1, np.uint64(64 - SKETCH.bit_length() + 1)
-    slot = np.repeat(np.arange(n), np.diff(edges)) * SKETCH + (hashes >> shift).astype(np.int64)
-    out = np.zeros(n * SKETCH, np.uint8)
-    order = np.argsort(slot, kind="stable")
-    if len(order):
-        sorted_ = slot[order]
-        begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        out[sorted_[begin]] = 1 + np.minimum.reduceat(hashes[order], begin) % np.uint64(255)
-    out = out.reshape(n, 1, SKETCH)
-    planes = np.concatenate([out > 0, (out >> np.arange(8, dtype=np.uint8)[None, :, None] & 1) > 0], axis=1)
-    return np.packbits(planes, axis=2).reshape(n, -1).view(np.int64)
-
-
-def alike(a: Column, b: Column) -> Column:
-    """Whether the sketches allow the similarity: of the classes that either text has, a share of 1 - SIMILARITY may
-    differ, and three standard deviations more. The classes are a sample without repeats of the shingles of both, which
-    of short texts has most of them and varies little."""
-    wide = SKETCH // 64
-    both = lambda k, how: how(a[f"s{k}"], b[f"s{k}"])
-    either = sum(F.bit_count(both(w, Column.bitwiseOR)) for w in range(wide))
-    differ = sum(F.bit_count(reduce(Column.bitwiseOR, (both(wide * (1 + bit) + w, Column.bitwiseXOR) for bit in range(8)))) for w in range(wide))
-    spread = 3 * (SIMILARITY * (1 - SIMILARITY)) ** 0.5
-    union = F.greatest(F.lit(1.0), (a["n"] + b["n"]) / (1 + SIMILARITY))
-    left = F.greatest(F.lit(0.05), 1 - either / union)
-    return differ <= (1 - SIMILARITY) * either + spread * F.sqrt(either * left)
+#: The ring as fields of a row.
+_MINIMA = [f"m{k}" for k in range(MINIMA)]
+#: The fingerprint, the number of distinct shingles, the parities and the ring of a text.
+_MARK = {"fp": "bigint", "n": "bigint", **dict.fromkeys(PARITY_FIELDS, "bigint"), **dict.fromkeys(_MINIMA, "int")}
 
 
 def _marked(batches):
     for batch in batches:
         for part in blocks(batch, "text"):
             hashes, edges = shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE)
-            low, offsets = minima(hashes, edges), pa.array(np.arange(0, MINIMA * len(edges), MINIMA, dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(ring_keys(low, run).view(np.int64).ravel())) for run in (RUN, LONG_RUN)]
-            marks = [fingerprints(hashes, edges).view(np.int64), np.diff(edges), *sketches(hashes, edges).T]
-            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m)) for m in marks], names=MARK_FIELDS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), struct, *lists], names=["doc_id", "node", "mark", "keys", "longs"])
-
-
-#: The fingerprint, the number of shingles and the sketch of a text.
-MARK_FIELDS = ["fp", "n", *(f"s{k}" for k in range(9 * SKETCH // 64))]
+            fp = fingerprints(hashes, edges).view(np.int64)
+            hashes, edges = distinct_sets(hashes, edges)
+            low = minima(hashes, edges, MINIMA).astype(np.uint32).view(np.int32)
+            marks = [fp, np.diff(edges), *parities(hashes, edges).T, *low.T]
+            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m)) for m in marks], names=list(_MARK))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("copy"), struct], names=["doc_id", "copy", "mark"])
 
 
 def _sets(batches):
     for batch in batches:
         for part in blocks(batch, "text"):
-            hashes, edges = shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE)
-            sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            hashes, edges = distinct_sets(*shingle_hashes(texts_of(part.column("text")), SIMILAR_SHINGLE))
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "shingles"])
+
+
+def _ring_key(mark: Column, choice: int) -> Column:
+    return F.xxhash64(F.lit(choice), *[mark[_MINIMA[(choice + k) % MINIMA]] for k in range(RUN)])
+
+
+def _same_run(a: Column, b: Column, choice: int) -> Column:
+    return reduce(and_, (a[m] == b[m] for m in (_MINIMA[(choice + k) % MINIMA] for k in range(RUN))))
 
 
-def similar_enough(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) whose sets of shingles have the Jaccard similarity, exactly (two empty sets: 1)."""
-    side = lambda name, out: sets.select(F.col("node").alias(name), F.col("shingles").alias(out))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("bigint")
-    share = F.lit(round(least * 10**6)).cast("bigint")  # in whole numbers, as 0.8 is no double
-    return both.where(common * F.lit(10**6) >= share * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _rest_of_ring(mark: Column, choice: Column) -> Column:
+    """Keys from two minima each of the ring behind a run: of 10 such keys texts of the similarity share one with a
+    probability of 1 - 4e-5, and always if they differ in 7 minima at most, of which some are not in that rest."""
+    ring = F.array(*[mark[m] for m in _MINIMA])
+    at = lambda k: F.get(ring, F.pmod(choice + k, F.lit(MINIMA)))
+    return F.array(*[F.xxhash64(F.lit(k), at(k), at(k + 1)) for k in range(RUN, MINIMA - 1, 2)])
 
 
 def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -370,43 +241,48 @@ def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) ->
 
     Two texts are linked if their sets of SIMILAR_SHINGLE-word shingles, in lower case, have that Jaccard similarity; a
     text of fewer words is one shingle, and texts without words (null texts too) are alike. Links reach over others.
-    Candidates have RUN minima in a row in common (see groups() for runs that more than CROWD texts have), and
-    fingerprints within SIMILAR_DISTANCE, and sketches that allow it; of them the shingles are compared. Equal texts are one node, by a 64-bit hash. Of rows that repeat doc_id and text one stays. Only ids, hashes
-    and the shingles of candidates are shuffled, and rows of texts that stand more than once.
+    Candidates have RUN minima in a row in common, fingerprints within SIMILAR_DISTANCE, and parities that allow the
+    similarity; of them the shingles are compared. In keys of more than linking.CROWD texts, those that the heads don't
+    connect must have two more minima in common, of ten such pairs. Equal texts are one node, by their MD5. Of rows that
+    repeat doc_id and text one stays. Only ids, hashes and the shingles of candidates are shuffled; of the texts, those
+    that are candidates or stand more than once, if they are too many for a broadcast.
     """
     spark = documents.sparkSession
     bound_batches(spark)
     plain = documents.columns
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = documents.select("doc_id", node.alias("node"), "text")
-    mark = ", ".join(f"{name}: bigint" for name in MARK_FIELDS)
-    marked = written(rows.mapInArrow(_marked, extended(rows, f"mark struct<{mark}>, keys array<bigint>, longs array<bigint>", ["doc_id", "node"])), spark)
+    copy = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = documents.select("doc_id", copy.alias("copy"), "text")
+    mark = ", ".join(f"{name}: {kind}" for name, kind in _MARK.items())
+    marked = written(rows.mapInArrow(_marked, extended(rows, f"mark struct<{mark}>", ["doc_id", "copy"])), spark)
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    nodes = marked.groupBy("node").agg(F.min(id_).alias("least"), F.count("*").alias("n"), F.first("mark").alias("mark"), F.first("keys").alias("keys"), F.first("longs").alias("longs"))
-    nodes = written(nodes, spark)
-    near = lambda a, b, _: within(a["fp"], b["fp"], SIMILAR_DISTANCE, SIMILAR_SEGMENTS) & alike(a, b)
+    nodes = marked.groupBy("copy").agg(F.min(id_).alias("least"), F.count("*").alias("n"), F.first("mark").alias("mark"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), spark)
+    near = lambda a, b, _: within(a["fp"], b["fp"], SIMILAR_DISTANCE, SIMILAR_SEGMENTS) & alike(a, b, similarity)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, spark)
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = written(asked.join(nodes.select("node", "least"), "node").select(F.col("node").alias("__asked"), F.col("least.id").alias("__id")), spark)
-        one = rows.join(small(asked), (F.col("node") == F.col("__asked")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = written(asked.join(nodes.select("node", "copy", "least"), "node").select("node", F.col("copy").alias("__copy"), F.col("least.id").alias("__id")), spark)
+        one = brought_back(rows, asked, "copy", "__copy", "inner").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
         sets = one.mapInArrow(_sets, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
         return similar_enough(pairs, written(sets, spark), similarity)
 
-    keys = nodes.select("node", F.explode(F.arrays_zip("keys", "longs")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.longs").alias("long"))
-    found = groups(keys, ["key"], near, verified, nodes.select("node", "mark"))
-    linked = nodes.select("node", "least", "n").join(small(found), "node")
+    ring = F.posexplode(F.array(*[_ring_key(F.col("mark"), k) for k in range(MINIMA)])).alias("choice", "key")
+    found = groups(nodes.select("node", ring), ["choice", "key"], near, verified, nodes.select("node", "mark"), _same_run, _rest_of_ring, MINIMA)
+    linked = nodes.select("node", "least").join(small(found), "node")
     best = written(linked.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")), spark)
-    lost = linked.join(small(best), "root").where("node <> best.node").select("node", F.lit(True).alias("lost"))
-    lost = written(lost, spark)
-    more = nodes.where("n > 1").select("node", F.lit(False).alias("lost"), F.col("least.id").alias("__id"))
-    touched = lost.withColumn("__id", F.lit(None).cast(documents.schema["doc_id"].dataType)).union(more.join(small(lost.select("node")), "node", "left_anti"))
-    touched = written(touched.select(F.col("node").alias("__touched"), F.col("lost").alias("__lost"), "__id"), spark)
-    judged = documents.withColumn("__node", node).join(small(touched), F.col("__node") == F.col("__touched"), "left")
-    alone = judged.where(F.col("__touched").isNull())
-    first = judged.where(~F.col("__lost") & F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__node"])
-    return alone.select(*columns(plain)).union(first.select(*columns(plain)))
+    lost = written(linked.join(small(best), "root").where("node <> best.node").select(F.col("node").alias("__node")), spark)
+    # the texts that aren't simply kept: those that are lost, and those that have copies; of rows that are repeated one stays
+    again = written(marked.groupBy("copy", "doc_id").count().where("count > 1").select(F.col("copy").alias("__again")).distinct(), spark)
+    touched = nodes.select("node", "copy", "n", F.col("least.id").alias("__id")).join(small(lost), F.col("node") == F.col("__node"), "left")
+    touched = touched.where("n > 1 OR __node IS NOT NULL").join(small(again), F.col("copy") == F.col("__again"), "left")
+    touched = written(touched.select(F.col("copy").alias("__touched"), F.col("__node").isNotNull().alias("__lost"), F.col("__again").isNotNull().alias("__repeated"), "__id"), spark)
+    judged = brought_back(documents.withColumn("__copy", copy), touched, "__copy", "__touched")
+    kept = judged.where(F.col("__touched").isNull() | (~F.col("__lost") & F.col("doc_id").eqNullSafe(F.col("__id"))))
+    if not touched.where("__repeated AND NOT __lost").head():
+        return kept.select(*columns(plain))
+    repeated = F.coalesce("__repeated", F.lit(False))
+    return kept.where(~repeated).select(*columns(plain)).union(kept.where(repeated).dropDuplicates(["__copy"]).select(*columns(plain)))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestream.llm import line_dedup, simhash
+from lodestream.llm import common, line_dedup, linking, simhash
 from lodestream.llm.components import components
 from tests.llm import helpers
 from tests.oracle import assert_same
@@ -80,7 +80,7 @@ def near_values(count=40):
 def test_groups_lose_no_link(spark, chain):
     values = near_values()
     nodes = spark.createDataFrame([(v,) for v in values], "fp long")
-    found = dict(simhash.groups(simhash.keyed(nodes, chain), ["choice", "bits"], simhash._near(chain)).collect())
+    found = dict(linking.groups(simhash.keyed(nodes, chain), ["choice", "bits"], simhash._near(chain)).collect())
     expected = roots(values, [(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4])
     assert {v: found.get(v, v) for v in values} == expected and len(found) > 800
 
@@ -95,7 +95,7 @@ def test_dense_groups_make_few_pairs(spark):
         seen.append(pairs.count())
         return pairs
 
-    found = dict(simhash.groups(simhash.keyed(nodes, 3), ["choice", "bits"], simhash._near(3), counting).collect())
+    found = dict(linking.groups(simhash.keyed(nodes, 3), ["choice", "bits"], simhash._near(3), counting).collect())
     assert set(found.values()) == {min(values)} and len(found) == len(values)
     assert sum(seen) < 50 * len(values) < len(values) * (len(values) - 1) // 4
 
@@ -141,7 +141,7 @@ def test_distinct_documents_are_those_of_brute_force(spark, data):
 @pytest.mark.parametrize("crowd", [1, 12])
 def test_crowded_keys(spark, monkeypatch, crowd):
     """Texts that share a passage, near copies of some of them, and keys that count as crowded early on."""
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(linking, "CROWD", crowd)
     rng = np.random.default_rng(12)
     word = lambda: f"w{rng.integers(10**6)}"
     passage = " ".join(word() for _ in range(60))
@@ -171,35 +171,94 @@ def test_distinct_documents_of_odd_rows(spark):
     assert sorted(r["text"] for r in simhash.distinct_documents(many).collect()) == ["a b c d e f", "g h i j k l", "m n o p q r"]
 
 
-def test_similar_texts_meet():
-    """Recall of the keys at the least similarity, over many pairs of sets."""
+def template(pairs=200, size=150, seed=20):
+    """Texts on one template, in pairs of a similarity of 0.80 to 0.85, while others have less than 0.8."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in range(size)]
+    docs = []
+    for n in range(pairs):
+        # words of its own near the end make the pair unlike all others, and some near the begin make two of it
+        one = [*base[: size - 18], *(f"p{n}x{k}" for k in range(18))]
+        other = list(one)
+        for k in rng.choice(40, 3, replace=False).tolist():
+            other[5 + k] = f"d{n}y{k}"
+        docs += [(2 * n, " ".join(one)), (2 * n + 1, " ".join(other))]
+    return docs
+
+
+@pytest.mark.parametrize("crowd", [16, linking.CROWD])
+def test_templates_lose_no_pair(spark, monkeypatch, crowd):
+    """All texts meet in crowded keys, are close to the least similarity, and only their pairs have it."""
+    monkeypatch.setattr(linking, "CROWD", crowd)
+    docs = template()
+    expected = distinct_by_brute_force(docs)
+    sets = [shingles(t) for _, t in docs]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 0.8 <= min(share) < 0.83 and len(expected) == 200
+    got = simhash.distinct_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((False, r["doc_id"]) for r in got) == expected
+
+
+def pair_of_sets(rng, both, each):
+    """The hashes of two sets, so many in common and so many of each alone, and where they end."""
+    common, own = rng.integers(0, 1 << 64, both, dtype=np.uint64), rng.integers(0, 1 << 64, (2, each), dtype=np.uint64)
+    return np.concatenate([np.sort(np.concatenate([common, x])) for x in own]), np.array([0, both + each, 2 * (both + each)])
+
+
+@pytest.mark.parametrize("both, each", [(8, 1), (40, 5), (160, 20), (1600, 200)])
+def test_similar_texts_meet(both, each):
+    """At the least similarity nearly all share a run of the ring, and in its rest a key of a crowded one."""
     rng = np.random.default_rng(1)
-    met = 0
-    for _ in range(400):
-        both, each = rng.integers(0, 1 << 64, 160, dtype=np.uint64), rng.integers(0, 1 << 64, (2, 20), dtype=np.uint64)
-        sets = [np.concatenate([both, own]) for own in each]
-        keys = simhash.ring_keys(simhash.minima(np.concatenate(sets), np.array([0, 180, 360])))
-        prints = simhash.fingerprints(np.concatenate(sets), np.array([0, 180, 360]))
-        met += bool((keys[0] == keys[1]).any()) and int(prints[0] ^ prints[1]).bit_count() <= simhash.SIMILAR_DISTANCE
-    assert met >= 0.98 * 400
-
-
-def test_sketches_allow_similar_texts_and_few_others(spark):
-    """Pairs of sets of several sizes: of similarity 0.8 nearly all pass, of 0.6 few."""
+    runs = rest = 0
+    for _ in range(600):
+        low = linking.minima(*pair_of_sets(rng, both, each), simhash.MINIMA)
+        same = low[0] == low[1]
+        starts = [k for k in range(simhash.MINIMA) if all(same[(k + j) % simhash.MINIMA] for j in range(simhash.RUN))]
+        runs += bool(starts)
+        rest += any(same[(k + j) % simhash.MINIMA] and same[(k + j + 1) % simhash.MINIMA] for k in starts for j in range(simhash.RUN, simhash.MINIMA - 1, 2))
+    assert runs >= 597 and rest >= 597
+
+
+def test_parities_exclude_no_similar_sets_and_most_others(spark):
     rng = np.random.default_rng(4)
     rows = []
-    for share, name in ((0.8, "alike"), (0.6, "apart")):
+    for share, name in ((0.8, "alike"), (0.7, "apart")):
         for n in range(600):
             size = (30, 160, 2000)[n % 3]
-            both = round(size * 2 * share / (1 + share))
-            sets = [rng.integers(0, 1 << 64, both, dtype=np.uint64), rng.integers(0, 1 << 64, (2, size - both), dtype=np.uint64)]
-            hashes = np.concatenate([np.concatenate([sets[0], own]) for own in sets[1]])
-            marks = simhash.sketches(hashes, np.array([0, size, 2 * size])).tolist()
-            rows.append((name, *[dict(zip(simhash.MARK_FIELDS, [0, size, *m], strict=True)) for m in marks]))
-    kind = "struct<" + ",".join(f"{f}:bigint" for f in simhash.MARK_FIELDS) + ">"
-    got = spark.createDataFrame(rows, f"name string, a {kind}, b {kind}").where(simhash.alike(F.col("a"), F.col("b"))).groupBy("name").count().collect()
-    passed = {r["name"]: r["count"] for r in got}
-    assert passed["alike"] >= 594 and passed.get("apart", 0) <= 60
+            both = int(np.ceil(size * 2 * share / (1 + share)))
+            marks = linking.parities(*pair_of_sets(rng, both, size - both)).tolist()
+            rows.append((name, size, *[dict(zip(["n", *linking.PARITY_FIELDS], [size, *m], strict=True)) for m in marks]))
+    kind = "struct<" + ",".join(f"{f}:bigint" for f in ["n", *linking.PARITY_FIELDS]) + ">"
+    got = spark.createDataFrame(rows, f"name string, size int, a {kind}, b {kind}").where(linking.alike(F.col("a"), F.col("b"), 0.8)).groupBy("name", "size").count().collect()
+    passed = {(r["name"], r["size"]): r["count"] for r in got}
+    assert all(passed["alike", size] == 200 for size in (30, 160, 2000))
+    assert passed.get(("apart", 30), 0) + passed.get(("apart", 160), 0) < 4
+
+
+def test_minima_agree_as_often_as_sets_do():
+    """Also of sets that fill few bins, and each bin by itself."""
+    rng = np.random.default_rng(6)
+    for both, each in ((1, 0), (4, 1), (16, 4), (60, 15), (400, 100)):
+        same = np.zeros(128)
+        for _ in range(300):
+            low = linking.minima(*pair_of_sets(rng, both, each), 128)
+            same += low[0] == low[1]
+        share = both / (both + 2 * each)
+        assert abs(same.mean() / 300 - share) < 0.03 and np.abs(same / 300 - share).max() < 0.16
+    assert linking.minima(np.zeros(0, np.uint64), np.array([0, 0, 0]), 8).tolist() == [[0] * 8] * 2
+
+
+def test_only_touched_texts_are_shuffled(spark, monkeypatch):
+    """With more decisions than are broadcast, and none that may be."""
+    rows = common.written(spark.range(20_000).selectExpr("concat('k', id) AS own", "id"), spark)
+    found = common.written(spark.range(0, 20_000, 41).selectExpr("concat('k', id) AS key", "2 * id AS v"), spark)
+    plain = common.brought_back(rows, found, "own", "key").collect()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    joined = common.brought_back(rows, found, "own", "key")
+    assert sorted(joined.collect(), key=str) == sorted(plain, key=str)
+    assert common.brought_back(rows, found, "own", "key", "inner").count() == found.count()
+    empty = common.written(found.where("false"), spark)
+    assert common.brought_back(rows, empty, "own", "key").where("v IS NULL").count() == 20_000
 
 
 def test_components_of_chains_and_stars(spark):
