@@ -84,15 +84,16 @@ def small(df: DataFrame, items: Column | None = None) -> DataFrame:
 _BITS_A_KEY, _LEAST_BITS, _MOST_BITS = 64, 1 << 15, 1 << 29
 
 
-def brought_back(rows: DataFrame, found: DataFrame, on: str, key: str, how: str = "left") -> DataFrame:
+def brought_back(rows: DataFrame, found: DataFrame, on: str, key: str, how: str = "left", items: Column | None = None) -> DataFrame:
     """rows (wide, with texts) joined with found (written, narrow; its column ``key`` is unique) where on = key.
 
-    A found of BROADCAST_ROWS rows or fewer is broadcast. Otherwise a bitmap of the hashes of its keys is, of 64 MB at
+    items: how many items the lists of a row of found have. A found of BROADCAST_ROWS rows and items or fewer is
+    broadcast. Otherwise a bitmap of the hashes of its keys is, of 64 MB at
     most, and only rows whose bit is set are shuffled: those that found has, and one in 64 of the others (more from 8
     million keys on). The rest of rows stays where it is.
     """
-    count = found.count()
-    if count <= BROADCAST_ROWS:
+    count, size = found.agg(F.count("*"), F.coalesce(F.sum((F.lit(0) if items is None else items) + 1), F.lit(0))).first()
+    if size <= BROADCAST_ROWS:
         return rows.join(F.broadcast(found), F.col(on) == F.col(key), how)
     bits = max(_LEAST_BITS, min(_MOST_BITS, 1 << (_BITS_A_KEY * count - 1).bit_length()))
     place = lambda name: F.pmod(F.xxhash64(name), F.lit(bits))

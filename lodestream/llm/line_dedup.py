@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import blocks, bound_batches, columns, extended, mapped, small, table, texts_of, written
+from lodestream.llm.common import blocks, bound_batches, brought_back, columns, extended, mapped, small, table, texts_of, written
 
 #: Words that a run has at least.
 MIN_WORDS = 50
@@ -42,7 +42,8 @@ def windows(words: list[int] | np.ndarray, least: int = MIN_WORDS) -> list[tuple
 
 
 def selected(hashes: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
-    """For each window the line that winnowing selects: the last of those with the smallest hash."""
+    """For each window the line that winnowing selects: of those with the smallest hash the one selected before, if it is
+    among them, and else the last (robust winnowing)."""
     out, at, best = [], -1, None
     for s, e in spans:
         # windows move on, so the minimum of the one before holds while it is inside
@@ -50,9 +51,10 @@ def selected(hashes: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
             fresh = range(max(s, seen), e)
         else:
             fresh, best = range(s, e), None
+        again = best is not None
         for i in fresh:
-            if best is None or hashes[i] <= best:
-                at, best = i, hashes[i]
+            if best is None or hashes[i] < best or hashes[i] == best and not again:
+                at, best, again = i, hashes[i], False
         seen = e
         out.append(at)
     return out
@@ -219,7 +221,7 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     marked = documents.withColumn("__node", F.md5(F.col("text").cast("binary")))
     cuts = written(repeats(marked.select("doc_id", "text", F.col("__node").alias("node"))), documents.sparkSession)
     cuts = cuts.select(F.struct("least", "whole", "runs").alias("__cut"), F.col("node").alias("__of"))
-    joined = marked.join(small(cuts, F.coalesce(F.size("__cut.runs"), F.lit(0))), F.col("__node") == F.col("__of"), "left")
+    joined = brought_back(marked, cuts, "__node", "__of", items=F.coalesce(F.size("__cut.runs"), F.lit(0)))
     copy = ~F.col("doc_id").eqNullSafe(F.col("__cut.least"))
     joined = joined.select(*columns(plain), F.when(F.col("__of").isNotNull(), F.when(copy, F.array("__cut.whole")).otherwise(F.col("__cut.runs"))).alias("__runs"))
     at = plain.index("text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import bound_batches, shared_dir, small, table, texts_of, written
+from lodestream.llm.common import bound_batches, brought_back, shared_dir, table, texts_of, written
 
 #: Payload bytes of a chunk at most, in an archive and in the table of chunks.
 CHUNK = 256 << 10
@@ -39,10 +39,10 @@ def planned(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("bigint").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
-    groups = pages.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_to"), F.count("*").alias("_n"))
+    groups = pages.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy(F.col("payload_digest").alias("_of")).agg(F.max("page_id").alias("_to"), F.count("*").alias("_n"))
     groups = written(groups.where("_n > 1").drop("_n"), pages.sparkSession)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_to")), F.col("_to"))
-    joined = pages.join(small(groups), ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", refers).drop("_to")
+    joined = brought_back(pages, groups, "payload_digest", "_of").withColumn("refers_to", refers).drop("_of", "_to")
     return joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 

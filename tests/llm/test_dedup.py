@@ -356,7 +356,11 @@ def test_windows_are_the_shortest_runs_with_enough_words(words):
     assert spans == sorted(expected)
     hashes = [w * 7919 % 5 for w in words]  # with ties
     picked = line_dedup.selected(hashes, spans)
-    assert picked == [max(i for i in range(a, b) if hashes[i] == min(hashes[a:b])) for a, b in spans]
+    before = -1
+    for (a, b), i in zip(spans, picked, strict=True):
+        least = [k for k in range(a, b) if hashes[k] == min(hashes[a:b])]
+        assert i == (before if before in least else least[-1])
+        before = i
 
 
 def random_documents(count=60, seed=2):
@@ -390,7 +394,8 @@ def test_a_line_that_stands_often_takes_linear_time():
     begin = time.process_time()
     one, two, words, _, picked = line_dedup.sketch(b"same words here\n" * 30_000)
     lines = one, two
-    assert len(picked) > 29_000
+    assert len(picked) < 2_000  # of equal hashes the one selected before
+    picked = range(16, 30_000)
     within = line_dedup.matches(lines, words, lines, [(k, picked[0]) for k in picked], True)
     across = line_dedup.matches(lines, words, lines, [(k, picked[0]) for k in picked], False)
     assert {x for s, e in within for x in range(s, e)} == set(range(17, 30_000)) and len(within) < 60_000
