@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import blocks, bound_batches, extended, mapped, table, texts_of
 from lodestream.llm.html_text import STOP_WORDS
-from lodestream.llm.surrogates import Surrogates, folded
+from lodestream.llm.names import GROUPS, PLACES, is_name
+from lodestream.llm.surrogates import Surrogates, _check_digit, folded
 
-KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret", "person")
+KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret", "document", "birthdate", "address", "person")
 #: The setting that holds the key, in hexadecimal digits.
 KEY_SETTING = "spark.lodestream.pii.key"
 
@@ -62,6 +63,10 @@ _SECRET = re.compile(
     r"[\"']?\s{0,4}(?P<sign>[:=])\s{0,4}(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|[\"']?(?P<bare>[^\s\"'<>&]+))",
     re.I,
 )
+#: A password that is told in a sentence has a digit or sign.
+_TOLD = re.compile(r"(?<![^\W_])(?:passwords?|passcode|passphrase|passwort|kennwort|mot de passe|contraseña)\s{1,3}(?:is|was|ist|lautet|est|es)\s{1,3}[\"']?(?P<told>(?=[^\s\"']*[\d!#$%&*@^])[^\s\"']{4,}[^\s\"'.,;:!?)])", re.I)
+#: Tokens of three parts in base64; how they begin stays.
+_WEB_TOKEN = re.compile(r"(?<![\w-])eyJ(?P<web>[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})", re.A)
 _TELLING = re.compile(r".{15}|.*[\d+/_-]|.+[A-Z]")
 _BARE_END = re.compile(r"[^\w+/=-]+\Z")
 #: Prefixes of keys that services give out; they stay.
@@ -77,17 +82,43 @@ _NUMBER = re.compile(
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
 )
 _DIGITS = re.compile(r"\d+")
+#: Phone numbers as they are written within a country: with a leading zero and gaps, or anything like it behind a word for it.
+_PHONE_WORD = re.compile(r"(?:phone|tel|tél|telephone|téléphone|telefon|teléfono|telefonnummer|mobile|mobil|móvil|portable|handy|cell|fax|call|ring|whatsapp)\.?(?: (?:number|no|nr|me|us|is|at|on|him|her))*\.?[: ]{0,3}\Z", re.I)
+_NATIONAL = re.compile(r"(?<![\w.,+/-])(?:0\d(?:[ .-]\d\d){4}|0\d{2}[ -]\d{4}[ -]\d{4}|0\d{3}[ -]\d{3}[ -]\d{4}|0\d{4}[ -]\d{6}|0\d{2,4}[ /-]\d{5,8}|(?P<asked>\(?\d(?:[ ()./-]{0,2}\d){6,13}))(?![\w/-]|[.,]\d)")
+#: Words in front of numbers that are no addresses of the network.
+_VERSION = re.compile(r"(?<![^\W_])(?:version|ver|v|release|build|section|chapter|§)\.?[ :]{0,2}\Z", re.I)
+_CARD_WORD = re.compile(r"(?:card|visa|mastercard|amex|carte|karte|tarjeta|credit|debit)[ \w]{0,12}[.:# ]{0,3}\Z", re.I)
+_DOCUMENT = re.compile(r"(?<![^\W_])(?:passport|passeport|reisepass|pasaporte|driver'?s licen[cs]e|identity card)(?: (?:number|no|nr|id))?\.?(?: is)?[:# ]{0,3}(?P<document>(?=[A-Z]{0,8}\d)[A-Z0-9]{6,12})(?![^\W_])", re.I)
+_BORN = re.compile(r"(?<![^\W_])(?:born(?: on)?|date of birth|birth ?date|birthday|d\.?o\.?b\.?|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[:, ]{0,3}(?P<birthdate>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}([./-])\d{1,2}\2\d{4})(?!\d)", re.I)
+#: A number and a street, or a street and a number.
+_STREET_WORD = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square|Terrace|Crescent"
+_ADDRESS = re.compile(
+    rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]? (?:{_NAME} ){{1,3}}(?:{_STREET_WORD})(?![^\W_])"
+    rf"|(?<![\w.,/-])\d{{1,4}},? (?:rue|avenue|boulevard|chemin|allée|impasse|quai) (?:(?:de|du|des|la|le|les) )*{_NAME}(?:[ -]{_NAME})?"
+    rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo) (?:(?:de|del|la|el|las|los) )*{_NAME}(?: {_NAME})?,? \d{{1,4}}(?!\w)"
+    rf"|(?<!\w){_CAPITAL}[^\W\d_]{{2,}}(?:straße|strasse|weg|platz|allee|gasse) \d{{1,4}}[a-z]?(?!\w)"
+)
+_SOME_STREET = re.compile(rf" (?:{_STREET_WORD})(?![^\W_])|rue |avenue |boulevard |chemin |allée |impasse |quai |Calle |Avenida |Plaza |Paseo |straße |strasse |weg |platz |allee |gasse ")
+#: Behind a word that may be a given name, these aren't family names.
+_PLACE = frozenset([*PLACES, *GROUPS])
+_NO_FAMILY = _PLACE | {"up", "out", "off", "down", "in", "on", "it", "the", "as", "all", "and", "or"}
 #: Words before a further word, some of which are given names; what stands before, and whether both have capitals, is
 #: looked at afterwards, as a search is fast if it begins with few characters.
 _PAIR = re.compile(r"[A-Z\u0080-\uffff][^\W\d_]++(?=(?: \w\.)? \w[^\W\d_])")
 _ASCII_PAIR = re.compile(r"[A-Z][A-Za-z]++(?=(?: [A-Z]\.)? [A-Z][A-Za-z])")
 _FAMILY = re.compile(rf"(?: {_CAPITAL}\.)? (?P<family>{_NAME})\b")
+_TITLE_WORDS = frozenset(_TITLES.split("|"))
+_FURTHER = re.compile(r" (?P<word>[^\W\d_]+)")
 #: Behind a title a family name, or a given name and a family name.
 _TITLED = re.compile(rf"(?:{_TITLES})\.? (?P<first>{_NAME})\b(?:(?: {_CAPITAL}\.)? (?P<second>{_NAME})\b)?")
 #: In scripts without capitals a word or two behind a title, or a Chinese name before one.
 _OTHERS = re.compile(rf"(?<!\w)(?:{_BEFORE})\.? (?P<first>[^\W\d_]{{2,}})(?: (?P<second>[^\W\d_]{{2,}}))?|(?P<chinese>[{_CHINESE}][一-鿿]{{1,2}}?)(?={_BEHIND})")
 _CASELESS = re.compile("[\u0590-\u06ff\u0900-\u097f\u4e00-\u9fff]")
 _BARE_NAME = re.compile(rf"(?<![^\W_]){_NAME}(?![^\W_])")
+_WORDS = re.compile(r"[^\W\d_]+")
+_TOLD_WORDS = ("password", "passcode", "passphrase", "passwort", "kennwort", "mot de passe", "contraseña")
+_DOCUMENT_WORDS = ("passport", "passeport", "reisepass", "pasaporte", "licen", "identity card")
+_BORN_WORDS = ("born", "birth", "dob", "d.o.b", "geboren", "geburt", "né", "naissance", "nacid", "nacimiento")
 _STOP = frozenset(word for words in STOP_WORDS.values() for word in words)
 
 
@@ -103,6 +134,24 @@ def _numbers(text: str):
                 break
 
 
+def _card(m: re.Match, text: str) -> bool:
+    """Whether digits that may be a card's are: sixteen without gaps, a right check digit, or a word for it in front."""
+    digits = [int(c) for c in m[0] if c.isdecimal()]
+    return len(digits) == 16 == len(m[0]) or _check_digit(digits[:-1]) == digits[-1] and len(digits) != 13 or bool(_CARD_WORD.search(text, max(0, m.start() - 30), m.start()))
+
+
+def _phones(text: str):
+    """The spans of numbers as they are written within a country."""
+    at = 0
+    while digits := _DIGITS.search(text, at):
+        at = digits.end()
+        start = digits.start() - (text[digits.start() - 1 : digits.start()] == "(")
+        if (m := _NATIONAL.match(text, start)) and (not m["asked"] or _PHONE_WORD.search(text, max(0, start - 30), start)):
+            if 7 <= sum(map(str.isdecimal, m[0])) <= 14:
+                yield m.span()
+                at = m.end()
+
+
 def _secrets(text: str):
     """The spans of values behind keywords."""
     for m in _SECRET.finditer(text):
@@ -128,6 +177,19 @@ def _addresses(text: str):
         yield m.start(), m.start() + len(address)
 
 
+def _without_capitals(text: str, names: set[str]):
+    """The spans of these names in scripts without capitals: words, or in Chinese any characters; each is looked at once."""
+    sizes = sorted({len(n) for n in names if n[0] in _CHINESE})
+    begins = {n[0] for n in names if n[0] in _CHINESE}
+    for word in _WORDS.finditer(text):
+        if folded(word[0]) in names:
+            yield word.span()
+        elif sizes:
+            for i in range(*word.span()):
+                if text[i] in begins:
+                    yield from ((i, i + n) for n in sizes if text[i : i + n] in names)
+
+
 def _identity(kind: str, original: str) -> str:
     """The original as its surrogate depends on it; an IPv6 address may be written in several ways."""
     return IPv6Address(original).exploded if kind == "ip" and ":" in original else folded(original)
@@ -150,6 +212,13 @@ def _checked(kind: str, original: str, new: str, surrogates: Surrogates) -> str:
     return new if _identity(kind, again) == identity else surrogates.last_resort(kind, identity)
 
 
+def _settled(kind: str, original: str, new: str, surrogates: Surrogates) -> str:
+    """The surrogate that is given out; an address of letters that have none to stand in for them gets the last resort."""
+    if folded(new) != folded(original):
+        return _checked(kind, original, new, surrogates)
+    return surrogates.last_resort(kind, folded(original)) if kind == "email" and any(map(str.isalpha, original.rpartition("@")[0])) else new
+
+
 def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str]]:
     """start, end, kind and surrogate of each entity, in order and without overlaps; the earlier kinds win.
 
@@ -164,13 +233,33 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
         found += [(*m.span("secret"), "secret", surrogates.secret(m["secret"])) for m in _KEY.finditer(text)]
     if text.count(":") > 1:
         found += [(a, b, "ip", surrogates.ip6(text[a:b])) for a, b in _addresses(text)]
+    low = text.lower()
+    if any(word in low for word in _TOLD_WORDS):
+        found += [(*m.span("told"), "secret", surrogates.secret(m["told"])) for m in _TOLD.finditer(text)]
+    if "eyJ" in text:
+        found += [(*m.span("web"), "secret", surrogates.secret(m["web"])) for m in _WEB_TOKEN.finditer(text)]
     for m in _numbers(text):
-        found.append((*m.span(), m.lastgroup, getattr(surrogates, m.lastgroup)(m[0])))
+        kind = m.lastgroup
+        if not (kind == "card" and not _card(m, text) or kind == "ip" and _VERSION.search(text, max(0, m.start() - 12), m.start())):
+            found.append((*m.span(), kind, getattr(surrogates, kind)(m[0])))
+    found += [(a, b, "phone", surrogates.phone(text[a:b])) for a, b in _phones(text)]
+    for kind, pattern, words in (("document", _DOCUMENT, _DOCUMENT_WORDS), ("birthdate", _BORN, _BORN_WORDS)):
+        if any(word in low for word in words):
+            found += [(*m.span(kind), kind, getattr(surrogates, kind)(m[kind])) for m in pattern.finditer(text)]
+    if _SOME_STREET.search(text):
+        found += [(*m.span(), "address", surrogates.address(m[0])) for m in _ADDRESS.finditer(text)]
     for m in (_ASCII_PAIR if text.isascii() else _PAIR).finditer(text):
-        names = _LIST.get(m[0].lower())
-        if names and _begins(text, m) and m[0] == m[0].title() and (f := _FAMILY.match(text, m.end())):
-            found.append((*m.span(), "person", surrogates.given(m[0], names)))
-            found.append((*f.span("family"), "person", surrogates.family(f["family"], _FOLDED)))
+        if not _begins(text, m) or m[0] != m[0].title() or m[0] in _TITLE_WORDS or not (f := _FAMILY.match(text, m.end())):
+            continue
+        if (further := _FURTHER.match(text, f.end())) and further["word"].istitle() and folded(further["word"]) in _PLACE:
+            continue
+        given, family = m[0], f["family"]
+        if names := _LIST.get(given.lower()):
+            if folded(family) not in _NO_FAMILY:
+                found.append((*m.span(), "person", surrogates.given(given, names)))
+                found.append((*f.span("family"), "person", surrogates.family(family, _FOLDED)))
+        elif family != family.upper() and is_name(given, family, text[max(0, m.start() - 40) : m.start()], text[f.end() : f.end() + 40]):
+            found += [(*span, "person", surrogates.family(name, _FOLDED)) for span, name in ((m.span(), given), (f.span("family"), family))]
     for m in filter(partial(_begins, text), _TITLED.finditer(text)):
         for part in ("first", "second"):
             if m[part] and (part == "second" or m["second"] or folded(m["first"]) not in _FOLDED):
@@ -181,9 +270,9 @@ def entities(text: str, surrogates: Surrogates) -> list[tuple[int, int, str, str
     # names that were found stand for the same person wherever the document has them alone
     if names := {folded(text[a:b]) for a, b, kind, _ in found if kind == "person"} - _STOP:
         found += [(*m.span(), "person", surrogates.family(m[0], _FOLDED)) for m in _BARE_NAME.finditer(text) if folded(m[0]) in names]
-        for name in (n for n in names if unicodedata.category(n[0]) == "Lo"):
-            found += [(m.start(), m.end(), "person", surrogates.family(m[0], _FOLDED)) for m in re.finditer(re.escape(name) if name[0] in _CHINESE else rf"(?<!\w){re.escape(name)}(?!\w)", text)]
-    found = [(a, b, kind, new if folded(new) == folded(text[a:b]) else _checked(kind, text[a:b], new, surrogates)) for a, b, kind, new in found]
+        if plain := {n for n in names if unicodedata.category(n[0]) == "Lo"}:
+            found += [(a, b, "person", surrogates.family(text[a:b], _FOLDED)) for a, b in _without_capitals(text, plain)]
+    found = [(a, b, kind, _settled(kind, text[a:b], new, surrogates)) for a, b, kind, new in found]
     found = [e for e in found if folded(e[3]) != folded(text[e[0] : e[1]])]
     if len(found) < 2:
         return found

@@ -9,7 +9,9 @@ given out the original is computed again, so two originals of one surrogate woul
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
+from datetime import date
 from functools import lru_cache
 from ipaddress import IPv6Address
 from math import isqrt
@@ -20,6 +22,14 @@ _CLASS = {c: alphabet for alphabet in ALPHABETS for c in alphabet}
 HEX = "0123456789abcdef"
 #: Characters of the local part of an email that are no letters or digits.
 _MARKS = dict.fromkeys("._%+-", "._%+-")
+#: Endings of family names by gender, which stay.
+ENDINGS = tuple(sorted("ова ева ёва ина ская цкая ая ов ев ёв ин ский цкий ой ый ová ovna eva ova ska cka ski cki".split(), key=len, reverse=True))
+#: Words of addresses, which stay.
+STREET = frozenset(
+    "street st road rd avenue ave lane ln drive dr boulevard blvd court ct square sq way terrace close crescent place apt suite flat no floor rue place chemin allée impasse quai calle avenida plaza paseo camino straße strasse weg platz allee gasse de la le les du des der die das den dem am an im in zum zur von el los las".split()
+)
+#: Days that stand in for days of birth: from the first of January 1900 on.
+FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), 200 * 365
 #: Domains that are kept for examples.
 _EXAMPLES = {("example", last) for last in ("com", "org", "net")}
 _PART = 32
@@ -101,7 +111,8 @@ class Surrogates:
 
     def last_resort(self, kind: str, identity: str) -> str:
         """Of what has no way back: hexadecimal digits, which no two originals share but by chance (1 in 2^64 pairs)."""
-        return hashlib.blake2b(f"{kind}|{identity}".encode(), key=self.key, digest_size=16).hexdigest()
+        new = hashlib.blake2b(f"{kind}|{identity}".encode(), key=self.key, digest_size=16).hexdigest()
+        return f"{new}@example.{identity.rpartition('.')[2]}" if kind == "email" else new
 
     def string(self, text: str, tweak: str, alphabets: dict[str, str] | None = None) -> str:
         """The text with each character replaced within its class; others stay, and letter case does."""
@@ -212,11 +223,53 @@ class Surrogates:
         given = given or {}
         if names := given.get(folded(name)):
             return self.given(name, names)
-        new = self.string(name, "family")
-        while folded(new) in given:
-            new = self.string(new, "family")
+        end = _ending(name)
+        stem = len(name) - len(end)
+        new = self.string(name[:stem], "family" + end) + name[stem:]
+        # neither a given name nor one of another ending
+        while folded(new) in given or _ending(new) != end:
+            new = self.string(new[:stem], "family" + end) + name[stem:]
         return new
 
+    def address(self, text: str) -> str:
+        """The words for streets and what links words stay; names and numbers are replaced one by one."""
+        parts = re.split(r"(\d+|[^\W\d_]+)", text)
+        for i in range(1, len(parts), 2):
+            low, end = folded(parts[i]), next((w for w in ("straße", "strasse", "weg", "platz", "allee", "gasse") if folded(parts[i]).endswith(w)), "")
+            if low not in STREET:
+                stem = len(parts[i]) - len(end)
+                parts[i] = self.string(parts[i][:stem], "address" + end) + parts[i][stem:]
+        return "".join(parts)
+
+    def document(self, text: str) -> str:
+        """The number of a passport or the like."""
+        return self.string(text, "document")
+
+    def birthdate(self, text: str) -> str:
+        """Another day in the same way of writing; a day before 1900 or behind 2099, or that is none, has no surrogate."""
+        parts = re.split(r"(\D+)", text)
+        year = next((i for i in (0, 4) if len(parts[i]) == 4), None)
+        if year is None:
+            return text
+        # the month is in the middle where the year leads; else it is what cannot be a day, or the second
+        day, month = (4, 2) if year == 0 else (0, 2)
+        try:
+            day_of = date(int(parts[year]), int(parts[month]), int(parts[day])).toordinal() - FIRST_DAY
+        except ValueError:
+            return text
+        if not 0 <= day_of < DAYS:
+            return text
+        new = date.fromordinal(FIRST_DAY + self.permutation(day_of, DAYS, b"birthdate"))
+        for i, n in ((year, new.year), (month, new.month), (day, new.day)):
+            parts[i] = str(n).zfill(len(parts[i]) if len(parts[i]) != 1 else 1)
+        return "".join(parts)
+
+
+def _ending(name: str) -> str:
+    """The ending that tells the gender of a family name of five letters or more."""
+    low = folded(name)
+    return next((e for e in ENDINGS if low.endswith(e) and len(low) - len(e) >= 3), "")
+
 
 def _iban_check(country: str, body: str) -> int:
     """The check digits of an IBAN."""
