@@ -191,7 +191,9 @@ def _without_capitals(text: str, names: set[str]):
 
 
 def _identity(kind: str, original: str) -> str:
-    """The original as its surrogate depends on it; an IPv6 address may be written in several ways."""
+    """The original as its surrogate depends on it; IPv6 addresses and days may be written in several ways."""
+    if kind == "birthdate":
+        return re.sub(r"\b0+", "", folded(original))
     return IPv6Address(original).exploded if kind == "ip" and ":" in original else folded(original)
 
 
