@@ -142,7 +142,7 @@ def _features(batches):
             ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(words.n)))).astype(np.int32)
             nested = [pa.ListArray.from_arrays(ends, pa.array(a)) for a in (bucket[order].astype(np.int32), value[order].astype(np.float32))]
             rows = pa.array(list(stats), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column("__label"), rows, *nested], names=["label", "stats", "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__label"), rows, *nested], names=["doc_id", "label", "stats", "buckets", "weights"])
 
 
 def _with_length(documents: DataFrame) -> DataFrame:
@@ -154,7 +154,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mac
     """The machine, from at most ``rows`` labelled documents outside fold 0 of crc32(doc_id) mod 5; None if they don't show both labels."""
     bound_batches(documents.sparkSession)
     sample = labelled(_with_length(documents).select("doc_id", "text", "__length"), labels, "quality", rows, held_out=0)
-    got = sample.select("text", "__length", "__label").mapInArrow(_features, "label int, stats array<double>, buckets array<int>, weights array<float>").toArrow().combine_chunks()
+    sample = sample.select("doc_id", "text", "__length", "__label")
+    got = sample.mapInArrow(_features, extended(sample, "label int, stats array<double>, buckets array<int>, weights array<float>", ["doc_id"])).toArrow()
+    got = got.take(pc.sort_indices(got.column("doc_id"))).combine_chunks()  # the same sums whatever the shuffle's order
     label = got.column("label").to_numpy()
     if len(set(label.tolist())) < 2:
         return None

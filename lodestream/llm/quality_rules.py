@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def _features(batches):
         for part in blocks(batch, "text"):
             rows = Grams(Words(texts_of(part.column("text")))).rows()
             columns = [pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([part.column("__label"), part.column("__fold"), *columns], names=["label", "fold", "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__label"), part.column("__fold"), *columns], names=["doc_id", "label", "fold", "buckets", "weights"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
@@ -50,10 +51,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     """
     bound_batches(documents.sparkSession)
     sample = labelled(documents.select("doc_id", "text"), labels, "quality", rows, held_out=0)
-    got = sample.select("text", "__label", "__fold").mapInArrow(_features, "label int, fold int, buckets array<int>, weights array<float>").toArrow()
-    label, aside = got.column("label").to_numpy(), got.column("fold").to_numpy() == 1
+    sample = sample.select("doc_id", "text", "__label", "__fold")
+    got = sample.mapInArrow(_features, extended(sample, "label int, fold int, buckets array<int>, weights array<float>", ["doc_id"])).toArrow()
+    order = pc.sort_indices(got.column("doc_id")).to_numpy()  # the same sums whatever the shuffle's order
+    label, aside = got.column("label").to_numpy()[order], got.column("fold").to_numpy()[order] == 1
     flat = [got.column(c).combine_chunks() for c in ("buckets", "weights")]
-    x = [(np.asarray(b.values), np.asarray(w.values)) for b, w in zip(flat[0], flat[1], strict=True)]
+    x = [(np.asarray(flat[0][i].values), np.asarray(flat[1][i].values)) for i in order.tolist()]
     if len(set(label[~aside].tolist())) < 2:
         return None
     weights, bias = fit_logistic([r for r, a in zip(x, aside, strict=True) if not a], label[~aside])

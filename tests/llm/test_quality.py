@@ -68,6 +68,13 @@ def test_repeated_ids_bring_one_row_each(spark, data):
     assert once.where("__fold = 0").count() == 0
 
 
+@pytest.mark.parametrize("module", [quality_rules, factorisation])
+def test_fits_do_not_depend_on_partitions(spark, data, module):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = (vars(module.fit(docs.repartition(n), labels)) for n in (3, 8))
+    assert all(np.array_equal(one[k], two[k]) for k in one)
+
+
 def test_empty_tables(spark):
     none = helpers.empty(spark)
     assert quality_rules.quality_rules(none, None).count() == 0
