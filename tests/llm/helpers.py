@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import types as T
 
 #: Names that operators use for columns of their own.
-CLASHING = ("fp", "kept", "score", "base_failed", "n_words", "held_out", "predicted", "entities", "row", "runs", "key", "a", "b", "node", "root", "_label", "_fold", "_row", "_rank", "_shard", "n_tokens", "ids", "sequence_id", "offset", "component_id", "n_lines", "least")
+CLASHING = ("fp", "kept", "score", "base_failed", "n_words", "held_out", "predicted", "entities", "row", "runs", "key", "a", "b", "node", "root", "mark", "copy", "set", "choice", "bits", "bucket", "part", "head", "busy", "n_tokens", "ids", "sequence_id", "offset", "component_id", "n_shingles", "n_lines", "n_removed", "least", "text_md5", "refers_to", "record_type", "collapsed", "w", "n", "g")
 
 DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in CLASHING]])
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
