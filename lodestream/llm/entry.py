@@ -14,6 +14,7 @@ from lodestream.llm.periodic_runs import ORACLE as PERIODIC_RUNS_SQL
 from lodestream.llm.periodic_runs import op12_periodic_runs
 from lodestream.llm.pii import op6_pii_surrogates
 from lodestream.llm.quality_rules import op1_quality_rules
+from lodestream.llm.simhash import ORACLE as SIMHASH_SQL
 from lodestream.llm.simhash import op2_simhash_near_dedup
 from lodestream.llm.top_k import ORACLE as TOP_K_SQL
 from lodestream.llm.top_k import op5_exact_top_k
@@ -39,6 +40,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_simhash_near_dedup": SIMHASH_SQL,
     "op5_exact_top_k": TOP_K_SQL,
     "op9_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,

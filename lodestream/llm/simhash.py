@@ -288,3 +288,65 @@ def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) ->
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _oracle() -> str:
+    """XXH64 in whole numbers of 128 bits, on lanes of 8, 4 and 1 bytes; then bit by bit, and all pairs of fingerprints."""
+    m, p1, p2, p3, p4, p5 = (f"{n}::UHUGEINT" for n in (1 << 64, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def rotated(x: str, by: int) -> str:
+        return f"((({x}) * {1 << by}::UHUGEINT) % {m} + ({x}) // {1 << 64 - by}::UHUGEINT)"
+
+    def lane(start: str, size: int) -> str:
+        return "(" + " + ".join(f"b[{start} + {k + 1}] * {1 << 8 * k}::UHUGEINT" for k in range(size)) + ")"
+
+    own = lambda x: f"{rotated(f'({x}) * {p2} % {m}', 31)} * {p1} % {m}"
+    first = {1: f"({SEED}::UHUGEINT + {p1} + {p2}) % {m}", 2: f"({SEED}::UHUGEINT + {p2}) % {m}", 3: f"{SEED}::UHUGEINT", 4: f"({SEED}::UHUGEINT + {m} - {p1}) % {m}"}
+    lanes = ", ".join(f"list_reduce(list_prepend({v}, list_transform(range(n // 32), lambda i: {lane(f'32 * i + {8 * (k - 1)}', 8)} * {p2} % {m})), lambda v, x: {rotated(f'(v + x) % {m}', 31)} * {p1} % {m}) AS v{k}" for k, v in first.items())
+    joined = " + ".join(rotated(f"v{k}", by) for k, by in ((1, 1), (2, 7), (3, 12), (4, 18)))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingle AS MATERIALIZED (
+  SELECT row, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')) END) AS s FROM doc
+), bytes AS (
+  SELECT s, octet_length(encode(s)) AS n, list_transform(range(octet_length(encode(s))), lambda i: (16 * (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1)::UHUGEINT) AS b
+  FROM (SELECT DISTINCT s, hex(encode(s)) AS x FROM shingle)
+), lanes AS (
+  SELECT s, n, b, {lanes} FROM bytes
+), merged AS (
+  SELECT s, n, b, CASE WHEN n < 32 THEN ({SEED}::UHUGEINT + {p5} + n::UHUGEINT) % {m}
+    ELSE (list_reduce(list_prepend(({joined}) % {m}, [{", ".join(own(f"v{k}") for k in first)}]), lambda h, k: (xor(h, k) * {p1} + {p4}) % {m}) + n::UHUGEINT) % {m} END AS h
+  FROM lanes
+), eights AS (
+  SELECT s, n, b, list_reduce(list_prepend(h, list_transform(range(n % 32 // 8), lambda i: {own(lane("n // 32 * 32 + 8 * i", 8))})), lambda h, k: ({rotated("xor(h, k)", 27)} * {p1} + {p4}) % {m}) AS h FROM merged
+), fours AS (
+  SELECT s, n, b, list_reduce(list_prepend(h, list_transform(range(n % 8 // 4), lambda i: {lane("n // 8 * 8", 4)} * {p1} % {m})), lambda h, k: ({rotated("xor(h, k)", 23)} * {p2} + {p3}) % {m}) AS h FROM eights
+), ones AS (
+  SELECT s, list_reduce(list_prepend(h, list_transform(range(n % 4), lambda i: b[n // 4 * 4 + i + 1] * {p5} % {m})), lambda h, k: {rotated("xor(h, k)", 11)} * {p1} % {m}) AS h FROM fours
+), hashed AS MATERIALIZED (
+  SELECT s, list_reduce([h, {1 << 33}::UHUGEINT, {1 << 29}::UHUGEINT, {1 << 32}::UHUGEINT], lambda h, k: xor(h, h // k) * CASE WHEN k = {1 << 33} THEN {p2} WHEN k = {1 << 29} THEN {p3} ELSE 1::UHUGEINT END % {m}) AS h FROM ones
+), power AS (
+  SELECT k, list_reduce(list_prepend(1::UHUGEINT, list_transform(range(k), lambda i: 2::UHUGEINT)), lambda x, y: x * y) AS p FROM range(64) t(k)
+), bit AS (
+  SELECT row, k, 2 * sum((h // p % 2::UHUGEINT)::BIGINT) > count(*) AS one
+  FROM shingle JOIN hashed USING (s), power GROUP BY row, k
+), print AS MATERIALIZED (
+  SELECT row, doc_id, coalesce(hi, 0)::BIGINT AS hi, coalesce(lo, 0)::BIGINT AS lo
+  FROM doc LEFT JOIN (SELECT row, sum(CASE WHEN one AND k >= 32 THEN 1::BIGINT << (k - 32) ELSE 0 END) AS hi, sum(CASE WHEN one AND k < 32 THEN 1::BIGINT << k ELSE 0 END) AS lo FROM bit GROUP BY row) USING (row)
+), node AS MATERIALIZED (
+  SELECT hi, lo, min(doc_id) AS least, row_number() OVER () AS id FROM print GROUP BY hi, lo
+), link AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM node a JOIN node b ON a.id <> b.id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {DISTANCE}
+), reach AS (
+  SELECT id AS a, id AS b FROM node UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), component AS (
+  SELECT x.hi, x.lo, min(y.least) AS component_id FROM reach JOIN node x ON a = x.id JOIN node y ON b = y.id GROUP BY x.hi, x.lo
+)
+SELECT doc_id, format('{{:08x}}{{:08x}}', hi, lo) AS fingerprint, component_id FROM print JOIN component USING (hi, lo)
+"""
+
+
+ORACLE = _oracle()

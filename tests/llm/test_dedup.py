@@ -439,3 +439,7 @@ def test_op10_is_its_sql(spark, data, at):
         shutil.copy(part, f"{folder}/flat/documents.parquet")
         folder += "/flat"
     assert_same(line_dedup.op10_line_dedup(spark, folder), folder, line_dedup.ORACLE)
+
+
+def test_op2_is_its_sql(spark, data):
+    assert_same(simhash.op2_simhash_near_dedup(spark, data), data, simhash.ORACLE)
