@@ -12,9 +12,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +122,7 @@ class _Reader:
     """
 
     def __init__(self):
-        self.head, self.left, self.rows = None, -1, []
+        self.head, self.left, self.rows, self.tail = None, -1, [], b""
 
     def feed(self, line: bytes) -> None:
         """line: without its line feed."""
@@ -137,6 +139,27 @@ class _Reader:
         else:
             self.begin()
 
+    def stream(self, data: bytes) -> None:
+        """Some bytes of the archive, wherever they are cut: payloads are taken as they come, other lines whole."""
+        data = self.tail + data
+        view, at = memoryview(data), 0
+        while at < len(data):
+            if self.left >= 0 and self.mode in ("all", "data", "break"):
+                end = at + min(self.left, len(data) - at, self.left if self.mode == "all" else self.need)
+                self.block(view[at:end])
+            else:
+                feed = data.find(b"\n", at)
+                end = len(data) if feed < 0 else feed + 1
+                if 0 <= self.left <= end - at:  # what is left of the block ends without a line feed
+                    end = at + self.left
+                elif feed < 0:
+                    if end - at > CHUNK:
+                        raise ValueError(f"a header line of more than {CHUNK} bytes")
+                    break
+                self.feed(data[at : end - (self.left < 0)]) if self.left < 0 else self.block(view[at:end])
+            at = end
+        self.tail = data[at:]
+
     def begin(self) -> None:
         self.left = int(self.head["content-length"])
         self.size, self.chunk, self.digest, self.buffer = 0, 0, hashlib.sha1(), bytearray()
@@ -145,7 +168,7 @@ class _Reader:
         if not self.left:
             self.emit(True)
 
-    def block(self, line: bytes) -> None:
+    def block(self, line: bytes | memoryview) -> None:
         """A line of the block, or as much of it as belongs to the block."""
         data = memoryview(line)[: self.left]
         self.left -= len(data)
@@ -212,32 +235,81 @@ def _sha1(digest: str | None) -> str | None:
     return base64.b32decode(value).hex() if re.fullmatch("[A-Z2-7]{32}", value) else value.lower()
 
 
+_NAMES = [x.split()[0] for x in CHUNKS.split(", ")]
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
 def _chunks(batches) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
     reader, file = _Reader(), None
     for batch in batches:
-        for name, line in zip(batch.column("file").to_pylist(), batch.column("value").cast(pa.binary()), strict=True):
+        for name, line in zip(batch.column("file").to_pylist(), batch.column("value"), strict=True):
             if name != file:
                 if reader.head is not None:
                     raise ValueError(f"{file} ends within a record")
                 file = name
             reader.feed(line.as_py())
         if reader.rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*reader.rows, strict=True), kinds, strict=True)], names=names)
+            yield _batch(reader.rows)
             reader.rows = []
     if reader.head is not None:
         raise ValueError(f"{file} ends within a record")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def _inflated(source) -> Iterator[bytes]:
+    """The contents of an open file, CHUNK bytes at a time; of gzip files, which may have many members, inflated."""
+    data = source.read(CHUNK)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = source.read(CHUNK)
+        return
+    member = zlib.decompressobj(31)
+    while data:
+        yield member.decompress(data, CHUNK)
+        if member.eof:
+            data, member = member.unused_data, zlib.decompressobj(31)
+        else:
+            data = member.unconsumed_tail
+        data = data or source.read(CHUNK)
+
+
+def _streamed(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for uri in batch.column("path").to_pylist():
+            store, name = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+            reader = _Reader()
+            with store.open_input_stream(name, compression=None) as source:
+                for data in _inflated(source):
+                    reader.stream(data)
+                    if len(reader.rows) >= 16:
+                        yield _batch(reader.rows)
+                        reader.rows = []
+            if reader.head is not None:
+                raise ValueError(f"{uri} ends within a record")
+            if reader.rows:
+                yield _batch(reader.rows)
+
+
+def read_warc(spark: SparkSession, path: str, streamed: bool = False) -> DataFrame:
     """The chunk table of the archives in a folder: a row for each chunk of a record, with the bytes and the SHA-1 so far.
 
     Records of any type have rows; page_id, refers_to and declared_bytes are null for records of other writers. gzip
     files aren't split, so that each is read from its start by one task; their number and size are the writer's.
+
+    Spark's text reader brings the lines, from any store that it reaches; of archives that write_warc() has written none
+    is much longer than CHUNK. Archives of other writers may have payloads without a line feed, each of which is a row, and
+    uncompressed ones may be split within a record, which is an error. For those,
+    with ``streamed`` the tasks open the files themselves, through pyarrow (local and mounted folders, S3, GCS, Azure,
+    HDFS), and hold some chunks at a time, whatever the payload.
     """
     bound_batches(spark)
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    if streamed:
+        return spark.read.format("binaryFile").load(path).select("path").mapInArrow(_streamed, CHUNKS)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
     return lines.mapInArrow(_chunks, CHUNKS)
 
 

@@ -101,6 +101,34 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert rows["response"]["declared_sha1"] == hashlib.sha1(body).hexdigest() == rows["response"]["sha1_so_far"]
 
 
+def foreign(path, payloads, cut=7001):
+    """Archives of several gzip members, and one that isn't compressed."""
+    data = b""
+    for n, (mime, block) in enumerate(payloads):
+        data += f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nContent-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (path / "a.warc.gz").write_bytes(b"".join(gzip.compress(data[i : i + cut]) for i in range(0, len(data), cut)))
+    (path / "b.warc").write_bytes(data)
+
+
+def test_streams_give_what_lines_give(spark, tmp_path):
+    body = (b"no line feed " * 60_000, b"", b"a\n" * 300_000, b"\n", b"x", bytes(range(256)) * 5000)
+    coded = b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n%b\r\n" % (len(b), b) for b in body if b) + b"0\r\nT: z\r\n\r\n"
+    plain = [("text/plain", b) for b in body] + [("application/http", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b) for b in body]
+    foreign(tmp_path, [*plain, ("application/http", coded), ("application/http", b"HTTP/1.1 204 No\r\nA: b")])
+    read = lambda name, way: sorted(map(str, warc.read_warc(spark, str(tmp_path / name), way).collect()))
+    assert read("a.warc.gz", True) == read("b.warc", True) == read("a.warc.gz", False) and len(read("b.warc", True)) > 30
+    last = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path), True).where("last").collect()}
+    assert [last[f"<urn:uuid:{n}>"]["sha1_so_far"] for n in range(12)] == [hashlib.sha1(b).hexdigest() for b in body * 2]
+    assert last["<urn:uuid:12>"]["bytes_so_far"] == sum(map(len, body))
+
+
+def test_own_archives_streamed(spark):
+    path = shared_dir(spark)
+    warc.write_warc(warc.planned(spark.createDataFrame(PAGES, helpers.PAGES)), path)
+    one, two = (sorted(map(str, warc.records(warc.read_warc(spark, path, way)).collect())) for way in (True, False))
+    assert one == two and len(one) == len(PAGES)
+
+
 def test_columns_of_other_names(spark):
     rows = [(1, "u", "a" * 2000, "x", "y"), (2, "u", "a" * 2000, "x", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, `we.ird` string")
