@@ -259,6 +259,32 @@ def test_only_touched_texts_are_shuffled(spark, monkeypatch):
     assert common.brought_back(rows, found, "own", "key", "inner").count() == found.count()
     empty = common.written(found.where("false"), spark)
     assert common.brought_back(rows, empty, "own", "key").where("v IS NULL").count() == 20_000
+    # in the plan there is an exchange only of rows whose bit is set
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = common.brought_back(rows, found, "own", "key")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(re.match(r"[ :+-]*", line)[0])
+    lines = plan.split("\n")
+    union = next(i for i, line in enumerate(lines) if "Union" in line)
+    branches = [i for i in range(union + 1, len(lines)) if depth(lines[i]) == depth(lines[union + 1])]
+    assert len(branches) == 2 and "Exchange hashpartitioning" in "".join(lines[branches[0] : branches[1]])
+    assert "Exchange hashpartitioning" not in "".join(lines[branches[1] :])
+    sent = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(own" in line)
+    assert "Filter coalesce" in "".join(lines[sent : sent + 4])
+
+
+@pytest.mark.parametrize("broadcast", [0, 5])
+def test_results_are_the_same_without_broadcasts(spark, data, monkeypatch, broadcast):
+    """Of operators whose decisions come back to texts."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = common.written(docs.union(docs.limit(20)), spark)
+    ways = (line_dedup.line_dedup, simhash.distinct_documents, simhash.near_duplicates)
+    before = [sorted(map(str, way(docs).collect())) for way in ways]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    assert [sorted(map(str, way(docs).collect())) for way in ways] == before
 
 
 def test_components_of_chains_and_stars(spark):
