@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import table
 
-#: Bytes of the components of a tile's queries, and of its candidates, about.
-TILE_QUERY_BYTES, TILE_ROW_BYTES = 1 << 20, 16 << 20
+#: Bytes of the components of a tile's queries, and as many of its candidates, about: a vector is sent once for each tile
+#: that it is in, which square tiles make fewest.
+TILE_BYTES = 16 << 20
 #: Candidates of a block of queries whose scores are in memory at a time.
 SCORE_BYTES = 32 << 20
 #: Partial lists of a query that one merge step brings together, about.
@@ -36,7 +37,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers, exactly; those beyond a long are LEAST or MOST.
 
-    left and right hold whole numbers as floats. While sums are below 2^53 doubles are exact, and floats below 2^24.
+    left and right hold whole numbers, as floats or integers of 32 bits. While sums are below 2^53 doubles are exact, and floats below 2^24.
     Beyond that the products are those of longs, which wrap around; where the sum of the absolute terms may be beyond a
     long they are counted again with Python's integers.
     """
@@ -103,9 +104,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """
     once = queries.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(F.struct("dim", "q")).alias("v")).select("vec_id", "v.dim", "v.q")
     rows = rows.where(F.col("vec_id").isNotNull())
-    n_queries, n_rows, widest = queries.count(), *rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
-    tiles = lambda n, most: max(1, -(-n * max(1, widest) * 8 // most))
-    high, wide = tiles(n_queries, TILE_QUERY_BYTES), tiles(n_rows, TILE_ROW_BYTES)
+    reach = F.max(F.aggregate("q", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))))
+    shape = lambda df: df.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0)), F.coalesce(reach, F.lit(0.0))).first()
+    (n_queries, *ends), (n_rows, *others) = shape(once), shape(rows)
+    widest, largest = map(max, zip(ends, others, strict=True))
+    if largest < 1 << 31:  # components of usual embeddings are sent as integers
+        once, rows = (df.withColumn("q", F.col("q").cast("array<int>")) for df in (once, rows))
+    tiles = lambda n: max(1, -(-n * max(1, widest) * (4 if largest < 1 << 31 else 8) // TILE_BYTES))
+    high, wide = tiles(n_queries), tiles(n_rows)
     spark = rows.sparkSession
     # small inputs are cut finer, so that all cores take part
     wide = max(wide, min(2 * spark.sparkContext.defaultParallelism, -(-n_rows // 1024) or 1))

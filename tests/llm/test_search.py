@@ -68,8 +68,7 @@ def test_doubles_and_columns_of_other_names(spark):
 
 
 def test_tiles_and_merges(spark, monkeypatch):
-    monkeypatch.setattr(top_k, "TILE_QUERY_BYTES", 40)
-    monkeypatch.setattr(top_k, "TILE_ROW_BYTES", 240)
+    monkeypatch.setattr(top_k, "TILE_BYTES", 60)
     monkeypatch.setattr(top_k, "SCORE_BYTES", 200)
     monkeypatch.setattr(top_k, "FAN_IN", 2)
     rng = np.random.default_rng(6)
@@ -78,7 +77,7 @@ def test_tiles_and_merges(spark, monkeypatch):
 
 
 def test_repeated_rows_are_dealt_over_tiles(spark, monkeypatch):
-    monkeypatch.setattr(top_k, "TILE_ROW_BYTES", 240)
+    monkeypatch.setattr(top_k, "TILE_BYTES", 120)
     rows = single([(50, [1.0, 2.0], 0), *[(7, [3.0, 4.0], 0)] * 300])
     assert found(spark, rows) == brute(rows) and len(found(spark, rows)) == 5
     vectors = top_k.quantised(spark.createDataFrame(rows, helpers.VECTORS))
