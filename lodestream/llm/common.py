@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 BLOCK_BYTES = 1 << 20
 
 #: Rows and bytes of an Arrow batch that Spark hands to Python.
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -194,7 +194,11 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
 
 
 def similar_enough(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) whose sets (node, shingles) have the Jaccard similarity, exactly (two empty sets: 1)."""
+    """Those pairs (a, b) whose sets (node, shingles) have the Jaccard similarity, exactly (two empty sets: 1).
+
+    One of the sets moves with each pair, the other once for each node. As candidates differ in size by a fifth at most, it
+    doesn't matter which; what keeps this small is that stars make few pairs.
+    """
     side = lambda name, out: sets.select(F.col("node").alias(name), F.col("shingles").alias(out))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y")).cast("bigint")
