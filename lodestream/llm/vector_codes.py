@@ -124,7 +124,7 @@ def moved(x: np.ndarray, c: np.ndarray, move: np.ndarray, state: tuple, b: int)
 
 # ---------------------------------------------------------------- the rows
 
-_STATE = "at binary, upper binary, bounds binary, entries binary, need binary"
+_STATE = "q binary, at binary, upper binary, bounds binary, entries binary, need binary"
 
 
 def _binary(values: np.ndarray) -> pa.Array:
@@ -138,8 +138,19 @@ def _array(column: pa.Array, kind: type, *shape: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), *shape)
 
 
+def _packed(values: np.ndarray) -> pa.Array:
+    """A binary value for each row of doubles: integers of 16 bits if all of the rows fit, and else the doubles."""
+    if float(np.abs(values).max(initial=0)) < 1 << 15:
+        return _binary(values.astype(np.int16))
+    return pa.array([(row.astype(np.int16) if np.abs(row).max() < 1 << 15 else row).tobytes() for row in values], pa.binary())
+
+
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return whole(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim))
+    """The rows of a column of _packed() values as whole numbers."""
+    rows = column.to_pylist()
+    if all(len(row) == 2 * dim for row in rows):
+        return np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), dim).astype(np.int64)
+    return whole(np.array([np.frombuffer(row, np.int16 if len(row) == 2 * dim else np.float64) for row in rows], np.float64))
 
 
 def edges(dim: int, parts: int) -> list[tuple[int, int]]:
@@ -154,7 +165,10 @@ def _assign(dim: int, books: list[np.ndarray], moves: list[np.ndarray] | None, b
 
     def run(batches):
         for batch in batches:
-            x, n = _vectors(batch.column("q"), dim), batch.num_rows
+            n, q = batch.num_rows, batch.column("q")
+            if not moves:
+                q = _packed(q.flatten().to_numpy(zero_copy_only=False).reshape(n, dim))
+            x = _vectors(q, dim)
             if moves:
                 at, upper = _array(batch.column("at"), np.uint8, len(books)), _array(batch.column("upper"), np.float32, len(books))
                 bounds, entries = _array(batch.column("bounds"), np.float32, len(books), -1), _array(batch.column("entries"), np.uint8, len(books), -1)
@@ -164,7 +178,7 @@ def _assign(dim: int, books: list[np.ndarray], moves: list[np.ndarray] | None, b
                 new = [(*nearest(x[:, s:e], c, b), np.full(n, b + 1)) for (s, e), c in zip(spans, books, strict=True)]
             at, upper, order, lower, need = (np.stack([part[k] for part in new], axis=1) for k in range(5))
             state = [at, upper, lower, order, need.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(_binary, state)], names=["id", "label", "q", "at", "upper", "bounds", "entries", "need"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], q, *map(_binary, state)], names=["id", "label", "q", "at", "upper", "bounds", "entries", "need"])
 
     return run
 
@@ -259,7 +273,7 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     state = found.where(F.col("dim") == dim).select("id", "label", "q")
     for turn in range(rounds + 1):
         plain = state.select("id", "label", "q", *(["at", "upper", "bounds", "entries"] if turn else []))
-        schema = extended(state, _STATE, ["id", "label", "q"])
+        schema = extended(state, _STATE, ["id", "label"])
         after = written(mapped(plain, _assign(dim, books, moves, b), schema), spark)
         if turn:
             removed(state)
