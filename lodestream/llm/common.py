@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -143,6 +144,19 @@ def removed(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system, where the C library can: workers live through many stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """The column as one array of strings without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -161,6 +175,7 @@ def blocks(batch: pa.RecordBatch, name: str, most: int = BLOCK_BYTES) -> Iterato
         total += n
     if batch.num_rows > begin:
         yield batch.slice(begin)
+    give_back()
 
 
 def raw(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ SETTINGS = ((2, 20), (3, 10), (8, 40))
 #: Columns that column generation tries for a plan; on tables of lengths as they come it takes a tenth of them.
 STEPS = 5000
 #: Bytes of pre-tokens and their ids that a worker remembers.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 80 << 20
 
 # ---------------------------------------------------------------- tokens
 
